@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import table
+from pyspark.sql import functions as F
+
+from . import bpe, decontaminate, simhash, toxicity
+from .common import fold, table
 
 
 def tokenizer_path() -> str:
@@ -22,8 +24,30 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *bpe.digests(out))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels"), training=fold() != 0)
+    scored = toxicity.score(docs, weights)
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digests(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.digests(simhash.groups(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op3_bpe": op3_bpe,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

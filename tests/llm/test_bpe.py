@@ -1,6 +1,7 @@
 """Encoding and decoding against the tokenizers library."""
 
 import random
+import unicodedata
 
 import pytest
 from tokenizers import Tokenizer
@@ -29,7 +30,8 @@ def test_plain_and_odd_texts(library):
 
 
 def test_every_character_alone(library):
-    check([f"a{chr(c)}b {chr(c)}" for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000], library)
+    """Of those that this Python knows; case and NFC of newer ones are not in its tables."""
+    check([f"a{chr(c)}b {chr(c)}" for c in range(0, 0x110000, 7) if unicodedata.category(chr(c)) not in ("Cn", "Cs")], library)
 
 
 def test_random_texts(library):
