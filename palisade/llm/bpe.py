@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Distinct chunks of text that a task keeps encoded; beyond that it starts anew (results do not depend on it).
-CACHED = 200_000
+CACHED = 120_000
 NO_RANK = np.int64(1) << 40
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 
