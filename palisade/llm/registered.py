@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, simhash, toxicity
+from . import bpe, chat, decontaminate, licenses, simhash, toxicity
 from .common import fold, table
 
 
@@ -38,6 +38,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_chat": op2_chat,
         "op3_bpe": op3_bpe,
+        "op5_licenses": op5_licenses,
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
     }
