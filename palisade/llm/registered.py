@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, licenses, simhash, toxicity
+from . import bpe, chat, decontaminate, fingerprint, licenses, pii, simhash, toxicity
 from .common import fold, table
 
 
@@ -42,6 +42,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": op2_chat,
         "op3_bpe": op3_bpe,
         "op5_licenses": op5_licenses,
+        "op7_pii": op7_pii,
         "op8_fingerprints": op8_fingerprints,
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
