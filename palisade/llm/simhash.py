@@ -27,6 +27,7 @@ from . import common
 from .components import components
 
 SEED = 42
+SALTS = 16
 
 
 def runs(text: bytes | None, k: int) -> list[bytes]:
@@ -147,7 +148,10 @@ def groups(docs: DataFrame, k: int = 3, most: int = 2, segments: int = 16, key:
     roots = components(links(classes, most, segments)).withColumnRenamed("node", "fp")
     linked = roots.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component"))
     named = classes.join(roots.join(linked, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+    # Every class goes out SALTS times, so that a class of many copies is dealt over as many tasks.
+    salt = F.pmod(F.xxhash64("key", F.spark_partition_id()), F.lit(SALTS)).cast("int").alias("salt")
+    named = named.select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    return marked.select("*", salt).join(named, ["fp", "salt"]).select(F.col("key").alias(key), "fp", "component")
 
 
 def digests(grouped: DataFrame, key: str = "doc_id") -> DataFrame:
