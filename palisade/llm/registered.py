@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, licenses, pii, simhash, toxicity
+from . import bpe, chat, decontaminate, fingerprint, licenses, lm, pii, simhash, toxicity
 from .common import fold, table
 
 
@@ -38,6 +38,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), training=fold() != 1)
+    return out.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_chat": op2_chat,
         "op3_bpe": op3_bpe,
+        "op4_lm": op4_lm,
         "op5_licenses": op5_licenses,
         "op7_pii": op7_pii,
         "op8_fingerprints": op8_fingerprints,
