@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return None
     prior = min(toxic / n, 0.99)
     own = docs.filter(training).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    p = own.join(marks.filter((F.col("y") == 1) & _drawn("key", 11, positives / toxic)).select("key"), "key", "left_semi").withColumn("side", F.lit(1))
+    chosen = marks.filter((F.col("y") == 1) & _drawn("key", 11, positives / toxic)).select("key")  # about ``positives`` keys, whatever the corpus
+    p = own.join(F.broadcast(chosen), "key", "left_semi").withColumn("side", F.lit(1))
     u = own.filter(_drawn("key", 12, unlabelled / total)).withColumn("side", F.lit(0))
     sample = common.written(p.unionByName(u))  # bounded by the two numbers of texts
     sides = {r.side: r.n for r in sample.groupBy("side").agg(F.count("*").alias("n")).collect()}
