@@ -5,9 +5,9 @@ With the class prior p (the share of toxic among all labelled training rows, cou
 
     p * E_P[l(+1)] + max(0, E_U[l(-1)] - p * E_P[l(-1)])
 
-The second term estimates the risk on clean texts; where a batch makes it negative, the step goes against it, so
-that the classifier does not fit the positives among the unlabelled texts. l is the logistic loss and the scores
-are linear in the presence of words and of word beginnings of 3 to 5 characters; long texts are scored whole.
+The second term estimates the risk on clean texts; where it falls below zero by more than the prior (which is itself an
+estimate), the step goes against it, so that the classifier does not fit the sample's noise. l is the logistic loss and the scores
+are linear in the presence of words and of word beginnings of 3 to 8 characters; long texts are scored whole.
 
 Spark counts the features of the sample, chooses those whose share among P stands out from that among U, and deals
 the sample, as numbers of chosen features, into ``MODELS`` parts; each trains one numpy classifier, and their
@@ -34,33 +34,35 @@ from pyspark.sql import types as T
 from . import common
 
 POSITIVES, UNLABELLED, FEATURES, MODELS = 6_000, 18_000, 4_096, 4
+#: Least estimated share of toxic texts among those with a feature; below it a feature tells little and adds up to noise in long texts.
+PURITY = 0.45
+#: Standard errors by which the share of a feature among P has to lie above that among U; there are a great many features.
+STANDS_OUT = 3.5
 _WORD = re.compile(r"[^\W_]+")
 
 
 def features(text: str | None) -> set[str]:
     """The words of a text and, marked by a sign before them, their beginnings."""
     own = set(_WORD.findall(text.lower())) if text else set()
-    return own | {f"{n}{w[:n]}" for w in own for n in (3, 4, 5) if len(w) > n}
+    return own | {f"{n}{w[:n]}" for w in own for n in range(3, 9) if len(w) > n}
 
 
-def weigh(p: list[list[int]], u: list[list[int]], size: int, prior: float, seed: int = 0) -> np.ndarray:
+def weigh(p: list[list[int]], u: list[list[int]], size: int, prior: float) -> np.ndarray:
     """Weights of the features 0 to size - 1, then the bias, from texts given as numbers of features."""
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     pr, ur = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (p, u))
     pc, uc = (np.array([i for s in x for i in s], dtype=np.int64) for x in (p, u))
-    m, v, rng = np.zeros(size + 1), np.zeros(size + 1), np.random.default_rng(seed)
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     loss = lambda z: -np.log1p(-np.minimum(z, 1 - 1e-12))  # noqa: E731  of the label "clean"
+    wp, wu = np.full(len(p), 1 / len(p)), np.full(len(u), 1 / len(u))
     for t in range(1, 401):
-        # A batch: a random half of each side.
-        wp, wu = (rng.random(len(x)) < 0.5 for x in (p, u))
-        wp, wu = wp / max(wp.sum(), 1), wu / max(wu.sum(), 1)
         zp, zu = sigmoid(np.bincount(pr, w[pc], len(p)) + bias), sigmoid(np.bincount(ur, w[uc], len(u)) + bias)
-        if (wu * loss(zu)).sum() - prior * (wp * loss(zp)).sum() >= 0:
+        if (wu * loss(zu)).sum() - prior * (wp * loss(zp)).sum() >= -prior:
             gp, gu = -prior * wp * (1 - zp) - prior * wp * zp, wu * zu
         else:
             gp, gu = prior * wp * zp, -wu * zu
-        g = np.r_[np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size) + 1e-5 * w, gp.sum() + gu.sum()]
+        g = np.r_[np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size) + 1e-4 * w, gp.sum() + gu.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 / (1 + t / 100) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -116,8 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if len(sides) < 2:
         return None
     a, b = (F.col("in_p") + 0.5) / (sides[1] + 1), (F.col("in_u") + 0.5) / (sides[0] + 1)
+    # prior * a / b estimates the share of toxic texts among those that have the feature.
     z = (a - b) / F.sqrt(a * (1 - a) / sides[1] + b * (1 - b) / sides[0])
-    names = [r.feature for r in _counted(sample).filter("in_p >= 3").withColumn("z", z).filter("z > 3").orderBy(F.desc("z"), "feature").limit(size).collect()]
+    names = [r.feature for r in _counted(sample).filter("in_p >= 3").withColumn("z", z).filter((F.col("z") > STANDS_OUT) & (prior * a / b >= PURITY)).orderBy(F.desc("z"), "feature").limit(size).collect()]
     at = spark.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
     def numbered(batches):
@@ -130,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         sets = [sorted(list(x) for x in rows.own[rows.side == s]) for s in (1, 0)]
         if not sets[0] or not sets[1]:
             return pd.DataFrame({"weights": []})
-        return pd.DataFrame({"weights": [weigh(*sets, len(names), prior, seed=int(rows.model.iloc[0]))]})
+        return pd.DataFrame({"weights": [weigh(*sets, len(names), prior)]})
 
     model = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(13)), F.lit(models)).cast("int").alias("model")
     dealt = sample.select(model, "side", "text").mapInArrow(numbered, "model int, side int, own array<int>")
