@@ -27,6 +27,8 @@ from . import common
 
 #: Distinct chunks of text that a task keeps encoded; beyond that it starts anew (results do not depend on it).
 CACHED = 120_000
+#: Bytes of text that are encoded at a time; their chunks are many small objects.
+STEP = 1 << 20
 NO_RANK = np.int64(1) << 40
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 
@@ -178,6 +180,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
 
     tokenizer: the vocabulary file's path. New columns take the place of columns of the same name.
     """
+    common.small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer))
     kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
     fields = [*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
@@ -191,7 +194,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
         v = shared.value
         encoder, tokens = Encoder(v), pa.array(v.tokens)
         for batch in batches:
-            for part in common.steps(batch, batch.num_columns - 1):
+            for part in common.steps(batch, batch.num_columns - 1, STEP):
                 got = _lists(encoder.encode(part.column(part.num_columns - 1).to_pylist()))
                 columns = [*part.columns[:-1], got]
                 if decoded:

@@ -37,9 +37,17 @@ def fold(column: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(5))
 
 
-def steps(batch, column: int):
-    """Slices of an Arrow batch with at most STEP_BYTES of values in a text or binary column (one row at least)."""
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send Python at most 16 MB at a time, where a session has no setting of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key, None) is None:
+        spark.conf.set(key, 16 << 20)
+
+
+def steps(batch, column: int, size: int = STEP_BYTES):
+    """Slices of an Arrow batch with at most ``size`` bytes of values in a text or binary column (one row at least)."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     n = batch.num_rows
@@ -48,6 +56,7 @@ def steps(batch, column: int):
     at = 0
     while at < n:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()

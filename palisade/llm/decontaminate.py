@@ -111,6 +111,7 @@ def _scan(docs: DataFrame, windows: Windows, key: str, text: str) -> DataFrame:
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: its key, ``n_words``, merged ``spans`` of hit words and ``items`` (ids, ascending)."""
+    common.small_batches(docs.sparkSession)
     found = list(blocks(benchmark, n, item, item_text, block_chars))
     if len(found) == 1:
         return _scan(docs, found[0], key, text).withColumnRenamed("key", key)
@@ -136,6 +137,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text
     """
     out = docs.withColumn("n_removed", F.lit(0).cast("long"))
     at, schema = out.columns.index(text), out.schema
+    common.small_batches(docs.sparkSession)
     found = list(blocks(benchmark, n, item, item_text, block_chars))
     # A cut for one block can make a window of an earlier one anew, so that several blocks are gone through twice.
     for windows in found * (2 if len(found) > 1 else 1):

@@ -145,6 +145,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int
     Edited: the last floor(n/4) code points give way to the first as many of the next document's text (or all of it),
     by ascending key; the last document's next is the first. A single document is its own next.
     """
+    common.small_batches(docs.sparkSession)
     ranges = ranges or max(1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     dealt = in_order(docs, key, text, ranges)
     parts = max(1, ranges // 2)

@@ -239,6 +239,7 @@ def averaged(group: pd.DataFrame) -> pd.DataFrame:
 def score(docs: DataFrame, training=None, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; training: a condition on rows to learn from (all by default)."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     own = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), (F.lit(True) if training is None else training).alias("train"))
     learnt = own.filter("train").select("text", F.pmod(F.xxhash64("key"), F.lit(rounds)).alias("part"))
     counts = common.written(counted(learnt))

@@ -154,6 +154,7 @@ def links(classes: DataFrame, docs: DataFrame, key: str, text: str, similarity:
 
 def extra(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(row): the numbers of the rows that are near copies of one that stays."""
+    common.small_batches(docs.sparkSession)
     every = common.written(marked(docs, key, text))
     classes = common.written(every.groupBy("copy").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min_by(F.struct("key", "row"), F.struct(F.col("key").isNull(), "key", "row")).alias("least")))
     roots = components(links(classes.select("node", "fp", "bands"), docs, key, text, similarity))

@@ -143,6 +143,7 @@ def links(distinct: DataFrame, most: int = 2, segments: int = 16) -> DataFrame:
 
 def groups(docs: DataFrame, k: int = 3, most: int = 2, segments: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): each row's fingerprint, and the least key that links lead to from it."""
+    common.small_batches(docs.sparkSession)
     marked = common.written(fingerprints(docs, k, key, text))
     classes = common.written(marked.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(links(classes, most, segments)).withColumnRenamed("node", "fp")

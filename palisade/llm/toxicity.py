@@ -102,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     training: a condition on the key of rows whose labels and texts may be learnt from (all by default).
     """
+    common.small_batches(docs.sparkSession)
     spark, training = docs.sparkSession, F.lit(True) if training is None else training
     marks = labels.filter(training & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     n, toxic = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
@@ -145,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, weights: dict[str, float] | None, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability that each text is toxic."""
+    common.small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
