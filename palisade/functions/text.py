@@ -76,7 +76,7 @@ def ext(path) -> Column:
 
 
 def pct(c, digits: int = 1) -> Column:
-    return F.concat(F.format_number(F.round(col(c) * 100, digits), f"0.{'0' * digits}" if digits else "0"), F.lit("%"))
+    return F.format_string(f"%.{digits}f%%", col(c) * 100)
 
 
 def decision_label(blocked, decision) -> Column:

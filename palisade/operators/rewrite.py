@@ -59,7 +59,10 @@ def plan_rewrites(files: DataFrame, proxy_url: str, env_var: str = "GATEWAY_API_
     bare = F.regexp_extract(name, r"([A-Za-z0-9_]+)$", 1)
     module = F.regexp_replace(F.regexp_extract(name, r"^(.*)\.[A-Za-z0-9_]+$", 1), r"^$", "")
     own_module = (F.col("provider") == "cohere") | (module == "") | (module == F.col("py_module")) | (bare == name)
-    splat = F.col("args_masked").rlike(rf"^\((?:[^(){{}}\[\]*]++|{detect.ARGUMENTS}|{detect.OBJECT}|\[[^\[\]]*+\]|(?<![(,\s])\s*+\*)*?(?<=[(,\s])\*")
+    flat = _inside(F.col("args_masked"))
+    for inner in (detect.ARGUMENTS, detect.OBJECT, r"\[[^\[\]]*+\]"):
+        flat = F.regexp_replace(flat, inner, "x")
+    splat = flat.rlike(r"(?:^|,)\s*+\*")
     first_object = rf"^(\((?:[^(){{}}]++|{detect.ARGUMENTS})*?)({detect.OBJECT})"
     object_at = F.length(F.regexp_extract("args_masked", first_object, 1))
     object_size = F.length(F.regexp_extract("args_masked", first_object, 2))
