@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, licenses, lm, pii, simhash, toxicity
+from . import bpe, chat, decontaminate, fingerprint, licenses, lm, pii, quality, simhash, toxicity
 from .common import fold, table
 
 
@@ -47,6 +47,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = quality.score(docs, table(spark, sf_dir, "labels"), training=fold() != 0)
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "document", "host_mean", "path_mean")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_lm": op4_lm,
         "op5_licenses": op5_licenses,
+        "op6_quality": op6_quality,
         "op7_pii": op7_pii,
         "op8_fingerprints": op8_fingerprints,
         "op9_decontaminate": op9_decontaminate,
