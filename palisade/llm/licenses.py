@@ -113,3 +113,25 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE, no
         )
         .drop("row")
     )
+
+
+def sql(base=BASE, notices=NOTICES) -> str:
+    """DuckDB SQL for ``scan`` over ``documents``."""
+    rows = ", ".join(f"({i}, '{label}', {str(is_base).lower()}, '{said}')" for i, (label, said, is_base) in enumerate([*((a, b, True) for a, b in base), *((a, b, False) for a, b in notices)]))
+    return f"""
+WITH runs AS (SELECT t, label, is_base, len(w) - 2 AS size, i - 1 AS place, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT t, label, is_base, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT t, label, is_base, string_split(said, ' ') AS w FROM (VALUES {rows}) AS v(t, label, is_base, said)))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+said AS (SELECT r, i - 1 AS spot, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+votes AS (SELECT r, t, label, is_base, size, spot - place AS diagonal, list(DISTINCT place) AS places FROM said JOIN runs USING (g) GROUP BY ALL),
+apart AS (SELECT *, sum(CASE WHEN is_base OR before IS NULL OR diagonal - before > {DRIFT} THEN 1 ELSE 0 END) OVER (PARTITION BY r, t ORDER BY diagonal) AS k
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) AS before FROM votes)),
+merged AS (SELECT r, t, label, is_base, size, k, min(diagonal) AS a, max(diagonal) AS b, len(list_distinct(flatten(list(places)))) AS n FROM apart GROUP BY ALL),
+judged AS (SELECT *, n / size AS share, CASE WHEN is_base THEN n = size ELSE b - a <= size / 2 + 1 AND n / size >= {SHARE} END AS ok FROM merged)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (WHERE ok AND is_base) AS n_base,
+  min(a) FILTER (WHERE ok AND is_base) AS first_word, max(a) FILTER (WHERE ok AND is_base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok AND is_base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok), '') AS labels,
+  coalesce(max(share), 0.0) AS score
+FROM d LEFT JOIN judged USING (r) GROUP BY r, doc_id, len(w)
+"""

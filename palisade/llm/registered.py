@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL}
+    return {"op2_chat": chat.SQL, "op5_licenses": licenses.sql(), "op9_decontaminate": decontaminate.SQL}
