@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
-from ..functions.text import is_newer, mask_key
+from ..functions.registry import values
+from ..functions.text import is_newer, lines, mask_key, trim
 from .paths import EXCLUDES
 
 CONFIG_FILE, KEY_NAME = ".gateway.json", "GATEWAY_API_KEY"
@@ -103,9 +104,6 @@ def repo_status(configs: DataFrame) -> DataFrame:
 
 def missing_ignores(files: DataFrame, entries: list[str]) -> DataFrame:
     """(repo, entry): required entries that a repository's ignore file lacks, or all where it has none."""
-    from ..functions.registry import values
-    from ..functions.text import lines, trim
-
     spark = files.sparkSession
     wanted = files.select("repo").distinct().crossJoin(F.broadcast(values(spark, [(e,) for e in entries], "entry string")))  # a few entries
     said = files.filter((F.col("file_name") == ".gitignore") & (F.col("depth") == 1)).select("repo", F.explode(lines("content")).alias("entry"))

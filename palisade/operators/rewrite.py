@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..functions.text import join_lines, lines, reencode_eol, dominant_eol, trim
+from ..functions.text import dominant_eol, join_lines, lines, reencode_eol, trim
 from . import detect
 
 KEY = ("repo", "path")
@@ -92,8 +93,6 @@ def plan_rewrites(files: DataFrame, proxy_url: str, env_var: str = "GATEWAY_API_
     end = start + F.when(in_object, F.col("object_size")).otherwise(F.length(a))
     out = found.withColumns({"start": start, "end": end, "replacement": text})
     # Of calls inside one another the outermost alone is edited: how far the edits before reach.
-    from pyspark.sql.window import Window as W
-
     before = W.partitionBy(*keep).orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
     reach = F.max(F.when(F.col("action") == "rewrite", F.col("end"))).over(before)
     nested = (F.col("action") == "rewrite") & F.coalesce(reach > F.col("start"), F.lit(False))

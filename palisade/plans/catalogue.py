@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import predicates, registry, text
 from ..operators import audit, detect, entry, envvars, errors, paths, policy, redteam, rewrite, security
@@ -240,10 +241,10 @@ def repo_root(spark, sf_dir):
     return paths.assign_repo_root(files, roots).select("doc_id", "root")
 
 
-@query("SELECT page_id, path FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE NOT regexp_matches(path, '(^|/)node_modules/|[.]pdf$|/a[^/]*$')")
+@query("SELECT page_id, path FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE NOT regexp_matches(path, '(^|/)node_modules/|[.]pdf$|(^|/)a')")
 def exclude_globs(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    return paths.exclude_globs(pages.withColumn("file_name", text.file_name("path")), ["**/node_modules/**", "*.pdf", "**/a*"]).filter(~F.col("path").rlike("/a[^/]*$")).select("page_id", "path")
+    return paths.exclude_globs(pages.withColumn("file_name", text.file_name("path")), ["**/node_modules/**", "*.pdf", "**/a*"]).select("page_id", "path")
 
 
 @query(f"SELECT path FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'node_modules/x' WHEN 1 THEN 'src/build.py' WHEN 2 THEN 'a/.venv/b/c.py' ELSE 'src/' || doc_id || '.py' END AS path FROM documents) WHERE path NOT LIKE 'node_modules/%' AND path NOT LIKE '%/.venv/%'")
@@ -257,8 +258,6 @@ def skip_dirs(spark, sf_dir):
 def newest_first(spark, sf_dir):
     """The hundred newest files in order (a top-k report)."""
     top = paths.newest_first(s.source_files(spark, sf_dir)).limit(100)
-    from pyspark.sql.window import Window as W
-
     return top.select("path", F.row_number().over(W.orderBy(F.desc("mtime"), "path")).alias("place"))
 
 
@@ -413,7 +412,7 @@ _CALLS = [
 
 def _failed(spark, sf_dir):
     known = registry.values(spark, [(i, *c[:4]) for i, c in enumerate(_CALLS)], "k int, method string, status int, error_kind string, body string")
-    return table(spark, sf_dir, "events").select(F.pmod(F.xxhash64(F.lit(1)), F.lit(1)).alias("_"), "*").withColumn("k", F.pmod("event_id", F.lit(len(_CALLS))).cast("int")).join(F.broadcast(known), "k")
+    return table(spark, sf_dir, "events").withColumn("k", F.pmod("event_id", F.lit(len(_CALLS))).cast("int")).join(F.broadcast(known), "k")
 
 
 @query("SELECT CASE event_id % 8 WHEN 0 THEN 'auth' WHEN 1 THEN 'quota_exceeded' ELSE 'api' END AS error_class, CASE event_id % 8 WHEN 0 THEN 'missing_api_key' WHEN 1 THEN 'monthly_quota_exceeded' END AS code, count(*) AS n, CAST(max(CASE WHEN event_id % 8 = 1 THEN 0.5 END) AS DOUBLE) AS most_used FROM events GROUP BY ALL")
