@@ -50,7 +50,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     out = quality.score(docs, table(spark, sf_dir, "labels"), training=fold() != 0)
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "document", "host_mean", "path_mean")
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("keep"), "document", "host_mean", "path_mean")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
