@@ -3,7 +3,11 @@
 Candidates are documents whose SimHash fingerprints (``simhash``, over five-word runs) are in one group. At a
 similarity of 0.8 fingerprints differ by 4 to 14 bits, which no radius of two reaches; so documents that agree in a
 band of minimum shingle hashes are candidates too (``BANDS`` bands of ``ROWS``: 99.9 % of pairs at 0.8, and
-more above). Every candidate pair is verified on whole shingle sets. Texts of fewer than five words are one shingle.
+more above). What those miss an exact way finds: under one order of all shingles, two sets of the similarity share a
+shingle among the first ``n - ceil(0.8 n) + 1`` of each (``prefix``), so that groups of the first ways that share such
+a shingle are candidates as well. The order puts shingles last that are frequent in a sample; which ones those are
+bears on the work alone. Every candidate pair is verified on whole shingle sets. Texts of fewer than five words are
+one shingle.
 
 Copies (the same words in the same order) are one class and are never compared. Classes that share a band are a sorted
 run; a walk compares what it reaches with all that is left by way of an index from shingle to class, and gives the
@@ -16,6 +20,8 @@ without words are copies of each other. Of a group the document of the least key
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +34,8 @@ from .components import components
 K, SIMILARITY, BANDS, ROWS, LONGEST = 5, 0.8, 10, 3, 4096
 #: Most row numbers that are broadcast (8 bytes each); beyond that the join shuffles.
 MOST_BROADCAST = 1_000_000
+#: Classes whose shingles are counted for the order, and most frequent shingles that are broadcast.
+SAMPLED, FREQUENT = 20_000, 200_000
 _RNG = np.random.default_rng(20)
 _TURN, _FLIP = (_RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
@@ -50,6 +58,18 @@ def bands(shingles: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), i)).view(np.int64)) for i, r in enumerate(rows)]
 
 
+def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first of distinct shingles in the order by (count, hash), as many as a set of the similarity cannot all miss."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank = np.zeros(n, dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
 
@@ -115,7 +135,53 @@ def links(classes: DataFrame, docs: DataFrame, key: str, text: str, similarity:
     """(a, b): edges between classes (node, fp, bands) that connect all of the similarity."""
     roots = components(simhash.links(classes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
     own = classes.join(roots, "fp", "left").select("node", F.concat("bands", F.array(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")))).alias("bands"))
-    places = own.select("node", F.explode(F.array_distinct("bands")).alias("band"))
+    first = common.written(_edges(own.select("node", F.explode(F.array_distinct("bands")).alias("band")), docs, key, text, similarity))
+    grouped = classes.select("node").join(components(first), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return first.unionByName(_edges(_shared_prefixes(grouped, docs, key, text, similarity), docs, key, text, similarity)).distinct()
+
+
+def _frequent(classes: int, docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of rows have, in order, and in how many."""
+
+    def every(batches):
+        for batch in batches:
+            for part in common.steps(batch, 1):
+                for t in part.column(1).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t)).view(np.int64))], names=["shingle"])
+
+    rows = numbered(docs, key, text).select("row", "text").filter(F.pmod(F.xxhash64("row"), F.lit(max(1, classes // SAMPLED))) == 0)
+    counted = rows.mapInArrow(every, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingles, n = (np.asarray(counted.column(i), dtype=np.int64) for i in (0, 1))
+    order = np.argsort(shingles.view(np.uint64))
+    return shingles.view(np.uint64)[order], n[order]
+
+
+def _shared_prefixes(classes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """(node, band): of classes (node, root) each prefix shingle that classes of several roots have, once for each set of classes."""
+    classes = common.written(classes)
+    many = classes.count()
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(many, docs, key, text))
+
+    def firsts(batches):
+        frequent, counts = shared.value
+        for batch in batches:
+            for part in common.steps(batch, 1):
+                got = [prefix(np.unique(shingle_hashes(t)), frequent, counts, similarity).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int64()))], names=["node", "prefix"])
+
+    rows = numbered(docs, key, text).select("row", "text").mapInArrow(firsts, "node long, prefix array<long>")
+    placed = rows.join(F.broadcast(classes) if many <= MOST_BROADCAST else classes, "node")
+    placed = common.written(placed.select("node", "root", F.explode("prefix").alias("band")))
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    met = common.written(placed.join(several, "band", "left_semi").select("node", "band"))
+    # Two documents that share one shingle share many: of shingles with the same classes one is enough.
+    mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s")]
+    one = met.groupBy("band").agg(*mark).groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band")
+    return met.join(one, "band", "left_semi").select("node", "band")
+
+
+def _edges(places: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """(a, b): edges that connect all of the similarity among those that share a band of places (node, band)."""
     blocks = places.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / LONGEST).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     shared = places.join(blocks, "band").select("band", "node", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))

@@ -68,3 +68,20 @@ def test_bands_catch_pairs():
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     assert n.without_copies(spark.read.parquet(str(tmp_path / "e"))).collect() == []
+
+
+def test_pairs_that_share_no_band(spark, tmp_path):
+    """Of a similarity over 0.8, with no band and no fingerprint group in common."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    while len(rows) < 6:
+        own = [word() for _ in range(50)]
+        other = own[:25] + [word()] + own[26:]
+        a, b = (n.shingle_hashes(" ".join(w).encode()) for w in (own, other))
+        apart = bin((n.simhash.majority(a) ^ n.simhash.majority(b)) & (2**64 - 1)).count("1")
+        if apart > 2 and not set(n.bands(a)) & set(n.bands(b)):
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "p"))
+    out = n.without_copies(spark.read.parquet(str(tmp_path / "p")))
+    assert brute(rows) == [0, 2, 4] and sorted(r.doc_id for r in out.collect()) == [0, 2, 4]
