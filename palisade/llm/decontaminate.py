@@ -6,8 +6,9 @@ any occurrence of a window is hit.
 
 The windows are a hash set of word-id tuples, broadcast to the tasks, which scan every whole text. The set's size
 is checked: a benchmark of more than ``block_chars`` characters is dealt into blocks of about that size by item
-and the documents are scanned once for each block; what the blocks find in a document is merged by a shuffle of
-the documents that have hits alone. Word ids stand for whole words, so that a hit in the set is an exact match.
+and the documents are scanned once for each block, whose hits are written to the shared folder before the next block
+is built, so that one block is held at a time; what the blocks find in a document is merged by a shuffle of spans and
+items, no texts. Word ids stand for whole words, so that a hit in the set is an exact match.
 
 Nulls: a null text has no words; a null item id is an item all the same, listed as none. Empty tables give no rows
 or no hits. Repeated rows are each judged by themselves. Columns besides those named pass through ``remove``.
@@ -75,22 +76,23 @@ class Windows:
         return list(zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True)), found
 
 
-def blocks(benchmark: DataFrame, n: int, item: str, text: str, block_chars: int):
-    """The windows of the benchmark, block by block; each block's characters are checked before it comes to the driver."""
+def block_count(benchmark: DataFrame, text: str, block_chars: int) -> int:
+    chars = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    return max(1, -(-chars // block_chars))
+
+
+def block(benchmark: DataFrame, i: int, k: int, n: int, item: str, text: str) -> Windows:
+    """The windows of the i-th of k blocks of the benchmark."""
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    k = max(1, -(-chars // block_chars))
-    for i in range(k):
-        part = rows if k == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(k)) == i)
-        yield Windows([(r.item, r.text) for r in part.toLocalIterator()], n)
+    part = rows if k == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(k)) == i)
+    return Windows([(r.item, r.text) for r in part.toLocalIterator()], n)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _scan(docs: DataFrame, windows: Windows, key: str, text: str) -> DataFrame:
-    """key, n_words, spans, items of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def _scan(docs: DataFrame, shared, key: str, text: str) -> DataFrame:
+    """key, n_words, spans, items of every row, by a broadcast block of windows."""
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -112,37 +114,79 @@ def _scan(docs: DataFrame, windows: Windows, key: str, text: str) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: its key, ``n_words``, merged ``spans`` of hit words and ``items`` (ids, ascending)."""
     common.small_batches(docs.sparkSession)
-    found = list(blocks(benchmark, n, item, item_text, block_chars))
-    if len(found) == 1:
-        return _scan(docs, found[0], key, text).withColumnRenamed("key", key)
+    k = block_count(benchmark, item_text, block_chars)
+    if k == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(block(benchmark, 0, 1, n, item, item_text))
+        return _scan(docs, shared, key, text).withColumnRenamed("key", key)
     marked = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("key"), F.col(text).alias("text"))
-    every = [_scan(marked, w, "key", "text") for w in found]
-    base = every[0]
-    for other in every[1:]:
-        base = base.unionByName(other)
+    return _merged(marked, benchmark, k, n, item, item_text).select(F.col("key.key").alias(key), "n_words", "spans", "items")
+
+
+def _merged(marked: DataFrame, benchmark: DataFrame, k: int, n: int, item: str, item_text: str, every: bool = True) -> DataFrame:
+    """key, n_words, spans, items of rows (key, text), or of those with hits alone, from all blocks together."""
+    base = None
+    for i in range(k):
+        shared = marked.sparkSession.sparkContext.broadcast(block(benchmark, i, k, n, item, item_text))
+        own = _scan(marked, shared, "key", "text")
+        own = common.written(own if every and i == 0 else own.filter(F.size("spans") > 0))
+        shared.destroy()
+        base = own if base is None else base.unionByName(own)
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     last = lambda x: F.element_at(x, -1)
     merge = lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
     return (
         base.groupBy("key")
         .agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select(F.col("key.key").alias(key), "n_words", F.aggregate("spans", F.array().cast(SPANS.simpleString()), merge).alias("spans"), "items")
+        .select("key", "n_words", F.aggregate("spans", F.array().cast(SPANS.simpleString()), merge).alias("spans"), "items")
     )
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the hit words and what stands between them; a column ``n_removed`` counts the words that went.
 
-    Cutting a span joins what stood around it, which can make a window anew: cutting goes on until none occurs.
+    Cutting a span joins what stood around it, which can make a window anew: cutting goes on until none occurs. With
+    more than one block a round takes the hits of all blocks, cuts their union once, and goes on with the texts that it cut.
     """
     out = docs.withColumn("n_removed", F.lit(0).cast("long"))
     at, schema = out.columns.index(text), out.schema
     common.small_batches(docs.sparkSession)
-    found = list(blocks(benchmark, n, item, item_text, block_chars))
-    # A cut for one block can make a window of an earlier one anew, so that several blocks are gone through twice.
-    for windows in found * (2 if len(found) > 1 else 1):
-        out = out.mapInArrow(_remover(docs.sparkSession.sparkContext.broadcast(windows), at), schema)
-    return out
+    k = block_count(benchmark, item_text, block_chars)
+    if k == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(block(benchmark, 0, 1, n, item, item_text))
+        return out.mapInArrow(_remover(shared, at), schema)
+    rows = common.written(out.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("own")))
+    now, rounds = rows.select("row", F.col(f"own.`{text}`").alias("text"), F.lit(0).cast("long").alias("gone")), []
+    while True:
+        hits = _merged(now.select(F.col("row").alias("key"), "text"), benchmark, k, n, item, item_text, every=False).select(F.col("key").alias("row"), "spans")
+        now = common.written(now.join(hits, "row").select("row", "text", "gone", "spans").mapInArrow(_cutter, "row long, text string, gone long"))
+        if now.isEmpty():
+            break
+        rounds.append(now.withColumn("round", F.lit(len(rounds))))
+    if not rounds:
+        return rows.select("own.*")
+    changed = rounds[0]
+    for r in rounds[1:]:
+        changed = changed.unionByName(r)
+    changed = changed.groupBy("row").agg(F.max_by(F.struct("text", "gone"), "round").alias("new"))
+    new = {text: F.when(F.col("new").isNull(), F.col(f"own.`{text}`")).otherwise(F.col("new.text")), "n_removed": F.coalesce("new.gone", F.lit(0).cast("long"))}
+    return rows.join(changed, "row", "left").select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in out.columns])
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    places = [m.span() for m in WORD.finditer(text)]
+    for a, b in reversed(spans):
+        text = text[: places[a][0]] + text[places[b - 1][1] :]
+    return text
+
+
+def _cutter(batches):
+    """Cuts rows (row, text, gone, spans) once."""
+    for batch in batches:
+        for part in common.steps(batch, 1):
+            spans = [[(s["start"], s["end"]) for s in own] for own in part.column(3).to_pylist()]
+            texts = [_without(t, s) for t, s in zip(part.column(1).to_pylist(), spans, strict=True)]
+            gone = np.asarray(part.column(2)) + np.array([sum(b - a for a, b in s) for s in spans], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(gone)], names=["row", "text", "gone"])
 
 
 def cut(text: str, windows: Windows) -> tuple[str, int]:
@@ -151,10 +195,8 @@ def cut(text: str, windows: Windows) -> tuple[str, int]:
         spans, _ = windows.hits(words(text))
         if not spans:
             return text, gone
-        places = [m.span() for m in WORD.finditer(text)]
-        for a, b in reversed(spans):
-            text = text[: places[a][0]] + text[places[b - 1][1] :]
-            gone += b - a
+        text = _without(text, spans)
+        gone += sum(b - a for a, b in spans)
 
 
 def _remover(shared, at: int):

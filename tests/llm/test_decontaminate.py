@@ -59,6 +59,17 @@ def test_removal(spark):
     assert all(r.text == texts[r.doc_id] for r in rows if r.doc_id in clean)
 
 
+def test_removal_does_not_depend_on_blocks(spark):
+    docs, bench = data()
+    w = [f"w{i}" for i in range(1, 16)]
+    bench = [*bench, *((200 + i, " ".join(w[i : i + 10])) for i in range(6))]
+    docs = [*docs, (300, "a " + " ".join(w) + " b"), (301, " ".join([*w[:5], *w, *w[5:]]))]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    whole, dealt = (sorted((tuple(r) for r in d.remove(df, b, block_chars=c).collect()), key=str) for c in (d.BLOCK_CHARS, 100))
+    assert dealt == whole and not any(x[5] for x in brute([r[:2] for r in dealt], bench))
+    assert (300, "a  b", 15) in dealt
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
