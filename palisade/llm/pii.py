@@ -9,8 +9,10 @@ features bound. *Calibration*: for each kind the least score at which the share
 candidates of the other fold is ``PRECISION``. The trees become CASE expressions that score every candidate.
 
 The weak label of a candidate: its format passes a check (Luhn, octets, digits of a phone number, an address's
-form), or the word before it tells its kind. The checks are no features of the trees. What passes the checks of the
-four base kinds always stays; the method adds candidates at or over the threshold that overlap none of those.
+form), or the word before it tells its kind. The checks are no features of the trees, nor is the telling word where it
+alone makes the label (bare phone numbers and tokens). What passes the checks of the four base kinds always stays. The
+method adds, where they overlap none of those, the candidates of the other patterns (``ADDED``) whose weak label is
+positive, however few a table has of them, and all candidates at or over the threshold of their kind.
 
 Spans are in code points from 0, end exclusive. Null texts have no spans; rows are kept one to one, repeated rows
 and null keys too; ``redact`` keeps other columns, ``spans`` does not carry them. Empty tables give no rows.
@@ -48,6 +50,8 @@ GENERATORS = [
 ]
 # The generators (from 0) whose matches are the base patterns' own.
 BASE_GENERATORS = {0: "email", 2: "ip", 3: "card", 4: "phone"}
+# The generators of the kinds that the base patterns do not have, and those of them whose format has no check.
+ADDED, UNCHECKED = [1, 5, 6, 7], [5, 7]
 # Words before a candidate that tell its kind.
 CUES = {
     "email": ["mail", "email", "e-mail", "contact", "write"],
@@ -132,7 +136,7 @@ def features(gen: Column, match: Column, before: Column, after: Column) -> dict[
         "digits": F.when(n <= 3, n).when(n <= 6, 4).when(n <= 8, 5).when(n <= 9, 6).when(n <= 11, 7).when(n <= 15, 8).when(n <= 16, 9).when(n <= 19, 10).otherwise(11),
         "apart": F.when(match.rlike("[()]"), 3).when(match.rlike("[0-9][ -][0-9]"), 2).when(match.rlike(r"[0-9]\.[0-9]"), 1).otherwise(0),
         "letters": F.when(n == size, 0).when(n * 4 >= size, 1).when(n > 0, 2).otherwise(3),
-        "cue": reduce(lambda out, i: F.when(cue(before) == KINDS[i], i + 1).otherwise(out), range(len(KINDS)), F.lit(0)),
+        "cue": F.when(gen.isin(UNCHECKED), 0).otherwise(reduce(lambda out, i: F.when(cue(before) == KINDS[i], i + 1).otherwise(out), range(len(KINDS)), F.lit(0))),
         "left": side(F.right(before, F.lit(1))),
         "right": side(after),
     }
@@ -145,6 +149,11 @@ def label(gen: Column, match: Column, before: Column) -> Column:
     return (checked(gen, match) | (cue(before) == kind(gen))).cast("int")
 
 
+def sure(gen: Column, match: Column, before: Column) -> Column:
+    """Whether a candidate that is no base pattern's is added whatever the trees say."""
+    return gen.isin(ADDED) & (label(gen, match, before) == 1)
+
+
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A row for each candidate and, with gen -1, for each document."""
     none = F.struct(F.lit(-1).alias("gen"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("before"), F.lit("").alias("after"))
@@ -251,8 +260,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", model: dict
     c = [F.col(x) for x in ("gen", "match", "before", "after")]
     placed = found.select("row", "key", "gen", "match", "before", "after", (F.sum(F.col("gap") + F.length("match")).over(by)).alias("end"), F.length("match").alias("size"))
     values = {n: v.cast("int").alias(n) for n, v in features(*c).items()}
-    judged = placed.select("row", "key", "end", "size", named.alias("kind"), base(c[0], c[1]).alias("base"), *[v if n != "gen" else F.col("gen") for n, v in values.items()])
-    kept = judged.withColumn("added", selected(model, F.col("gen"), {n: F.col(n) for n in NAMES})).filter("gen < 0 or base or added")
+    judged = placed.select("row", "key", "end", "size", named.alias("kind"), base(c[0], c[1]).alias("base"), sure(*c[:3]).alias("sure"), *[v if n != "gen" else F.col("gen") for n, v in values.items()])
+    kept = judged.withColumn("added", F.col("sure") | selected(model, F.col("gen"), {n: F.col(n) for n in NAMES})).filter("gen < 0 or base or added")
     order = reduce(lambda out, i: F.when(F.col("kind") == KINDS[i], i).otherwise(out), range(len(KINDS)), F.lit(-1))
     one = kept.select("row", "key", (F.col("end") - F.col("size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", order.alias("order"), "base", (F.col("gen") < 0).alias("document"))
     # An added span may overlap no base span: the furthest end before, and the nearest start after.
@@ -295,15 +304,16 @@ def redact(docs: DataFrame, text: str = "text", model: dict | None = None) -> Da
 
 def _valued(g: int):
     def one(x):
-        values = features(F.lit(g), x["m"], F.right(x["before"], F.lit(CONTEXT)), F.left(x["after"], F.lit(1)))
-        return F.struct(x["before"].alias("before"), x["m"].alias("m"), base(F.lit(g), x["m"]).alias("base"), *[v.cast("int").alias(n) for n, v in values.items()])
+        before = F.right(x["before"], F.lit(CONTEXT))
+        values = features(F.lit(g), x["m"], before, F.left(x["after"], F.lit(1)))
+        return F.struct(x["before"].alias("before"), x["m"].alias("m"), (base(F.lit(g), x["m"]) | sure(F.lit(g), x["m"], before)).alias("sure"), *[v.cast("int").alias(n) for n, v in values.items()])
 
     return one
 
 
 def _put(g: int, model: dict):
     def one(x):
-        gone = x["base"] | selected(model, F.lit(g), {n: x[n] for n in NAMES})
+        gone = x["sure"] | selected(model, F.lit(g), {n: x[n] for n in NAMES})
         return F.concat(x["before"], F.when(gone, F.lit(f"[{GENERATORS[g][0].upper()}]")).otherwise(x["m"]))
 
     return one

@@ -66,6 +66,19 @@ def test_added_and_redacted(spark):
     assert out[2] == data[2][1] and out[5000] == "nothing here" and out[5001] is None
 
 
+def test_few_are_found_as_well_as_many(spark):
+    """Two of each kind are far too few to calibrate; a telling word is no feature where it alone is the label."""
+    texts = ["ssn 123-45-6789 x", "id 321-54-9876 y", "api_key = 0123456789abcdef0123456789abcdef01234567 x", "call (555) 123-4567 x", "ask ann [at] mail [dot] org x", "room 000-12-3456 x", "see (555) 123-4567 x", "0123456789abcdef0123456789abcdef01234567"]
+    want = ["ssn [SSN] x", "id [SSN] y", "api_key = [TOKEN] x", "call [PHONE] x", "ask [EMAIL] x", *texts[5:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == want
+    found = {r.doc_id: r.spans for r in pii.digests(pii.spans(df)).collect()}
+    assert [found[i].split(":")[0] for i in range(8)] == ["ssn", "ssn", "token", "phone", "email", "", "", ""]
+    rows = [(5, "(555) 123-4567", "call ", " "), (5, "(555) 123-4567", "seen ", " ")]
+    c = [pii.F.col(x) for x in ("gen", "match", "before", "after")]
+    assert len({r.cue for r in spark.createDataFrame(rows, "gen int, match string, before string, after string").select(pii.features(*c)["cue"].alias("cue")).collect()}) == 1
+
+
 def test_redaction_leaves_no_base_span(spark):
     """Where spans do not touch; else what a cut leaves of a longer run of digits may look like another kind."""
     rng = random.Random(2)
