@@ -2,17 +2,20 @@
 
 The tokenizer is one whose file describes: NFC, runs of white space as one space, lower case; a split into
 contractions, runs of letters, single digits and runs of other signs; byte-level symbols; merges by rank with a
-word-end suffix. Texts are cut at white space, and each distinct chunk is encoded once per task: the symbols of
-all new words lie in one flat array, each round finds the rank of every neighbouring pair by binary search over
-the sorted pair keys, and merges the lowest-ranked pair of each word wherever it stands, until no pair is left.
-
-Null texts are as empty ones and have no tokens; rows are kept one to one, whatever other columns they have.
-The vocabulary is the only thing broadcast: its size is that of the file, whatever the corpus.
+word-end suffix. Texts are cut at white space, and a Python worker keeps the ids of chunks that it has met: two generations of
+``CACHED`` chunks, so that frequent ones stay and memory is bounded. The symbols of all new words lie in one flat
+array with the rank of every neighbouring pair, found by binary search over the sorted pair keys; each round
+merges the lowest-ranked pair of each word wherever it stands and searches anew only the pairs beside a merge, until no pair is left.
+
+Null texts are as empty ones and have no tokens; very long texts are encoded whole; rows are kept one to one, repeated ones
+and null ids too, whatever other columns they have; an empty table gives no rows. Ranks have no ties. The
+vocabulary is the only thing broadcast: its size is that of the file, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -25,10 +28,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Distinct chunks of text that a task keeps encoded; beyond that it starts anew (results do not depend on it).
-CACHED = 120_000
+#: Distinct chunks of text of a generation that a worker keeps encoded (results do not depend on it).
+CACHED = 200_000
 #: Bytes of text that are encoded at a time; their chunks are many small objects.
-STEP = 1 << 20
+STEP = 2 << 20
 NO_RANK = np.int64(1) << 40
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 
@@ -86,55 +89,79 @@ class Vocabulary:
         #: No merge uses a token before a merge makes it; so equal pairs of a word can be merged in one round.
         self.ordered = bool((born[left] < np.arange(len(made))).all() and (born[right] < np.arange(len(made))).all())
         self.words = split_pattern(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        #: What every special token begins with: texts without it have none.
+        self.mark = os.path.commonprefix(list(self.special))
         self.added = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
 
+    def encoder(self) -> Encoder:
+        """One encoder as long as this object lives: in a worker, as long as it keeps the broadcast."""
+        if not hasattr(self, "_encoder"):
+            self._encoder = Encoder(self)
+        return self._encoder
+
 
-def merged(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """Token ids of each word (UTF-8 bytes, not empty)."""
+def merged(words: list[bytes], v: Vocabulary) -> list[bytes]:
+    """Token ids of each word (UTF-8 bytes, not empty), as bytes of 32-bit numbers."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     raw = np.frombuffer(b"".join(words), dtype=np.uint8)
     last = np.cumsum(sizes) - 1
     symbol = v.inner[raw]
     symbol[last] = v.final[raw[last]]
     word = np.repeat(np.arange(len(words)), sizes)
-    done: list[np.ndarray] = [symbol[:0]] * len(words)
-    while len(symbol):
-        pair = symbol[:-1] * v.size + symbol[1:]
+    ended: list[tuple[np.ndarray, np.ndarray]] = []  # words without a pair left: (word, symbol) of each symbol
+
+    def found(left, right):
+        """Rank of each pair, and what it is merged to."""
+        pair = symbol[left] * v.size + symbol[right]
         at = np.minimum(np.searchsorted(v.keys, pair), len(v.keys) - 1)
-        rank = np.where((v.keys[at] == pair) & (word[:-1] == word[1:]), v.ranks[at], NO_RANK)
-        rank = np.append(rank, NO_RANK)
+        return np.where((v.keys[at] == pair) & (word[left] == word[right]), v.ranks[at], NO_RANK), v.made[at]
+
+    # rank[i], into[i]: of the pair of symbols i and i + 1; the last of a word has none.
+    place = np.arange(len(symbol))
+    rank, into = np.full(len(symbol), NO_RANK), np.zeros(len(symbol), dtype=np.int64)
+    if len(symbol):
+        rank[:-1], into[:-1] = found(place[:-1], place[1:])
+    while len(symbol):
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         least = np.minimum.reduceat(rank, starts)
         counts = np.diff(np.r_[starts, len(symbol)])
         least_here = np.repeat(least, counts)
-        take = (rank == least_here) & (rank < NO_RANK)
+        over = least_here >= NO_RANK
+        if over.any():
+            ended.append((word[over], symbol[over]))
+            go = ~over
+            symbol, word, rank, into, least_here = symbol[go], word[go], rank[go], into[go], least_here[go]
+            if not len(symbol):
+                break
+        take = rank == least_here
         if v.ordered:  # where a pair overlaps itself, every second place from the left
-            place = np.arange(len(take))
-            begins = np.maximum.accumulate(np.where(take & ~np.r_[False, take[:-1]], place, -1))
-            take &= (place - begins) % 2 == 0
+            spot = np.arange(len(take))
+            begins = np.maximum.accumulate(np.where(take & ~np.r_[False, take[:-1]], spot, -1))
+            take &= (spot - begins) % 2 == 0
         else:  # the leftmost place only
             where = np.flatnonzero(take)
-            first = where[np.r_[True, word[where][1:] != word[where][:-1]]] if len(where) else where
+            first = where[np.r_[True, word[where][1:] != word[where][:-1]]]
             take = np.zeros(len(take), dtype=bool)
             take[first] = True
-        symbol[take] = v.made[at[np.flatnonzero(take)]]
+        symbol[take] = into[take]
         keep = ~np.r_[False, take[:-1]]
-        over = least_here >= NO_RANK
-        if over.any():
-            ended = np.flatnonzero(over)
-            ids, cuts = symbol[ended], np.flatnonzero(np.r_[True, word[ended][1:] != word[ended][:-1]])
-            for w, piece in zip(word[ended][cuts], np.split(ids, cuts[1:]), strict=True):
-                done[w] = piece
-            keep &= ~over
-        symbol, word = symbol[keep], word[keep]
-    return done
+        symbol, word, rank, into, take = symbol[keep], word[keep], rank[keep], into[keep], take[keep]
+        new = np.flatnonzero(take | np.r_[take[1:], False])  # pairs that a merged symbol begins or ends
+        last = len(symbol) - 1
+        rank[new] = NO_RANK
+        new = new[new < last]
+        rank[new], into[new] = found(new, new + 1)
+    word, symbol = (np.concatenate(x) for x in zip(*ended, strict=True)) if ended else (word, symbol)
+    flat = symbol[np.argsort(word, kind="stable")].astype(np.int32).tobytes()
+    ends = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of chunks that it has seen as bytes of 32-bit numbers."""
+    """Encodes texts; keeps the ids of chunks that it has seen as bytes of 32-bit numbers, in two generations."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.seen = v, {}
+        self.v, self.seen, self.before = v, {}, {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -146,24 +173,29 @@ class Encoder:
         return regex.split(r"\s+", text) if _CONTROLS.search(text) else text.split()
 
     def learn(self, new: set[str]) -> None:
-        parts = [self.v.words.findall(c) for c in new]
-        words = list({w for p in parts for w in p})
-        ids = dict(zip(words, (x.astype(np.int32).tobytes() for x in merged([w.encode() for w in words], self.v)), strict=True)) if words else {}
-        self.seen.update(zip(new, (b"".join(ids[w] for w in p) for p in parts), strict=True))
+        plain = [c for c in new if c.isascii() and c.isalpha()]  # a run of letters is one word
+        rest = list(new.difference(plain))
+        parts = [self.v.words.findall(c) for c in rest]
+        words = list({w for p in parts for w in p}.union(plain))
+        ids = dict(zip(words, merged([w.encode() for w in words], self.v), strict=True))
+        self.seen.update((c, ids[c]) for c in plain)
+        self.seen.update(zip(rest, (b"".join([ids[w] for w in p]) for p in parts), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of 32-bit numbers."""
         pieces = []  # of each text: lists of chunks, and ids of special tokens
         for t in texts:
             own, at = [], 0
-            for m in self.v.added.finditer(t) if t and "<|" in t else ():
+            for m in self.v.added.finditer(t) if t and self.v.special and self.v.mark in t else ():
                 own += [self.chunks(t[at : m.start()]), self.v.special[m[0]]]
                 at = m.end()
             pieces.append([*own, self.chunks(t[at:])] if t else [])
-        new = {c for own in pieces for p in own if isinstance(p, list) for c in p if c not in self.seen}
-        if len(self.seen) + len(new) > CACHED:
-            self.seen.clear()
-            new = {c for own in pieces for p in own if isinstance(p, list) for c in p}
+        if len(self.seen) > CACHED:
+            self.before, self.seen = self.seen, {}
+        new = set().union(*(p for own in pieces for p in own if isinstance(p, list))).difference(self.seen)
+        for c in new.intersection(self.before):
+            self.seen[c] = self.before[c]
+        new.difference_update(self.before)
         if new:
             self.learn(new)
         get = self.seen.__getitem__
@@ -192,7 +224,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
 
     def run(batches):
         v = shared.value
-        encoder, tokens = Encoder(v), pa.array(v.tokens)
+        encoder, tokens = v.encoder(), pa.array(v.tokens)
         for batch in batches:
             for part in common.steps(batch, batch.num_columns - 1, STEP):
                 got = _lists(encoder.encode(part.column(part.num_columns - 1).to_pylist()))
