@@ -17,19 +17,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, one of our own if all runs on one machine; a cluster has to name one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palisade-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: a cluster has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="palisade-"))
     return sc.getCheckpointDir()
 
 
+class Scratch:
+    """Tables of one job in the shared folder, which ``clear`` deletes when no result reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table: cuts the lineage, and outlives any executor."""
+        path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for p in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder that stays, as results read it."""
+    return Scratch(df.sparkSession).written(df)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not taken (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def fold(column: str = "doc_id"):

@@ -22,18 +22,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): every node of an edge with the least node of its component.
+    """(node, root): every node of an edge with the least node of its component, as a table.
 
     Each round is written to the shared folder, so that the lineage stays short and lost executors cost one round
-    at most. Edges from a node to itself and repeated ones make no difference; rows with a null end are no edges.
+    at most; rounds before the last are deleted. Edges from a node to itself and repeated ones make no difference; rows with a null end are no edges.
     """
-    now = common.written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
+    spark = edges.sparkSession
+    last = common.Scratch(spark)
+    now = last.written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
     state = None
     while True:
-        after = common.written(_small_star(_large_star(now)))
+        own = common.Scratch(spark)
+        after = own.written(_small_star(_large_star(now)))
+        last.clear()
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now, last = after, own
         if mark == state or mark[0] == 0:
             break
-        now, state = after, mark
-    roots = after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        state = mark
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -49,12 +49,50 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch):
     rows = data()
     spark.createDataFrame([(k, t, "r") for k, t in rows], "doc_id long, text string, row string").repartition(3).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    for longest in (n.LONGEST, 3):
+    for longest, held, broadcast in ((n.LONGEST, n.HELD, n.MOST_BROADCAST), (3, n.HELD, 0), (n.LONGEST, 2000, 10)):
         monkeypatch.setattr(n, "LONGEST", longest)
+        monkeypatch.setattr(n, "HELD", held)
+        monkeypatch.setattr(n, "MOST_BROADCAST", broadcast)
         out = n.without_copies(docs)
         assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == brute(rows)
 
 
+def test_rows_mean_the_same_whatever_the_split(spark, tmp_path, monkeypatch):
+    """A table whose files are split otherwise at each reading."""
+    rows = [(k, t) for k, t in data() if k is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(str(tmp_path / "d"))
+    at, written = iter(range(1, 1000)), n.common.Scratch.written
+
+    def otherwise(self, df):
+        spark.conf.set("spark.sql.files.minPartitionNum", next(at) % 7 + 1)
+        return written(self, df)
+
+    monkeypatch.setattr(n.common.Scratch, "written", otherwise)
+    out = n.without_copies(spark.read.parquet(str(tmp_path / "d")))
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(r.doc_id for r in out.collect()) == brute(rows)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 30, 33, 60, 64, 100, 700):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(base[: size - size // 5 or 1]), np.unique(np.r_[base, rng.integers(0, 2**63, size // 6, dtype=np.uint64)])]
+    for group in (sets[:12], sets):  # few are compared as numbers, many as arrays
+        sizes, bits = np.array([len(s) for s in group]), [n.sketch(s) for s in group]
+        own = n.Sketches(sizes, bits)
+        for x in range(len(group)):
+            left = np.array([y for y in range(len(group)) if y != x])
+            near = {y for y in left.tolist() if min(sizes[x], sizes[y]) >= 0.8 * max(sizes[x], sizes[y])}
+            who, differ = own.apart(x, np.array(sorted(near), dtype=np.int64))
+            assert set(who.tolist()) == near
+            for y, d in zip(who.tolist(), differ.tolist(), strict=True):
+                short = min(len(bits[x]), len(bits[y])) * 8
+                assert d == (n.folded(int.from_bytes(bits[x], "little"), len(bits[x]) * 8, short) ^ n.folded(int.from_bytes(bits[y], "little"), len(bits[y]) * 8, short)).bit_count()
+                assert d <= len(np.setxor1d(group[x], group[y]))
+
+
 def test_bands_catch_pairs():
     rng = np.random.default_rng(1)
     caught = 0
