@@ -88,15 +88,14 @@ def strip_tag(c) -> Column:
 
 
 def parse_version(c) -> Column:
-    """array<int> of a version's parts; null where a part is no number."""
-    parts = F.split(strip_tag(c), r"\.")
-    whole = F.forall(parts, lambda p: p.rlike("^[0-9]{1,9}$"))
-    return F.when(whole, F.transform(parts, lambda p: p.cast("int")))
+    """array<bigint> of a version's parts; null where a part is no number of 32 bits without a sign (a plus is allowed)."""
+    parts = F.transform(F.split(strip_tag(c), r"\."), lambda p: F.when(p.rlike(r"^[+]?[0-9]+\z"), p.try_cast("bigint")))
+    return F.when(F.forall(parts, lambda p: F.coalesce(p <= 4294967295, F.lit(False))), parts)
 
 
 def is_newer(current, latest) -> Column:
     """Whether the latest version is newer, by its first three parts; missing parts are 0, unreadable versions never newer."""
-    key = lambda v: F.struct(*[F.coalesce(F.get(v, F.lit(i)), F.lit(0)).alias(f"p{i}") for i in range(3)])
+    key = lambda v: F.struct(*[F.coalesce(F.get(v, F.lit(i)), F.lit(0).cast("bigint")).alias(f"p{i}") for i in range(3)])
     a, b = parse_version(current), parse_version(latest)
     return F.coalesce(a.isNotNull() & b.isNotNull() & (key(b) > key(a)), F.lit(False))
 

@@ -43,10 +43,13 @@ def parse_configs(files: DataFrame, name: str = CONFIG_FILE) -> DataFrame:
 
 
 def hygiene_checks(files: DataFrame, config: str = CONFIG_FILE, key: str = KEY_NAME) -> DataFrame:
-    """(repo, name, status, message): the checks of each repository, by one aggregation over its files' flags."""
+    """(repo, name, status, message): the checks of each repository; of its files only those that the checks read are gathered."""
     top = F.col("depth") == 1
+    every = files.select("repo").distinct()
+    files = files.filter((top & F.col("file_name").isin(config, ".env", ".gitignore")) | F.endswith("file_name", F.lit(".bak")))
     content = lambda name: F.max(F.when(top & (F.col("file_name") == name), F.coalesce("content", F.lit(""))))
     own = files.groupBy("repo").agg(content(config).alias("config"), content(".env").alias("env"), F.coalesce(content(".gitignore"), F.lit("")).alias("ignore"), F.count_if(F.endswith("file_name", F.lit(".bak"))).alias("backups"))
+    own = every.join(own, "repo", "left").withColumns({"ignore": F.coalesce("ignore", F.lit("")), "backups": F.coalesce("backups", F.lit(0).cast("long"))})
     parsed = F.from_json("config", CONFIG)
     valid = parsed["version"].isNotNull() & parsed["api_key"].isNotNull() & parsed["proxy_url"].isNotNull() & parsed["providers"].isNotNull()
     check = lambda name, status, message: F.struct(F.lit(name).alias("name"), F.lit(status).alias("status"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
@@ -99,6 +102,11 @@ def repo_status(configs: DataFrame) -> DataFrame:
         F.size(F.coalesce("providers", F.array().cast("array<string>"))).alias("n_providers"),
         F.size("metadata.files_managed").alias("n_managed"),
         F.size("metadata.backups").alias("n_backups"),
+        *["enabled", "runtime_mode", "proxy_url", "providers", "backup_enabled", "env_file", "framework", "exclude_patterns"],
+        F.col("metadata.files_managed").alias("managed_files"),
+        F.col("metadata.backups").alias("backups"),
+        F.col("metadata.cli_version").alias("cli_version"),
+        F.col("metadata.last_applied").alias("last_applied"),
     )
 
 

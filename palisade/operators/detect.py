@@ -1,8 +1,9 @@
 """Calls of provider kits in source files, by masking and patterns, all providers in one pass.
 
-A file's comments and strings are blanked sign by sign, so that places in the mask are places in the file; calls are
-looked for in the mask, and argument texts are cut from the file at the same places. Arguments may nest to a depth of
-six brackets; deeper calls and unclosed ones are not found. Files without any telling word are not masked at all.
+A file's comments and strings are blanked sign by sign, so that places in the mask are places in the file. One fold over
+the brackets of the mask and the names before them finds where each call starts (with whatever object its name is taken from),
+and the bracket that closes it, at any depth; argument texts are cut from the file at the same places. Unclosed calls are
+not found. Files without any telling word are not masked at all.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ _PY_TOKEN = r"""#[^\n]*+|\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\
 _JS_TOKEN = r"""//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|"(?:[^"\\\n]|\\[\s\S])*+"?|'(?:[^'\\\n]|\\[\s\S])*+'?|`(?:[^`\\]|\\[\s\S])*+`?|[^/"'`]++|/"""
 
 
-def _nested(opens: str, closes: str, depth: int = 6) -> str:
+def _nested(opens: str, closes: str, depth: int = 24) -> str:
+    """A pattern of a bracket and what it closes, for the insides of one call."""
     out = rf"[^{opens}{closes}]"
     body = f"(?:{out}++)*+"
     for _ in range(depth):
@@ -28,9 +30,10 @@ def _nested(opens: str, closes: str, depth: int = 6) -> str:
 
 ARGUMENTS = _nested(r"\(", r"\)")
 OBJECT = _nested(r"\{", r"\}")
-_NAMES = r"(?:[A-Za-z_]\w*+\.)*+"
-PY_CALL = rf"(?<![\w.])(?<!class )(?<!def ){_NAMES}(?:(?:Async)?(?:OpenAI|Anthropic|Groq|InferenceClient)|Client(?:V2)?|client)\s*+(?=({ARGUMENTS}))"
-TS_CALL = rf"(?<![\w.$])new\s++(?:OpenAI|Anthropic|CohereClient|HfInference|GoogleGenAI|Groq|BedrockRuntimeClient)\s*+(?=({ARGUMENTS}))"
+# What the fold goes over: names before a bracket (those of an object that ends in a bracket begin with a dot), and brackets.
+PY_TOKEN = r"(?<![\w.])(?<!class )(?<!def )[A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)*+\s*+(?=[(\[])|(?<=[)\]])\s*+(?:\.[A-Za-z_]\w*+)++\s*+(?=[(\[])|[()\[\]]"
+PY_CLASS = r"(?:^|\.)(?:(?:Async)?(?:OpenAI|Anthropic|Groq|InferenceClient)|Client(?:V2)?|client)$"
+TS_TOKEN = r"(?<![\w.$])new\s++(?:OpenAI|Anthropic|CohereClient|HfInference|GoogleGenAI|Groq|BedrockRuntimeClient)\s*+(?=\()|[()]"
 
 
 def language(ext) -> Column:
@@ -94,27 +97,55 @@ def calls(files: DataFrame, keep: tuple[str, ...] = ("repo", "path")) -> DataFra
     """
     likely = files.withColumn("language", language("ext")).filter(F.col("language").isNotNull() & F.col("content").rlike(TELLING))
     both = likely.select(*keep, "language", "content", masked("content", "language").alias("mask"))
-    pattern = lambda g: F.when(F.col("language") == "python", F.regexp_extract_all("mask", F.lit(PY_CALL), F.lit(g))).otherwise(F.regexp_extract_all("mask", F.lit(TS_CALL), F.lit(g)))
-    gaps = F.when(F.col("language") == "python", F.split("mask", PY_CALL, -1)).otherwise(F.split("mask", TS_CALL, -1))
-    zipped = F.arrays_zip(pattern(0).alias("head"), pattern(1).alias("inside"), F.slice(gaps, F.lit(1), F.size(pattern(0))).alias("gap"))
-    each = both.select(*keep, "language", "content", F.posexplode(_placed(zipped)).alias("n", "c")).select(*keep, "language", "content", "c.*")
-    each = each.select("*", (F.col("start") + F.length("head")).alias("args_start"))
-    each = each.withColumn("args", F.substring("content", F.col("args_start") + 1, F.length("inside")))
-    before = F.substring("content", F.lit(1), F.col("start"))
-    each = each.withColumns({"provider": _provider(F.col("head"), F.col("args")), "line": F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, "column": F.octet_length(F.substring_index(before, "\n", -1)) + 1})
-    return each.filter("provider is not null").select(*keep, "language", "provider", F.rtrim("head").alias("head"), "start", "args_start", "args", F.col("inside").alias("args_masked"), "line", "column")
+    found = F.when(F.col("language") == "python", _found("mask", PY_TOKEN)).otherwise(_found("mask", TS_TOKEN))
+    each = both.select(*keep, "language", F.explode(F.transform(found, _shown)).alias("c")).select(*keep, "language", "c.*")
+    return each.withColumn("provider", _provider(F.col("head"), F.col("args"))).filter("provider is not null").select(*keep, "language", "provider", "head", "start", "args_start", "args", "args_masked", "line", "column")
+
+
+def _shown(c: Column) -> Column:
+    """A call's texts, line and column from its places."""
+    before = F.substring(F.col("content"), F.lit(1), c["start"])
+    inside = lambda t: F.substring(F.col(t), c["args"] + 1, c["end"] - c["args"])
+    return F.struct(
+        F.rtrim(c["head"]).alias("head"),
+        c["start"].alias("start"),
+        c["args"].alias("args_start"),
+        inside("content").alias("args"),
+        inside("mask").alias("args_masked"),
+        (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"),
+        (F.octet_length(F.substring_index(before, "\n", -1)) + 1).alias("column"),
+    )
 
 
-def _placed(zipped: Column) -> Column:
-    """Adds the place of each match: the lengths of all gaps and heads before it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<head:string,inside:string,start:int>>").alias("out"))
+_STATE = "struct<at:int,head:string,begin:int,open:array<struct<head:string,begin:int,args:int>>,out:array<struct<head:string,start:int,args:int,end:int>>>"
 
-    def step(acc, x):
-        here = acc["at"] + F.length(x["gap"])
-        one = F.struct(x["head"].alias("head"), x["inside"].alias("inside"), here.alias("start"))
-        return F.struct((here + F.length(x["head"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+def _found(mask: str, token: str) -> Column:
+    """array<struct<head, start, args, end>>: the calls of a mask, by a fold over its tokens.
+
+    The state: the place, the name that a bracket may follow, where the object that may go on began, the open brackets, the calls found.
+    """
+    words, gaps = F.regexp_extract_all(F.col(mask), F.lit(token), F.lit(0)), F.split(F.col(mask), token, -1)
+    tokens = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda t, g: F.struct(t.alias("t"), F.length(g).alias("gap")))
+    none = F.struct(F.lit(0), F.lit(None).cast("string"), F.lit(-1), F.array(), F.array()).cast(_STATE)
+
+    def step(acc, x):
+        at, t = acc["at"] + x["gap"], x["t"]
+        after = at + F.length(t)
+        goes_on = (x["gap"] == 0) & (acc["begin"] >= 0)
+        begin = F.when(goes_on, acc["begin"]).otherwise(at)
+        top = F.element_at(acc["open"], -1)
+        ours = (t == ")") & F.coalesce(F.rtrim(top["head"]).rlike(PY_CLASS) | F.startswith(top["head"], F.lit("new")), F.lit(False))
+        state = lambda head, begin, opened, out: F.struct(after, head, begin, opened, out).cast(_STATE)
+        no_head = F.lit(None).cast("string")
+        opened = state(no_head, F.lit(-1), F.concat(acc["open"], F.array(F.struct(F.when(t == "(", acc["head"]).alias("head"), begin.alias("begin"), at.alias("args")))), acc["out"])
+        out = F.when(ours, F.concat(acc["out"], F.array(F.struct(top["head"].alias("head"), top["begin"].alias("start"), top["args"].alias("args"), after.alias("end"))))).otherwise(acc["out"])
+        closed = state(no_head, top["begin"], F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1), out)
+        name = state(t, F.when(F.ltrim(t).startswith("."), begin).otherwise(at), acc["open"], acc["out"])
+        stray = state(no_head, F.lit(-1), acc["open"], acc["out"])
+        return F.when(t.isin("(", "["), opened).when(t.isin(")", "]"), F.when(F.size(acc["open"]) > 0, closed).otherwise(stray)).otherwise(name)
+
+    return F.aggregate(tokens, none, step, lambda acc: F.array_sort(acc["out"], lambda a, b: a["start"] - b["start"]))
 
 
 def detect_all(files: DataFrame, keep: tuple[str, ...] = ("repo", "path")) -> DataFrame:
@@ -153,8 +184,15 @@ def coverage(detections: DataFrame) -> DataFrame:
 
 
 def provider_summary(detections: DataFrame) -> DataFrame:
-    return detections.groupBy("provider").agg(
-        F.countDistinct("path").alias("file_count"),
+    """(provider, file_count, instance_count) over all repositories; numbers alone are shuffled."""
+    files = detections.groupBy("provider", "repo", "path").agg(F.count("*").alias("n"))
+    return files.groupBy("provider").agg(F.count("*").alias("file_count"), F.sum("n").alias("instance_count"))
+
+
+def provider_report(detections: DataFrame) -> DataFrame:
+    """A row for each provider and repository, with its sorted files and calls nested: a list is as long as one repository makes it."""
+    return detections.groupBy("provider", "repo").agg(
+        F.count_distinct("path").alias("file_count"),
         F.count("*").alias("instance_count"),
         F.sort_array(F.collect_set("path")).alias("files"),
         F.sort_array(F.collect_list(F.struct("path", "line", "column", "has_base_url"))).alias("instances"),
@@ -164,5 +202,5 @@ def provider_summary(detections: DataFrame) -> DataFrame:
 def scan_totals(files: DataFrame, detections: DataFrame) -> DataFrame:
     """One row: files scanned, files with calls, calls, and providers found."""
     of_files = files.agg(F.count("*").alias("files_scanned"))
-    of_calls = detections.agg(F.countDistinct("path").alias("files_with_sdks"), F.count("*").alias("total_instances"), F.countDistinct("provider").alias("providers_found"))
+    of_calls = detections.agg(F.countDistinct("repo", "path").alias("files_with_sdks"), F.count("*").alias("total_instances"), F.countDistinct("provider").alias("providers_found"))
     return of_files.crossJoin(of_calls)  # one row each

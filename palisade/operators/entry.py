@@ -19,7 +19,7 @@ PYTHON_FRAMEWORKS = ["django", "fastapi", "flask"]
 def python_entry_points(files: DataFrame) -> DataFrame:
     """(repo, path): the usual names, and .py files with a main guard, at most three directories deep."""
     near = drop_symlinks(prune_skip_dirs(files, "any_component")).filter("depth <= 3")
-    guarded = F.lower("file_name").endswith(".py") & (F.contains("content", F.lit("if __name__ == \"__main__\"")) | F.contains("content", F.lit("if __name__ == '__main__'")))
+    guarded = F.lower("file_name").endswith(".py") & (F.contains("content", F.lit("if __name__ == \"__main__\":")) | F.contains("content", F.lit("if __name__ == '__main__':")))
     return near.filter(F.col("file_name").isin(PYTHON_ENTRY) | F.coalesce(guarded, F.lit(False))).select("repo", "path").distinct()
 
 

@@ -61,10 +61,9 @@ def env_inventory(defs: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def env_report(defs: DataFrame, uses: DataFrame) -> DataFrame:
-    """(name, places): of API-related definitions and of all uses, in words."""
+    """(name, place): a row for each API-related definition and each use, in words; nothing is gathered by name."""
     place = lambda what: F.format_string(f"{what} in %s:%d", F.col("path"), F.col("line"))
-    both = api_related(defs).select("name", place("Defined").alias("place")).unionByName(uses.select("name", place("Used").alias("place")))
-    return both.groupBy("name").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return api_related(defs).select("name", place("Defined").alias("place")).unionByName(uses.select("name", place("Used").alias("place")))
 
 
 def api_related(defs: DataFrame) -> DataFrame:

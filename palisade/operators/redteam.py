@@ -16,11 +16,16 @@ def presets(spark) -> DataFrame:
     return registry.values(spark, PRESETS, "preset string, cut double")
 
 
+def select_attack(attacks: DataFrame, name: str) -> DataFrame:
+    """The attacks of one name."""
+    return attacks.filter(F.col("test_name") == name)
+
+
 def run_redteam(attacks: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """(preset, test_name, prompt, decision, reason, threat_type, confidence, blocked): each attack is judged once, then set against
-    each preset; the presets are a table of a few rows, broadcast."""
+    each preset; the library's own presets are three rows, broadcast, and a caller's are left to Spark."""
     judged = scan_text(attacks.select("test_name", "prompt"), "prompt").drop("blocked", "decision")
-    pairs = judged.crossJoin(F.broadcast(presets(attacks.sparkSession) if chosen is None else chosen))
+    pairs = judged.crossJoin(F.broadcast(presets(attacks.sparkSession)) if chosen is None else chosen)
     blocked = F.col("threat_type").isNotNull() & (F.col("confidence") >= F.col("cut"))
     return pairs.select("preset", "test_name", "prompt", F.when(blocked, "block").otherwise("allow").alias("decision"), "reason", "threat_type", "confidence", blocked.alias("blocked"))
 

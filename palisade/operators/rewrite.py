@@ -59,7 +59,7 @@ def plan_rewrites(files: DataFrame, proxy_url: str, env_var: str = "GATEWAY_API_
     name = F.regexp_replace("head", r"\s", "")
     bare = F.regexp_extract(name, r"([A-Za-z0-9_]+)$", 1)
     module = F.regexp_replace(F.regexp_extract(name, r"^(.*)\.[A-Za-z0-9_]+$", 1), r"^$", "")
-    own_module = (F.col("provider") == "cohere") | (module == "") | (module == F.col("py_module")) | (bare == name)
+    own_module = (F.col("provider") == "cohere") | (module == F.col("py_module")) | (bare == name)
     flat = _inside(F.col("args_masked"))
     for inner in (detect.ARGUMENTS, detect.OBJECT, r"\[[^\[\]]*+\]"):
         flat = F.regexp_replace(flat, inner, "x")

@@ -51,41 +51,72 @@ def _valid_cards(text: Column) -> Column:
     return F.when(text.rlike("[0-9]{16}"), F.concat(F.array_join(each, ""), F.element_at(parts, -1))).otherwise(text)
 
 
-def redacted(text: str | Column = "text", types: list[str] | None = None, luhn: bool = False) -> Column:
-    """The text with each finding given way to ``[<TYPE>_REDACTED]``. luhn: card numbers have to pass the checksum."""
+def _masked_findings(text: Column, pattern: str, valid=None) -> Column:
+    """Each finding by its last four characters, where ``valid`` holds of it."""
+    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    shown = lambda h: mask_key(h) if valid is None else F.when(valid(h), mask_key(h)).otherwise(h)
+    return F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(hits)), hits, lambda a, h: F.concat(a, shown(h))), ""), F.element_at(parts, -1))
 
-    def step(t: Column, rule: tuple[str, str]) -> Column:
-        k, p = rule
-        return _valid_cards(t) if luhn and k == "credit_card" else F.regexp_replace(t, p, f"[{k.upper()}_REDACTED]")
 
-    return reduce(step, _pii(types), col(text))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def pii_found(text: str | Column = "text", types: list[str] | None = None) -> Column:
-    """The types found, in the order of the rules; each is looked for in what the ones before it leave."""
-    t, found = col(text), []
+def _rule(kind: str, pattern: str, mode: str, cards: bool):
+    """One rule's step: from struct<text, found> to the next."""
+
+    def check(card):
+        return F.call_function("luhn_check", card)
+
+    def step(acc):
+        t = acc["text"]
+        hit = t.rlike(pattern)
+        if kind in registry.NEEDED:
+            hit = reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in registry.NEEDED[kind]]) & hit
+        if cards:
+            hit = hit & F.exists(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), check)
+        if mode == "mask":
+            new = _masked_findings(t, pattern, check if cards else None)
+        else:
+            new = _valid_cards(t) if cards else F.regexp_replace(t, pattern, f"[{kind.upper()}_REDACTED]")
+        return F.when(hit, F.struct(new.alias("text"), F.concat(acc["found"], F.array(F.lit(kind))).alias("found"))).otherwise(acc)
+
+    return step
+
+
+def judged(text: str | Column = "text", types: list[str] | None = None, mode: str = "redact", luhn: bool = False) -> Column:
+    """struct<text, found>: a text without its findings, and their types in the order of the rules.
+
+    One pass: each rule is looked for once, in what the rules before it leave. luhn: card numbers have to pass the checksum, in all modes.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode: one of {MODES}")
+    state = F.struct(col(text).alias("text"), F.array().cast("array<string>").alias("found"))
     for k, p in _pii(types):
-        found.append(F.when(t.rlike(p), F.lit(k)))
-        t = F.regexp_replace(t, p, f"[{k.upper()}_REDACTED]")
-    return F.coalesce(F.array_compact(F.array(*found)), F.array().cast("array<string>"))
+        state = _let(state, _rule(k, p, mode, luhn and k == "credit_card"))
+    if mode == "block":
+        return _let(state, lambda acc: F.struct(F.when(F.size(acc["found"]) == 0, acc["text"]).alias("text"), acc["found"].alias("found")))
+    return state
+
+
+def redacted(text: str | Column = "text", types: list[str] | None = None, luhn: bool = False) -> Column:
+    """The text with each finding given way to ``[<TYPE>_REDACTED]``. luhn: card numbers have to pass the checksum."""
+    return judged(text, types, "redact", luhn)["text"]
+
+
+def pii_found(text: str | Column = "text", types: list[str] | None = None, luhn: bool = False) -> Column:
+    """The types found, in the order of the rules; each is looked for in what the ones before it leave."""
+    return judged(text, types, "redact", luhn)["found"]
 
 
 def redact(df: DataFrame, text: str = "text", types: list[str] | None = None, mode: str = "redact", luhn: bool = False) -> DataFrame:
     """Adds redacted and pii_found. mode ``mask`` keeps the last four characters of a finding; ``block`` gives null where there is any."""
-    if mode not in MODES:
-        raise ValueError(f"mode: one of {MODES}")
-    found = pii_found(text, types)
-    if mode == "mask":
-        t = col(text)
-        for k, p in _pii(types):
-            parts, hits = F.split(t, p, -1), F.regexp_extract_all(t, F.lit(p), F.lit(0))
-            t = F.when(t.rlike(p), F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(hits)), hits, lambda a, h: F.concat(a, mask_key(h))), ""), F.element_at(parts, -1))).otherwise(t)
-        out = t
-    elif mode == "block":
-        out = F.when(F.size(found) == 0, col(text))
-    else:
-        out = redacted(text, types, luhn)
-    return df.withColumns({"redacted": out, "pii_found": found})
+    inner = "__judged"
+    while inner in df.columns:
+        inner += "_"
+    out = df.withColumn(inner, judged(text, types, mode, luhn))
+    return out.withColumns({"redacted": F.col(f"{inner}.text"), "pii_found": F.col(f"{inner}.found")}).drop(inner)
 
 
 def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

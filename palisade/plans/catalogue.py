@@ -87,6 +87,15 @@ def card_luhn(spark, sf_dir):
     return each.groupBy("doc_id").agg(F.count("*").alias("cards"), F.count_if(F.call_function("luhn_check", "c")).alias("valid"))
 
 
+_CARDS = "list_distinct(list_filter(regexp_extract_all(text, '[0-9]{16}'), lambda c: list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(c[i] AS INTEGER) WHEN CAST(c[i] AS INTEGER) > 4 THEN 2 * CAST(c[i] AS INTEGER) - 9 ELSE 2 * CAST(c[i] AS INTEGER) END)) % 10 = 0))"
+
+
+@query(f"SELECT doc_id, list_reduce(list_prepend(text, c), lambda a, x: replace(a, x, '[CREDIT_CARD_REDACTED]')) AS redacted, CASE WHEN len(c) > 0 THEN 'credit_card' ELSE '' END AS found FROM (SELECT doc_id, text, {_CARDS} AS c FROM documents)")
+def redact_cards_luhn(spark, sf_dir):
+    out = security.redact(table(spark, sf_dir, "documents"), types=["credit_card"], luhn=True)
+    return out.select("doc_id", "redacted", F.array_join("pii_found", ",").alias("found"))
+
+
 @query(f"SELECT doc_id, threat_type, confidence, threat_type IS NOT NULL AS blocked, CASE WHEN threat_type IS NULL THEN 'allow' ELSE 'block' END AS decision, CASE WHEN threat_type IS NULL THEN 'no rule matched' ELSE 'matched ' || threat_type END AS reason FROM (SELECT doc_id, {_T['threat_type']} AS threat_type, {_T['confidence']} AS confidence FROM documents)")
 def scan_documents(spark, sf_dir):
     return security.scan_text(table(spark, sf_dir, "documents")).select("doc_id", "threat_type", "confidence", "blocked", "decision", "reason")
@@ -153,10 +162,16 @@ def detect_calls(spark, sf_dir):
     return detect.detect_all(s.source_files(spark, sf_dir)).select("repo", "path", "provider", "line", "column", "has_base_url", "current_base_url")
 
 
-@query(f"SELECT provider, count(DISTINCT path) AS file_count, count(*) AS instance_count, string_agg(DISTINCT path, ',' ORDER BY path) AS files FROM ({s.calls_sql()}) GROUP BY provider")
+@query(f"SELECT provider, count(DISTINCT path) AS file_count, count(*) AS instance_count FROM ({s.calls_sql()}) GROUP BY provider")
 def provider_summary(spark, sf_dir):
-    out = detect.provider_summary(detect.detect_all(s.source_files(spark, sf_dir)))
-    return out.select("provider", "file_count", "instance_count", F.array_join("files", ",").alias("files"))
+    return detect.provider_summary(detect.detect_all(s.source_files(spark, sf_dir)))
+
+
+@query(f"SELECT provider, repo, count(DISTINCT path) AS file_count, count(*) AS instance_count, string_agg(DISTINCT path, ',' ORDER BY path) AS files, string_agg(path || ':' || line, ',' ORDER BY path, line, \"column\") AS instances FROM ({s.calls_sql()}) GROUP BY provider, repo")
+def provider_report(spark, sf_dir):
+    out = detect.provider_report(detect.detect_all(s.source_files(spark, sf_dir)))
+    places = F.transform("instances", lambda i: F.concat_ws(":", i["path"], i["line"]))
+    return out.select("provider", "repo", "file_count", "instance_count", F.array_join("files", ",").alias("files"), F.array_join(places, ",").alias("instances"))
 
 
 @query(f"SELECT (SELECT count(*) FROM documents WHERE doc_id % {len(s.CASES)} <> 15) AS files_scanned, count(DISTINCT path) AS files_with_sdks, count(*) AS total_instances, count(DISTINCT provider) AS providers_found FROM ({s.calls_sql()})")
@@ -170,9 +185,9 @@ def top_files(spark, sf_dir):
     return paths.top_files(detect.detect_all(s.source_files(spark, sf_dir)))
 
 
-@query(f"SELECT provider, path, line, rank, greatest(n - 1, 0) AS more FROM (SELECT provider, path, line, CAST(row_number() OVER (PARTITION BY provider, path ORDER BY line, \"column\") AS INTEGER) AS rank, count(*) OVER (PARTITION BY provider, path) AS n FROM ({s.calls_sql()})) WHERE rank <= 1")
+@query(f"SELECT provider, path, line, rank, greatest(n - 3, 0) AS more FROM (SELECT provider, path, line, CAST(row_number() OVER (PARTITION BY provider, path ORDER BY line, \"column\") AS INTEGER) AS rank, count(*) OVER (PARTITION BY provider, path) AS n FROM ({s.calls_sql()})) WHERE rank <= 3")
 def top_instances(spark, sf_dir):
-    return paths.top_instances(detect.detect_all(s.source_files(spark, sf_dir)), 1).select("provider", "path", "line", "rank", "more")
+    return paths.top_instances(detect.detect_all(s.source_files(spark, sf_dir)), 3).select("provider", "path", "line", "rank", "more")
 
 
 @query(f"SELECT path, line, provider, coverage FROM ({s.calls_sql()})")
@@ -195,10 +210,11 @@ def rewrite_summary(spark, sf_dir):
     return rewrite.rewrite_summary(rewrite.plan_rewrites(s.source_files(spark, sf_dir), s.PROXY))
 
 
-_TEXTS = s.values_sql([(k, c[0], s.REWRITTEN.get(c[0], c[1]), c[0] in s.REWRITTEN, sum(x[5] == "manual" for x in c[2])) for k, c in enumerate(s.CASES)], "k, file_name, new_content, modified, needs_manual")
+# The import goes before a text's comment lines.
+_TEXTS = s.values_sql([(k, c[0], *(("import os\n", s.REWRITTEN[c[0]].removeprefix("import os\n")) if s.REWRITTEN.get(c[0], "").startswith("import os\n") else ("", s.REWRITTEN.get(c[0], c[1]))), c[0] in s.REWRITTEN, sum(x[5] == "manual" for x in c[2])) for k, c in enumerate(s.CASES)], "k, file_name, imported, rest, modified, needs_manual")
 
 
-@query(f"SELECT {s.PATH_SQL} AS path, new_content, modified, needs_manual FROM documents JOIN {_TEXTS} ON doc_id % {len(s.CASES)} = k")
+@query(f"SELECT {s.PATH_SQL} AS path, imported || {s.SAID_SQL} || rest AS new_content, modified, needs_manual FROM documents JOIN {_TEXTS} ON doc_id % {len(s.CASES)} = k")
 def rewritten_text(spark, sf_dir):
     files = s.source_files(spark, sf_dir)
     out = rewrite.apply_rewrites(files, rewrite.plan_rewrites(files, s.PROXY))
@@ -209,7 +225,7 @@ _NAMES = s.values_sql([(k, c[0]) for k, c in enumerate(s.CASES)], "k, file_name"
 _FILES = f"SELECT doc_id, {s.REPO_SQL} AS repo, {s.PATH_SQL} AS path, file_name FROM documents JOIN {_NAMES} ON doc_id % {len(s.CASES)} = k"
 
 
-@query(f"SELECT repo, path FROM ({_FILES}) WHERE file_name = 'app.py'")
+@query(f"SELECT repo, path FROM ({_FILES}) WHERE file_name IN ('app.py', 'guard.py')")
 def entry_points(spark, sf_dir):
     files = s.source_files(spark, sf_dir)
     return entry.python_entry_points(files).unionByName(entry.ts_entry_points(files)).distinct()
@@ -231,11 +247,11 @@ def framework(spark, sf_dir):
     return entry.detect_framework(files.withColumns({"path": F.col("file_name"), "depth": F.lit(1)}))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'pkg/' || (doc_id % 5) WHEN doc_id % 7 = 1 THEN 'pkg' END AS root FROM documents WHERE doc_id % 7 < 3")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'pkg/' || (doc_id % 5) WHEN doc_id % 7 = 1 THEN 'pkg' END AS root FROM documents")
 def repo_root(spark, sf_dir):
     k, five = F.pmod("doc_id", F.lit(7)), F.pmod("doc_id", F.lit(5)).cast("string")
     path = F.when(k == 0, F.concat(F.lit("pkg/"), five, F.lit("/src/"), F.col("doc_id").cast("string"))).when(k == 1, F.concat(F.lit("pkg/lib/"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("other/"), F.col("doc_id").cast("string")))
-    docs = table(spark, sf_dir, "documents").filter(k < 3)  # the cases are three of seven
+    docs = table(spark, sf_dir, "documents")
     files = docs.select("doc_id", F.lit("m").alias("repo"), path.alias("path"))
     roots = docs.select(F.lit("m").alias("repo"), F.concat(F.lit("pkg/"), five).alias("root")).distinct().unionByName(registry.values(spark, [("m", "pkg")], "repo string, root string"))
     return paths.assign_repo_root(files, roots).select("doc_id", "root")
@@ -254,11 +270,10 @@ def skip_dirs(spark, sf_dir):
     return paths.prune_skip_dirs(table(spark, sf_dir, "documents").select(path.alias("path")))
 
 
-@query(f"SELECT path, CAST(row_number() OVER (ORDER BY doc_id % 1000 DESC, path) AS INTEGER) AS place FROM ({_FILES}) QUALIFY place <= 100")
+@query(f"SELECT path, doc_id % 1000 * 60 AS changed FROM ({_FILES})")
 def newest_first(spark, sf_dir):
-    """The hundred newest files in order (a top-k report)."""
-    top = paths.newest_first(s.source_files(spark, sf_dir)).limit(100)
-    return top.select("path", F.row_number().over(W.orderBy(F.desc("mtime"), "path")).alias("place"))
+    """All files in order, by a sort over ranges; the comparison with SQL sorts anew, a test holds the order."""
+    return paths.newest_first(s.source_files(spark, sf_dir)).select("path", F.unix_timestamp("mtime").alias("changed"))
 
 
 # ---- environment variables
@@ -290,9 +305,9 @@ def env_inventory(spark, sf_dir):
     return envvars.env_inventory(env_defs(spark, sf_dir), _uses(spark, sf_dir))
 
 
-@query(f"SELECT name, string_agg(place, ',' ORDER BY place) AS places FROM (SELECT name, 'Defined in ' || path || ':' || line AS place FROM ({s.env_sql(2)}) WHERE name IN ('API_KEY', 'URL') UNION ALL SELECT name, 'Used in ' || path || ':' || line FROM ({s.env_sql(3)})) GROUP BY name")
+@query(f"SELECT name, 'Defined in ' || path || ':' || line AS place FROM ({s.env_sql(2)}) WHERE name IN ('API_KEY', 'URL') UNION ALL SELECT name, 'Used in ' || path || ':' || line FROM ({s.env_sql(3)})")
 def env_report(spark, sf_dir):
-    return envvars.env_report(env_defs(spark, sf_dir), _uses(spark, sf_dir)).select("name", F.array_join("places", ",").alias("places"))
+    return envvars.env_report(env_defs(spark, sf_dir), _uses(spark, sf_dir))
 
 
 @query(f"SELECT path, line, name FROM ({s.env_sql(2)}) WHERE name IN ('API_KEY', 'URL')")
@@ -329,10 +344,13 @@ def policy_diff(spark, sf_dir):
     return policy.diff_policies(_policies(spark, sf_dir), _policies(spark, sf_dir, 1))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS project_id, CASE WHEN CASE WHEN doc_id % 2 = 0 THEN (doc_id + 1) % 4 ELSE doc_id % 4 END = 1 THEN 1.5 WHEN CASE WHEN doc_id % 2 = 0 THEN (doc_id + 1) % 4 ELSE doc_id % 4 END = 0 THEN 0.5 END AS threshold FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS project_id, CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 1.5 END AS threshold FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (doc_id + 1) % 4 ELSE doc_id % 4 END AS k FROM documents)")
 def policy_apply(spark, sf_dir):
-    desired = _policies(spark, sf_dir, 1).filter("cast(project_id as bigint) % 2 = 0")  # every other project has a new policy
-    return policy.apply_policies(_policies(spark, sf_dir), desired).select("project_id", F.try_variant_get("guardrails", "$.toxicity.threshold", "double").alias("threshold"))
+    """Each project has a wanted policy: a new one for even ids, its own for the others."""
+    even = F.pmod(F.col("project_id").cast("bigint"), F.lit(2)) == 0
+    new, old = _policies(spark, sf_dir, 1), _policies(spark, sf_dir)
+    desired = new.withColumnRenamed("guardrails", "new").join(old, "project_id").select("project_id", F.when(even, F.col("new")).otherwise(F.col("guardrails")).alias("guardrails"))
+    return policy.apply_policies(old, desired).select("project_id", F.try_variant_get("guardrails", "$.toxicity.threshold", "double").alias("threshold"))
 
 
 # ---- audits
@@ -380,9 +398,11 @@ def outdated(spark, sf_dir):
     return audit.outdated(audit.parse_configs(_audited(spark, sf_dir)), "1.3.0").select("repo")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS repo, CASE doc_id % 4 WHEN 0 THEN 'active' ELSE 'disabled' END AS status, 'proxy' AS mode, CASE doc_id % 4 WHEN 0 THEN 'pg_live_…6789' ELSE '…hort' END AS api_key, CASE doc_id % 4 WHEN 0 THEN 1 ELSE 0 END AS n_providers, 0 AS n_managed, CASE doc_id % 4 WHEN 0 THEN 1 ELSE 0 END AS n_backups FROM documents WHERE doc_id % 4 < 2")
+@query("SELECT CAST(doc_id AS VARCHAR) AS repo, CASE doc_id % 4 WHEN 0 THEN 'active' ELSE 'disabled' END AS status, 'proxy' AS mode, CASE doc_id % 4 WHEN 0 THEN 'pg_live_…6789' ELSE '…hort' END AS api_key, CASE doc_id % 4 WHEN 0 THEN 1 ELSE 0 END AS n_providers, 0 AS n_managed, CASE doc_id % 4 WHEN 0 THEN 1 ELSE 0 END AS n_backups, doc_id % 4 = 0 AS enabled, CASE doc_id % 4 WHEN 0 THEN 'https://api.example.com/v1' ELSE 'http://evil.example.net' END AS proxy_url, CASE doc_id % 4 WHEN 0 THEN '.env' ELSE '../.env' END AS env_file, CASE doc_id % 4 WHEN 0 THEN 'openai' ELSE '' END AS providers, '' AS managed_files, CASE doc_id % 4 WHEN 0 THEN 'a.py.bak' ELSE '' END AS backups, CASE doc_id % 4 WHEN 0 THEN '1.2.0' ELSE 'v1.10.0' END AS cli_version FROM documents WHERE doc_id % 4 < 2")
 def repo_status(spark, sf_dir):
-    return audit.repo_status(audit.parse_configs(_audited(spark, sf_dir)).filter("valid"))
+    out = audit.repo_status(audit.parse_configs(_audited(spark, sf_dir)).filter("valid"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("providers", "managed_files", "backups")]
+    return out.select("repo", "status", "mode", "api_key", "n_providers", "n_managed", "n_backups", "enabled", "proxy_url", "env_file", *lists, "cli_version")
 
 
 @query(f"SELECT repo, entry FROM (SELECT CAST(doc_id AS VARCHAR) AS repo, unnest(CASE doc_id % 4 WHEN 0 THEN ['*.bak'] WHEN 1 THEN ['{audit.CONFIG_FILE}', '*.bak'] ELSE ['{audit.CONFIG_FILE}', '.env', '*.bak'] END) AS entry FROM documents)")
@@ -445,11 +465,12 @@ def url_predicates(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pg_live_…' || right('0000' || doc_id, 4) WHEN 1 THEN 'pg_…' || right('0000' || doc_id, 4) ELSE repeat('*', least(length(CAST(doc_id AS VARCHAR)), 4)) END AS masked FROM documents WHERE length(CAST(doc_id AS VARCHAR)) <= 4")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pg_live_…' || right('0000' || doc_id, 4) WHEN 1 THEN 'pg_…' || right('0000' || doc_id, 4)
+    ELSE CASE WHEN length(CAST(doc_id AS VARCHAR)) <= 4 THEN repeat('*', length(CAST(doc_id AS VARCHAR))) ELSE '…' || right(CAST(doc_id AS VARCHAR), 4) END END AS masked FROM documents""")
 def mask_keys(spark, sf_dir):
     k, d = F.pmod("doc_id", F.lit(3)), F.col("doc_id").cast("string")
     key = F.when(k == 0, F.concat(F.lit("pg_live_xxxx0000"), d)).when(k == 1, F.concat(F.lit("pg_yyyy0000"), d)).otherwise(d)
-    return table(spark, sf_dir, "documents").filter(F.length(d) <= 4).select("doc_id", text.mask_key(key).alias("masked"))  # longer plain ids are no short keys
+    return table(spark, sf_dir, "documents").select("doc_id", text.mask_key(key).alias("masked"))
 
 
 @query("""SELECT doc_id, CASE WHEN crlf > lf - crlf THEN 'crlf' ELSE 'lf' END AS eol, right(text, 1) = chr(10) AS trailing, CAST(lf + CASE WHEN text = '' OR right(text, 1) = chr(10) THEN 0 ELSE 1 END AS INTEGER) AS n_lines

@@ -1,6 +1,6 @@
-"""Source files for the queries: each document stands for one file, whose content its id picks from the cases here.
+"""Source files for the queries: each document stands for one file: its whole text as comment lines, then the case that its id picks.
 
-What is expected of a case is written down beside it, by hand, for the SQL that the queries are held against.
+What is expected of a case is written down beside it, by hand, for the SQL that the queries are held against; lines come after the text's.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ CASES = [
     ("empty.py", "", []),
     ("win.py", "import os\r\nc = OpenAI(\r\n    api_key=k,\r\n)\r\n", [("openai", 2, 5, False, "runtime", "rewrite")]),
     ("README.md", "OpenAI()\n", []),
+    ("deep.py", "a = f().OpenAI()\nb = a[0].Anthropic(k)\nc = x[i](1).y.Groq(" + "(" * 20 + "1" + ")" * 20 + ")\nd = OpenAI(f(\")\")[g(')')], h)\ne = OpenAI((1)\n", [("openai", 1, 5, False, "runtime", "not_sdk_module"), ("anthropic", 2, 5, False, "runtime", "not_sdk_module"), ("groq", 3, 5, False, "detect_only", "not_sdk_module"), ("openai", 4, 5, False, "runtime", "rewrite")]),
+    ("many.py", "".join(f"c{i} = Groq(k{i})\n" for i in range(40)), [("groq", i + 1, 6 if i < 10 else 7, False, "detect_only", "rewrite") for i in range(40)]),
+    ("guard.py", "if __name__ == '__main__':\n    OpenAI(x=f)\n", [("openai", 2, 5, False, "runtime", "rewrite")]),
+    ("noguard.py", "# if __name__ == '__main__'\nx = 1\n", []),
 ]
 # Texts after the edits of the cases above that are rewritten.
 REWRITTEN = {
@@ -40,6 +44,9 @@ REWRITTEN = {
     "splat.py": f'import os\nc = OpenAI(**cfg)\nd = Groq(**cfg, base_url=u)\ne = Anthropic(\n    f(a, (b)), timeout=3,\n    base_url="{PROXY}"\n)\n',
     "a.ts": f'import OpenAI from "openai";\nconst c = new OpenAI({{\n  apiKey: process.env.GATEWAY_API_KEY,\n  baseURL: "{PROXY}"\n}});\n',
     "c.js": f'// new OpenAI()\nconst a = new Anthropic(config);\nconst b = new HfInference({{\n  accessToken: t,\n  baseUrl: "{PROXY}"\n}});\n',
+    "deep.py": f"import os\na = f().OpenAI()\nb = a[0].Anthropic(k)\nc = x[i](1).y.Groq(" + "(" * 20 + "1" + ")" * 20 + f")\nd = OpenAI(\n    f(\")\")[g(')')], h,\n    base_url=\"{PROXY}\"\n)\ne = OpenAI((1)\n",
+    "many.py": "import os\n" + "".join(f'c{i} = Groq(\n    k{i},\n    base_url="{PROXY}"\n)\n' for i in range(40)),
+    "guard.py": f"import os\nif __name__ == '__main__':\n    OpenAI(\n    x=f,\n    base_url=\"{PROXY}\"\n)\n",
     "win.py": f'import os\r\nc = OpenAI(\r\n    api_key=k,\r\n    base_url="{PROXY}"\r\n)\r\n',
 }
 # name, content, definitions (line, name, value), uses (line, name)
@@ -53,9 +60,11 @@ ENV_CASES = [
 
 def _picked(documents: DataFrame, cases: list[tuple]) -> DataFrame:
     """repo, path, file_name, ext, depth, is_symlink, mtime, content: a file for each document."""
+    mark, end = (F.when(F.col("content").contains("\r\n"), "\r\n").otherwise("\n") if x == "end" else F.when(F.col("file_name").rlike("[.][jt]sx?$"), "// ").otherwise("# ") for x in ("mark", "end"))
+    said = F.concat(mark, F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.concat(end, mark)), end)
     spark = documents.sparkSession
     table = values(spark, [(i, c[0], c[1]) for i, c in enumerate(cases)], "k int, file_name string, content string")
-    own = documents.select("doc_id", F.pmod("doc_id", F.lit(len(cases))).cast("int").alias("k")).join(F.broadcast(table), "k")
+    own = documents.select("doc_id", "text", F.pmod("doc_id", F.lit(len(cases))).cast("int").alias("k")).join(F.broadcast(table), "k")
     path = F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit("/"), F.col("file_name"))
     return own.select(
         "doc_id",
@@ -67,7 +76,7 @@ def _picked(documents: DataFrame, cases: list[tuple]) -> DataFrame:
         F.lit(3).alias("depth"),
         F.lit(False).alias("is_symlink"),
         F.timestamp_seconds(F.pmod("doc_id", F.lit(1000)) * 60).alias("mtime"),
-        "content",
+        F.concat(said, "content").alias("content"),
     )
 
 
@@ -100,17 +109,23 @@ def values_sql(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(quoted(v) for v in r) + ")" for r in rows) + f") AS s({names})"
 
 
+#: How many lines a document's text takes before its case.
+SHIFT_SQL = "(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)"
+_MARK = "CASE WHEN regexp_matches(file_name, '[.][jt]sx?$') THEN '// ' ELSE '# ' END"
+_END = "CASE WHEN file_name = 'win.py' THEN chr(13) || chr(10) ELSE chr(10) END"
+#: A document's text as comment lines.
+SAID_SQL = f"{_MARK} || replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), {_END} || {_MARK}) || {_END}"
 PATH_SQL = "'src/d' || doc_id || '/' || file_name"
 REPO_SQL = f"'repo' || (doc_id % {REPOS})"
 
 
 def calls_sql() -> str:
     rows = [(k, c[0], c[0].rpartition(".")[2], *call) for k, c in enumerate(CASES) for call in c[2]]
-    return f"SELECT {REPO_SQL} AS repo, {PATH_SQL} AS path, provider, line, col AS \"column\", configured AS has_base_url, coverage, action, ext FROM documents JOIN {values_sql(rows, 'k, file_name, ext, provider, line, col, configured, coverage, action')} ON doc_id % {len(CASES)} = k"
+    return f"SELECT {REPO_SQL} AS repo, {PATH_SQL} AS path, provider, line + {SHIFT_SQL} AS line, col AS \"column\", configured AS has_base_url, coverage, action, ext FROM documents JOIN {values_sql(rows, 'k, file_name, ext, provider, line, col, configured, coverage, action')} ON doc_id % {len(CASES)} = k"
 
 
 def env_sql(kind: int) -> str:
     rows = [(k, c[0], *d) for k, c in enumerate(ENV_CASES) for d in c[kind]]
     names = "k, file_name, line, name, value" if kind == 2 else "k, file_name, line, name"
     more = ", value" if kind == 2 else ", CASE WHEN file_name LIKE '%.py' THEN 'python' ELSE 'typescript' END AS language"
-    return f"SELECT {REPO_SQL} AS repo, {PATH_SQL} AS path, line, name{more} FROM documents JOIN {values_sql(rows, names)} ON doc_id % {len(ENV_CASES)} = k"
+    return f"SELECT {REPO_SQL} AS repo, {PATH_SQL} AS path, line + {SHIFT_SQL} AS line, name{more} FROM documents JOIN {values_sql(rows, names)} ON doc_id % {len(ENV_CASES)} = k"

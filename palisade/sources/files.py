@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,11 @@ from ..operators.paths import SKIP_DIRS
 SOURCE_FILES = "repo string, path string, file_name string, ext string, depth int, mtime timestamp, is_symlink boolean, content string"
 
 
-class _Repos(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+class _Places(InputPartition):
+    """Directories to read: (repository, directory in it, whether what lies below belongs to it)."""
+
+    def __init__(self, places: list[tuple[str, str, bool]]):
+        self.places = places
 
 
 class RepoTree(DataSource):
@@ -25,7 +28,8 @@ class RepoTree(DataSource):
 
     Spark's own file sources leave out names that start with a dot or an underscore, among them env and ignore files. The
     root has to be mounted on the executors. Skipped directories are pruned on the way; a file whose bytes are no UTF-8 has a
-    null content; links to directories are not followed. Option ``partitions``: the repositories are dealt into so many.
+    null content, and so has a link, which may point outside; links to directories are not followed. Option ``partitions``: the
+    directories of all repositories, down to the second level, are dealt into so many, so that one large repository is read by many tasks.
     """
 
     @classmethod
@@ -44,14 +48,23 @@ class _Reader(DataSourceReader):
         self.root, self.n = root, partitions
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Repos(names[i :: self.n]) for i in range(min(self.n, len(names)))] or [_Repos([])]
-
-    def read(self, partition: _Repos) -> Iterator[tuple]:
-        for repo in partition.names:
+        def below(path: str) -> list[str]:
+            return sorted(e.name for e in os.scandir(path) if e.is_dir(follow_symlinks=False))
+
+        places = []
+        for repo in below(self.root):
+            places.append((repo, "", False))
+            for first in below(os.path.join(self.root, repo)):
+                if first not in SKIP_DIRS:
+                    places.append((repo, first, False))
+                    places += [(repo, f"{first}/{second}", True) for second in below(os.path.join(self.root, repo, first)) if second not in SKIP_DIRS]
+        return [_Places(places[i :: self.n]) for i in range(min(self.n, len(places)))] or [_Places([])]
+
+    def read(self, partition: _Places) -> Iterator[tuple]:
+        for repo, place, whole in partition.places:
             top = os.path.join(self.root, repo)
-            for here, below, names in os.walk(top):
-                below[:] = sorted(d for d in below if d not in SKIP_DIRS)
+            for here, below, names in os.walk(os.path.join(top, place)):
+                below[:] = sorted(d for d in below if d not in SKIP_DIRS) if whole else []
                 for name in sorted(names):
                     full = os.path.join(here, name)
                     link = os.path.islink(full)
@@ -59,12 +72,14 @@ class _Reader(DataSourceReader):
                         continue
                     path = os.path.relpath(full, top).replace(os.sep, "/")
                     stem, dot, ext = name.rpartition(".")
-                    with open(full, "rb") as f:
-                        raw = f.read()
-                    try:
-                        content = raw.decode()
-                    except UnicodeDecodeError:
-                        content = None
+                    content = None
+                    if not link:
+                        with open(full, "rb") as f:
+                            raw = f.read()
+                        try:
+                            content = raw.decode()
+                        except UnicodeDecodeError:
+                            pass
                     changed = datetime.datetime.fromtimestamp(os.stat(full).st_mtime, datetime.timezone.utc)
                     yield repo, path, name, ext if dot and stem else None, path.count("/") + 1, changed, link, content
 
@@ -94,26 +109,75 @@ def read_redteam(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("details", F.try_parse_json("details"))
 
 
+def _plain_yaml(text: str):
+    """A YAML document of nested mappings, lists of scalars and scalars, as policies are; ValueError for anything else."""
+    import json
+
+    def scalar(t: str):
+        t = t.strip()
+        if t[:1] == "'" and len(t) > 1 and t[-1] == "'":
+            return t[1:-1].replace("''", "'")
+        if t in ("", "~", "null"):
+            return None
+        if t[0] in "[{\"-0123456789" or t in ("true", "false"):
+            try:
+                return json.loads(t)
+            except ValueError:
+                pass
+        if t[0] in "&*!|>%@`[]{}\"'" or ": " in t:
+            raise ValueError(t)
+        return t
+
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in (re.sub(r"(^|\s)#.*$", "", y) if "'" not in y and '"' not in y else y for y in text.splitlines()) if x.strip() and x.strip() != "---" and not x.lstrip().startswith("#")]
+
+    def block(at: int, depth: int):
+        out = None
+        while at < len(lines) and lines[at][0] == depth:
+            said = lines[at][1]
+            if said.startswith("- "):
+                out = [] if out is None else out
+                out.append(scalar(said[2:]))
+                at += 1
+                continue
+            key, colon, value = said.partition(":")
+            if not colon or isinstance(out, list) or (value and value[0] != " "):
+                raise ValueError(said)
+            out, at = {} if out is None else out, at + 1
+            if value.strip():
+                out[scalar(key)] = scalar(value)
+            elif at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("- "))):
+                out[scalar(key)], at = block(at, lines[at][0])
+            else:
+                out[scalar(key)] = None
+        return out, at
+
+    out, at = block(0, lines[0][0] if lines else 0)
+    if at < len(lines):
+        raise ValueError(lines[at][1])
+    return out
+
+
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    """(path, guardrails, error): JSON or, where the yaml module is installed, YAML documents; bad ones are kept with their error."""
+    """(path, guardrails, error): JSON or YAML documents; bad ones are kept with their error.
+
+    Without the yaml module, YAML is read as far as policies go: nested mappings, lists of scalars and scalars.
+    """
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def decoded(batches):
         import json
 
         try:
-            import yaml
+            from yaml import YAMLError, safe_load
         except ImportError:
-            yaml = None
+            YAMLError, safe_load = ValueError, _plain_yaml
         for pdf in batches:
             out = []
-            for p, v in zip(pdf.path, pdf.value, strict=True):
-                if yaml is not None and p.endswith((".yaml", ".yml")):
-                    try:
-                        v = json.dumps(yaml.safe_load(v))
-                    except yaml.YAMLError:
-                        v = None
-                out.append(v)
+            for v in pdf.value:
+                try:
+                    out.append(json.dumps(safe_load(v)))
+                except YAMLError:
+                    out.append(None)
             yield pdf.assign(value=out)
 
     is_yaml = F.col("path").rlike(r"\.ya?ml$")
@@ -139,11 +203,12 @@ def read_attacks(spark: SparkSession, path: str | None = None, prompt: str | Non
     return spark.read.schema("test_name string, prompt string").json(path)
 
 
-def write_scan_report(detections: DataFrame, path: str) -> None:
-    """A JSON record for each provider, with its files and calls nested."""
-    from ..operators.detect import provider_summary
+def write_scan_report(files: DataFrame, detections: DataFrame, path: str) -> None:
+    """JSON records below a path: ``totals`` of the scan, ``providers`` with their counts, and ``calls``, nested by provider and repository."""
+    from ..operators import detect
 
-    provider_summary(detections).write.mode("overwrite").json(path)
+    for name, table in (("totals", detect.scan_totals(files, detections)), ("providers", detect.provider_summary(detections)), ("calls", detect.provider_report(detections))):
+        table.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def write_text(df: DataFrame, path: str, dry_run: bool = False) -> DataFrame:

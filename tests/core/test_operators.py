@@ -1,8 +1,9 @@
 import ast
 
+import pytest
 from pyspark.sql import functions as F
 
-from palisade.functions import registry
+from palisade.functions import predicates, registry, text
 from palisade.operators import audit, detect, entry, errors, paths, policy, redteam, rewrite, security
 from palisade.sources import files as sources
 from palisade.streaming import text as streaming
@@ -21,6 +22,31 @@ def test_detection_of_odd_files(spark):
     assert got == [("c.py", "openai", 1, 6), ("d.py", "openai", 5, 5), ("e.ts", "openai", 1, 40)]
 
 
+def test_calls_of_any_object_and_depth(spark):
+    deep = "OpenAI(" + "f(" * 30 + "1" + ")" * 31
+    many = "def f():\n" + "".join(f"    c{i} = OpenAI(key[{i}], g({i}))\n" for i in range(1000))
+    f = source(spark, ("a.py", f"x = f().OpenAI()\ny = a[0].Anthropic(k)\nz = {deep}\nw = f(x)(y)[z].b.Groq(1)\n) ] OpenAI()\n(OpenAI((1)\nv = f() + OpenAI()\n"), ("many.py", many), ("b.ts", f"const a = new {deep};\nf(new Groq((1)))\n"))
+    got = sorted((r.path, r.line, r.column, r.provider, len(r.args)) for r in detect.calls(f).collect())
+    assert got[:6] == [("a.py", 1, 5, "openai", 2), ("a.py", 2, 5, "anthropic", 3), ("a.py", 3, 5, "openai", len(deep) - 6), ("a.py", 4, 5, "groq", 3), ("a.py", 5, 5, "openai", 2), ("a.py", 7, 11, "openai", 2)]  # that of line 6 is never closed
+    assert [(g[0], g[1]) for g in got[6:8]] == [("b.ts", 1), ("b.ts", 2)] and [g[1] for g in got[8:]] == list(range(2, 1002))
+
+
+def test_filters_and_joins_of_detections(spark):
+    f = source(spark, ("a.py", "OpenAI()\nGroq()\n"), ("b.py", "InferenceClient()\n"), ("c.py", "AsyncGroq()\n"))
+    found = detect.detect_all(f)
+    assert [r.path for r in detect.filter_provider(found, "openai").collect()] == ["a.py"] and detect.filter_provider(found, "OpenAI").count() == 0
+    assert sorted((r.provider, r.path) for r in detect.provider_files(found, ["HF", "groq", "nobody"]).collect()) == [("groq", "a.py"), ("groq", "c.py"), ("huggingface", "b.py")]
+    assert sorted((r.path, r.language, r.grammar) for r in detect.with_language(source(spark, ("a.py", ""), ("b.jsx", ""), ("c.ts", ""), ("d.md", ""))).select("path", "language", "grammar").collect()) == [("a.py", "python", "python"), ("b.jsx", "typescript", "tsx"), ("c.ts", "typescript", "typescript"), ("d.md", None, None)]
+    report = {r.provider: (r.files, [i.line for i in r.instances]) for r in detect.provider_report(found).collect()}
+    assert report["groq"] == (["a.py", "c.py"], [2, 1])
+    assert sorted(paths.with_user_excludes(["x/**", "*.gen.ts"]))[-1] == "x/**" and "*.gen.ts" in paths.with_user_excludes(["*.gen.ts"])
+
+
+def test_newest_first(spark):
+    f = source(spark, ("b.py", ""), ("a.py", ""), ("c.py", "")).withColumn("mtime", F.when(F.col("path") == "c.py", F.timestamp_seconds(F.lit(9))).otherwise(F.timestamp_seconds(F.lit(1))))
+    assert [r.path for r in paths.newest_first(f).collect()] == ["c.py", "a.py", "b.py"]
+
+
 def test_base_url_forms(spark):
     f = source(spark, ("a.ts", 'new OpenAI({baseURL:u}); new OpenAI({"baseURL":u}); new OpenAI({"baseURL": u}); new HfInference({ baseUrl: u })'), ("b.py", "OpenAI(base_url =u)\nOpenAI(x='base_url=')\n"))
     got = [r.has_base_url for r in detect.detect_all(f).orderBy("path", "line", "column").collect()]
@@ -69,6 +95,14 @@ def test_security_contract_cases(spark):
     assert security.redact(pii, types=["ssn"]).first().redacted == "Contact me at john@example.com"
     cards = spark.createDataFrame([("4111111111111111 4111111111111112",)], "text string")
     assert security.redact(cards, luhn=True).first().redacted == "[CREDIT_CARD_REDACTED] 4111111111111112"
+    bad = spark.createDataFrame([("4111111111111112",)], "text string")
+    for mode in security.MODES:
+        row = security.redact(bad, mode=mode, luhn=True).first()
+        assert row.redacted == "4111111111111112" and row.pii_found == []
+        assert security.redact(cards, mode=mode, luhn=True).first().pii_found == ["credit_card"]
+    assert security.redact(cards, mode="mask", luhn=True).first().redacted == "…1111 4111111111111112"
+    assert security.redact(cards, mode="block", luhn=True).first().redacted is None
+    assert security.redact(cards.withColumn("__judged", F.lit(1)), luhn=True).columns == ["text", "__judged", "redacted", "pii_found"]
 
 
 def test_guard(spark):
@@ -103,6 +137,8 @@ def test_redteam(spark):
     out = redteam.run_redteam(attacks)
     got = {r.preset: (r.total_tests, r.blocked, r.allowed) for r in redteam.redteam_summary(out).collect()}
     assert got == {"default": (3, 2, 1), "strict": (3, 2, 1), "permissive": (3, 1, 2)}
+    assert [r.test_name for r in redteam.select_attack(attacks, "c").collect()] == ["c"] and redteam.run_redteam(redteam.select_attack(attacks, "c")).count() == 3
+    assert redteam.run_redteam(attacks, redteam.presets(spark).filter("preset = 'strict'")).count() == 3
     assert redteam.vulnerabilities(out).filter("preset = 'strict'").first().test_name == "b"
 
 
@@ -126,7 +162,7 @@ def test_paths(spark):
 
 
 def test_entry_points(spark):
-    f = source(spark, ("main.py", ""), ("a/tool.PY", "if __name__ == '__main__':\n"), ("a/b/c/d.py", "if __name__ == '__main__':\n"), ("utils.py", ""), ("package.json", '{"main": "./lib/start.mjs", "scripts": {"start": "node dist/run.js --x"}}'), ("lib/start.mjs", ""), ("dist/run.js", ""), ("src/x/index.ts", ""), ("src/x/y/index.ts", ""))
+    f = source(spark, ("main.py", ""), ("a/tool.PY", "if __name__ == '__main__':\n"), ("a/b/c/d.py", "if __name__ == '__main__':\n"), ("utils.py", "# if __name__ == '__main__'\n"), ("package.json", '{"main": "./lib/start.mjs", "scripts": {"start": "node dist/run.js --x"}}'), ("lib/start.mjs", ""), ("dist/run.js", ""), ("src/x/index.ts", ""), ("src/x/y/index.ts", ""))
     assert sorted(r.path for r in entry.python_entry_points(f).collect()) == ["a/tool.PY", "main.py"]
     assert sorted(r.path for r in entry.ts_entry_points(f).collect()) == ["dist/run.js", "lib/start.mjs", "src/x/index.ts"]
     assert entry.repo_languages(f).first().languages == ["python", "typescript"]
@@ -160,5 +196,76 @@ def test_sources(spark, tmp_path):
     assert sources.read_attacks(spark, prompt="p").first().test_name == "custom"
     df = sources.write_text(registry.providers(spark), str(tmp_path / "w"), dry_run=True)
     assert not (tmp_path / "w").exists() and sources.write_text(df, str(tmp_path / "w")).count() == 7 and (tmp_path / "w").exists()
-    sources.write_scan_report(detect.detect_all(sources.read_source_files(spark, str(tmp_path / "repos"))), str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report")).first().provider == "openai"
+    assert [r.path for r in detect.detect_all(sources.read_source_files(spark, str(tmp_path / "repos"), 3)).collect()] == ["__main__.py"]
+    files = sources.read_source_files(spark, str(tmp_path / "repos"))
+    sources.write_scan_report(files, detect.detect_all(files), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "providers")).first().provider == "openai"
+    totals = spark.read.json(str(tmp_path / "report" / "totals")).first()
+    assert (totals.files_scanned, totals.files_with_sdks, totals.total_instances) == (4, 1, 1)
+    assert spark.read.json(str(tmp_path / "report" / "calls")).first().instances[0].line == 1
+
+
+def test_source_trees(spark, tmp_path):
+    """Directories of one repository go to several tasks; each file once; what links point to is not read."""
+    top = tmp_path / "r" / "one"
+    want = set()
+    for d in ("", "a", "a/b", "a/b/c", "d", "d/e/f", "node_modules/g", "a/dist"):
+        (top / d).mkdir(parents=True, exist_ok=True)
+        (top / d / "x.py").write_text("1")
+        if d not in ("node_modules/g", "a/dist"):
+            want.add(f"{d}/x.py".lstrip("/"))
+    (tmp_path / "secret").write_text("s")
+    (top / "d" / "link.py").symlink_to(tmp_path / "secret")
+    for n in (1, 2, 64):
+        got = {r.path: r for r in sources.read_source_files(spark, str(tmp_path / "r"), n).collect()}
+        assert set(got) == want | {"d/link.py"} and got["d/link.py"].is_symlink and got["d/link.py"].content is None
+        assert sources.read_source_files(spark, str(tmp_path / "r"), n).count() == len(got)
+
+
+YAML = """# policy
+guardrails:
+  pii_detection:
+    level: strict  # all of it
+    mode: 'mask'
+    types:
+    - email
+    - "phone"
+  toxicity:
+    threshold: 0.5
+  x:
+other: [1, 2]
+"""
+
+
+def test_record_readers(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text(YAML)
+    (tmp_path / "q.yml").write_text("guardrails: [1\n")
+    (tmp_path / "r.yaml").write_text("rules:\n  a: 1\n")
+    got = {r.path.rsplit("/", 1)[1]: r for r in sources.read_policies(spark, str(tmp_path / "*.y*ml")).select("path", "error", F.to_json("guardrails").alias("g")).collect()}
+    assert got["q.yml"].error == "not readable" and got["r.yaml"].error == "no top-level guardrails"
+    assert got["p.yaml"].g == '{"pii_detection":{"level":"strict","mode":"mask","types":["email","phone"]},"toxicity":{"threshold":0.5},"x":null}'
+    assert sources._plain_yaml(YAML) == {"guardrails": {"pii_detection": {"level": "strict", "mode": "mask", "types": ["email", "phone"]}, "toxicity": {"threshold": 0.5}, "x": None}, "other": [1, 2]}
+    for bad in ("a: b: c\n", "- a\nb: 1\n", "a: &x 1\n", "a:\n    b: 1\n  c: 2\n"):
+        with pytest.raises(ValueError):
+            sources._plain_yaml(bad)
+    (tmp_path / "e.jsonl").write_text('{"method": "GET", "status": 503, "body": "x"}\n{"method": "POST", "error_kind": "connect"}\n')
+    rows = sources.read_api_errors(spark, str(tmp_path / "e.jsonl"))
+    assert rows.columns == ["method", "status", "error_kind", "body"] and rows.filter(predicates.is_retryable("method", "status", "error_kind")).count() == 2
+    spark.createDataFrame([(1, 0, "user", "hi", "x")], "conv_id long, turn long, role string, text string, more string").write.parquet(str(tmp_path / "m"))
+    assert sources.read_messages(spark, str(tmp_path / "m")).columns == ["conv_id", "turn", "role", "text"]
+    (tmp_path / "a.jsonl").write_text('{"test_name": "n", "prompt": "p"}\n')
+    assert [tuple(r) for r in sources.read_attacks(spark, str(tmp_path / "a.jsonl")).collect()] == [("n", "p")]
+    policies = spark.createDataFrame([("a", '{"k": 1}')], "project_id string, t string").select("project_id", F.parse_json("t").alias("guardrails"))
+    sources.write_policies(policies, str(tmp_path / "out"))
+    assert '"guardrails"' in spark.read.text(str(tmp_path / "out")).first().value
+
+
+def test_small_functions(spark):
+    rows = spark.createDataFrame([(True, "allow", "hf"), (False, "block", "openai"), (None, "redact", None), (False, None, "x")], "blocked boolean, decision string, provider string")
+    got = rows.select(predicates.is_finding("blocked", "decision").alias("f"), text.decision_label("blocked", "decision").alias("d"), registry.provider_display("provider").alias("p")).collect()
+    assert [r.f for r in got] == [True, True, False, False] and [r.d for r in got] == ["BLOCKED", "ALLOWED", "REDACTED", "ALLOWED"] and [r.p for r in got] == [None, "OpenAI", None, None]
+    v = spark.sql("SELECT parse_json('{\"a\": 1}') AS v UNION ALL SELECT NULL")
+    assert sorted(r[0] for r in v.select(text.json_or_none("v")).collect()) == ["(none)", '{"a":1}']
+    cases = {"v1.4294967295.0": [1, 4294967295, 0], "1.4294967296": None, "+1.007": [1, 7], "1.-2": None, "1..2": None, "99999999999999999999": None, "1.2-rc": None}
+    versions = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r.v: r.p for r in versions.select("v", text.parse_version("v").alias("p")).collect()} == cases
