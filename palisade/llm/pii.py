@@ -1,21 +1,25 @@
 """Personal data: candidate spans, boosted trees and calibrated thresholds, with DataFrame expressions alone.
 
 *Generators* propose spans by patterns of high recall; they may overlap. *Features* of a candidate are of its format
-(kind, digits, separators, letters, a leading plus) and of its context (a telling word before it, the
+(kind, digits, separators, letters) and of its context (whether the word before it tells its kind, the
 characters on both sides), each of a few values, so that all candidates of a corpus fall into a bounded number of
-patterns. *Boosting*: Spark counts all candidates by pattern, fold and weak label; regression trees of depth
-two are boosted under the logistic loss on that table of counts, which is exact for the whole corpus and whose size the
-features bound. *Calibration*: for each kind the least score at which the share of positives among the
-candidates of the other fold is ``PRECISION``. The trees become CASE expressions that score every candidate.
-
-The weak label of a candidate: its format passes a check (Luhn, octets, digits of a phone number, an address's
-form), or the word before it tells its kind. The checks are no features of the trees, nor is the telling word where it
-alone makes the label (bare phone numbers and tokens). What passes the checks of the four base kinds always stays. The
-method adds, where they overlap none of those, the candidates of the other patterns (``ADDED``) whose weak label is
-positive, however few a table has of them, and all candidates at or over the threshold of their kind.
-
-Spans are in code points from 0, end exclusive. Null texts have no spans; rows are kept one to one, repeated rows
-and null keys too; ``redact`` keeps other columns, ``spans`` does not carry them. Empty tables give no rows.
+patterns. No labels of personal data exist, so each view teaches the other: trees on the context learn whether a format
+passes its check (Luhn, octets, digits), trees on the format whether the word before tells the kind; no tree sees what its own
+label is made of. *Boosting*: Spark counts all candidates by pattern, fold and labels; regression trees of depth two are boosted under
+the logistic loss on that table of counts, which is exact for the whole corpus and whose size the features bound.
+A candidate's score is the sum of both. *Calibration*: for each generator the least score at which, among its candidates in the
+other fold that no base pattern has, the share of positives (one negative more assumed) is ``PRECISION``; a generator too
+rare for that takes the threshold of all together. The folds are by hash of match and context, so that the model is the same however
+the table is split.
+
+What passes the checks of the four base kinds always stays. The method adds, where they overlap none of those, candidates
+of the other patterns (``ADDED``): those with a positive label of their own, and of the rest those at or over the threshold. Matches
+of base patterns that fail their check are not added.
+
+A text's spans are one expression over that text: nothing is shuffled, and ``redact`` cuts the same spans. Spans are in code
+points from 0, end exclusive; of ties in the start the kind's order decides. Null texts have no spans (and stay null in
+``redact``); very long texts are gone through whole; rows are kept one to one, repeated rows and null keys too; ``redact`` keeps
+other columns, ``spans`` does not carry them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +30,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from . import common
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "ssn", "token"]
-TREES, RATE, PRECISION, LEAST = 24, 0.4, 0.9, 20
+TREES, RATE, PRECISION = 24, 0.4, 0.9
 #: Code points of context that are looked at before a candidate.
 CONTEXT = 24
 
@@ -50,8 +51,8 @@ GENERATORS = [
 ]
 # The generators (from 0) whose matches are the base patterns' own.
 BASE_GENERATORS = {0: "email", 2: "ip", 3: "card", 4: "phone"}
-# The generators of the kinds that the base patterns do not have, and those of them whose format has no check.
-ADDED, UNCHECKED = [1, 5, 6, 7], [5, 7]
+# The generators whose matches the method may add, and those whose format check can fail.
+ADDED, CHECKED = [1, 5, 6, 7], [2, 3, 4, 6]
 # Words before a candidate that tell its kind.
 CUES = {
     "email": ["mail", "email", "e-mail", "contact", "write"],
@@ -136,92 +137,94 @@ def features(gen: Column, match: Column, before: Column, after: Column) -> dict[
         "digits": F.when(n <= 3, n).when(n <= 6, 4).when(n <= 8, 5).when(n <= 9, 6).when(n <= 11, 7).when(n <= 15, 8).when(n <= 16, 9).when(n <= 19, 10).otherwise(11),
         "apart": F.when(match.rlike("[()]"), 3).when(match.rlike("[0-9][ -][0-9]"), 2).when(match.rlike(r"[0-9]\.[0-9]"), 1).otherwise(0),
         "letters": F.when(n == size, 0).when(n * 4 >= size, 1).when(n > 0, 2).otherwise(3),
-        "cue": F.when(gen.isin(UNCHECKED), 0).otherwise(reduce(lambda out, i: F.when(cue(before) == KINDS[i], i + 1).otherwise(out), range(len(KINDS)), F.lit(0))),
+        "cue": F.when(cue(before) == "", 0).when(cue(before) == kind(gen), 1).otherwise(2),
         "left": side(F.right(before, F.lit(1))),
         "right": side(after),
     }
 
 
 NAMES = ["gen", "digits", "apart", "letters", "cue", "left", "right"]
-
-
-def label(gen: Column, match: Column, before: Column) -> Column:
-    return (checked(gen, match) | (cue(before) == kind(gen))).cast("int")
+#: The two views, as places in NAMES.
+FORMAT, CONTEXT_VIEW = [0, 1, 2, 3], [4, 5, 6]
 
 
 def sure(gen: Column, match: Column, before: Column) -> Column:
-    """Whether a candidate that is no base pattern's is added whatever the trees say."""
-    return gen.isin(ADDED) & (label(gen, match, before) == 1)
-
-
-def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each candidate and, with gen -1, for each document."""
-    none = F.struct(F.lit(-1).alias("gen"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("before"), F.lit("").alias("after"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    every = rows.select("row", "key", F.explode(F.concat(F.array(none), _found(F.col("text")))).alias("c"))
-    return every.select("row", "key", "c.*")
+    """Whether a candidate that is no base pattern's has a label of its own: a check that it passes, or a telling word."""
+    return gen.isin(ADDED) & (checked(gen, match) | (cue(before) == kind(gen)))
 
 
-def learn(found: DataFrame) -> dict:
-    """Trees and thresholds from candidates (gen, match, before, after, row)."""
-    c = [F.col(x) for x in ("gen", "match", "before", "after")]
-    f = features(*c)
-    fold = F.pmod(F.xxhash64("row"), F.lit(2)).alias("fold")
-    counted = found.filter("gen >= 0").select(*[f[n].cast("int").alias(n) for n in NAMES], label(c[0], c[1], c[2]).alias("y"), fold).groupBy(*NAMES, "fold").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    rows = [(tuple(r[n] for n in NAMES), r.fold, r.n, r.y) for r in counted.collect()]  # bounded by the features' values
-    return boosted(sorted(rows))
+def learn(docs: DataFrame, text: str = "text") -> dict:
+    """Trees of both views and thresholds, from all candidates of a table."""
+    c = docs.select(F.explode(_found(F.coalesce(F.col(text), F.lit("")))).alias("c")).select("c.*")
+    v = {n: x.cast("int") for n, x in features(*[F.col(x) for x in ("gen", "match", "before", "after")]).items()}
+    fold = F.pmod(F.xxhash64("match", "before", "after"), F.lit(2)).cast("int")
+    own = c.select(*[v[n].alias(n) for n in NAMES], fold.alias("fold"), checked(F.col("gen"), F.col("match")).cast("int").alias("passes"))
+    counted = own.groupBy(*NAMES, "fold", "passes").agg(F.count("*").alias("n"))
+    return fitted(sorted((tuple(r[n] for n in NAMES), r.fold, r.passes, r.n) for r in counted.collect()))  # bounded by the features' values
 
 
-def boosted(rows: list[tuple[tuple[int, ...], int, int, int]]) -> dict:
-    """Boosting on a table of counts: (features, fold, candidates, positives)."""
-    fit: dict = defaultdict(lambda: [0, 0])
-    for x, fold, n, y in rows:
+def fitted(rows: list[tuple[tuple[int, ...], int, int, int]]) -> dict:
+    """The model of a table of counts: (features, fold, whether the check passes, candidates)."""
+    by_context, by_format = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for x, fold, passes, n in rows:
         if fold == 0:
-            fit[x][0] += n
-            fit[x][1] += y
-    z = dict.fromkeys({x for x, *_ in rows}, 0.0)
-    trees = []
-    splits = sorted({(i, v) for x in fit for i, v in enumerate(x)})
+            if x[0] in CHECKED and (x[0] != 3 or x[1] >= 8):  # shorter runs of digits are no card's
+                seen = by_context[tuple(x[i] for i in CONTEXT_VIEW)]
+                seen[0], seen[1] = seen[0] + n, seen[1] + n * passes
+            seen = by_format[tuple(x[i] for i in FORMAT)]
+            seen[0], seen[1] = seen[0] + n, seen[1] + n * (x[4] == 1)
+    model = {"context": boosted(by_context), "format": boosted(by_format), "thresholds": {}}
+    held = [(logit(model, x), x[0], n, n * (x[4] == 1 or (passes and x[0] not in (5, 7)))) for x, fold, passes, n in rows if fold == 1 and x[0] in ADDED]
+    together = threshold([(z, n, y) for z, _, n, y in held])
+    for g in ADDED:
+        own = threshold([(z, n, y) for z, k, n, y in held if k == g])
+        if own is not None or together is not None:
+            model["thresholds"][g] = together if own is None else own
+    return model
+
+
+def threshold(held: list[tuple[float, int, int]]) -> float | None:
+    """The least score at which the share of positives among candidates at or over it is high enough; ties go together."""
+    out, n, y = None, 0, 0
+    for z in sorted({z for z, *_ in held}, reverse=True):
+        n, y = n + sum(m for s, m, _ in held if s == z), y + sum(p for s, _, p in held if s == z)
+        if y >= PRECISION * (n + 1):
+            out = z
+    return out
 
-    def leaf(part, g, h):
-        return RATE * sum(g[x] for x in part) / (sum(h[x] for x in part) + 1.0)
 
-    def best(part, g, h):
-        def gain(group):
-            a, b = sum(g[x] for x in group), sum(h[x] for x in group)
-            return a * a / (b + 1.0)
-
-        found = None
-        for i, v in splits:
-            yes, no = [x for x in part if x[i] == v], [x for x in part if x[i] != v]
-            if yes and no:
-                s = gain(yes) + gain(no)
-                if found is None or s > found[0] + 1e-12:
-                    found = (s, i, v, yes, no)
-        return found
-
-    for _ in range(TREES if fit else 0):
-        p = {x: 1 / (1 + math.exp(-z[x])) for x in fit}
-        g = {x: fit[x][1] - fit[x][0] * p[x] for x in fit}
-        h = {x: fit[x][0] * p[x] * (1 - p[x]) for x in fit}
-
-        def grow(part, depth, g=g, h=h):
-            at = best(part, g, h) if depth else None
-            return leaf(part, g, h) if at is None else (at[1], at[2], grow(at[3], depth - 1), grow(at[4], depth - 1))
-
-        tree = grow(sorted(fit), 2)
+def boosted(counts: dict[tuple[int, ...], list[int]]) -> list:
+    """Trees (feature, value, if equal, otherwise) from the candidates and positives of each pattern."""
+    z, trees = dict.fromkeys(counts, 0.0), []
+    splits = sorted({(i, v) for x in counts for i, v in enumerate(x)})
+    for _ in range(TREES if counts else 0):
+        p = {x: 1 / (1 + math.exp(-z[x])) for x in counts}
+        g = {x: counts[x][1] - counts[x][0] * p[x] for x in counts}
+        h = {x: counts[x][0] * p[x] * (1 - p[x]) for x in counts}
+        tree = _grown(sorted(counts), 2, splits, g, h)
         trees.append(tree)
         for x in z:
             z[x] += follow(tree, x)
-    thresholds = {}
-    for k in KINDS:
-        held = sorted(((1 / (1 + math.exp(-z[x])), n, y) for x, fold, n, y in rows if fold == 1 and GENERATORS[x[0]][0] == k), reverse=True)
-        n = y = 0
-        for i, (p, m, s) in enumerate(held):
-            n, y = n + m, y + s
-            if (i + 1 == len(held) or held[i + 1][0] < p) and n >= LEAST and y >= PRECISION * n:
-                thresholds[k] = p
-    return {"trees": trees, "thresholds": thresholds}
+    return trees
+
+
+def _grown(part: list, depth: int, splits: list, g: dict, h: dict):
+    """A tree of the part's patterns: the split of most gain at each node, the first of equals; leaves by a Newton step."""
+
+    def gain(group):
+        return sum(g[x] for x in group) ** 2 / (sum(h[x] for x in group) + 1.0)
+
+    best = None
+    for i, v in splits if depth else ():
+        yes, no = [x for x in part if x[i] == v], [x for x in part if x[i] != v]
+        if yes and no:
+            s = gain(yes) + gain(no)
+            if best is None or s > best[0] + 1e-12:
+                best = (s, i, v, yes, no)
+    if best is None:
+        return RATE * sum(g[x] for x in part) / (sum(h[x] for x in part) + 1.0)
+    _, i, v, yes, no = best
+    return i, v, _grown(yes, depth - 1, splits, g, h), _grown(no, depth - 1, splits, g, h)
 
 
 def follow(tree, x) -> float:
@@ -230,47 +233,65 @@ def follow(tree, x) -> float:
     return tree
 
 
-def selected(model: dict, gen: Column, values: dict[str, Column]) -> Column:
-    """Whether the trees' score of a candidate reaches its kind's threshold."""
+def logit(model: dict, x: tuple[int, ...]) -> float:
+    return sum(follow(t, [x[i] for i in view]) for name, view in (("context", CONTEXT_VIEW), ("format", FORMAT)) for t in model[name])
 
-    def grown(tree):
-        return F.when(values[NAMES[tree[0]]] == tree[1], grown(tree[2])).otherwise(grown(tree[3])) if isinstance(tree, tuple) else F.lit(float(tree))
 
-    z = reduce(lambda a, b: a + b, [grown(t) for t in model["trees"]], F.lit(0.0))
-    out = F.lit(False)
-    for k, p in model["thresholds"].items():
-        cut = math.log(p / (1 - p)) - 1e-9 if 0 < p < 1 else -math.inf if p <= 0 else math.inf
-        out = F.when(kind(gen) == k, z >= F.lit(cut)).otherwise(out)
-    return out
+def selected(model: dict, g: int, values: dict[str, Column]) -> Column:
+    """Whether the trees' score of a generator's candidate reaches its threshold."""
+    if g not in model["thresholds"]:
+        return F.lit(False)
+
+    def grown(tree, view):
+        return F.when(values[NAMES[view[tree[0]]]] == tree[1], grown(tree[2], view)).otherwise(grown(tree[3], view)) if isinstance(tree, tuple) else F.lit(float(tree))
+
+    trees = [grown(t, view) for name, view in (("context", CONTEXT_VIEW), ("format", FORMAT)) for t in model[name]]
+    return reduce(lambda a, b: a + b, trees, F.lit(0.0)) >= F.lit(model["thresholds"][g] - 1e-9)
 
 
 def base(gen: Column, match: Column) -> Column:
     return gen.isin(*BASE_GENERATORS) & checked(gen, match)
 
 
+_SPANS = "array<struct<start:bigint,order:int,end:bigint,kind:string,base:boolean>>"
+
+
+def _kept(text: Column, g: int, model: dict) -> Column:
+    """A generator's spans that stay."""
+    k = GENERATORS[g][0]
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["m"])
+        before, gen = F.right(x["before"], F.lit(CONTEXT)), F.lit(g)
+        if g in BASE_GENERATORS:
+            keep = base(gen, x["m"])
+        else:
+            keep = sure(gen, x["m"], before) | selected(model, g, features(gen, x["m"], before, F.left(x["after"], F.lit(1))))
+        span = F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(k)).alias("order"), end.cast("long").alias("end"), F.lit(k).alias("kind"), F.lit(g in BASE_GENERATORS).alias("base"))
+        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    none = F.array().cast(_SPANS)
+    return F.when(_likely(text, g), F.aggregate(_matched(text, GENERATORS[g][1]), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def found_spans(text: Column, model: dict) -> Column:
+    """array<struct<start, order, end, kind, base>> of a text, in order; an added span overlaps no base span."""
+    own = F.concat(*[_kept(text, g, model) for g in BASE_GENERATORS])
+    more = F.concat(*[_kept(text, g, model) for g in ADDED])
+    free = lambda fixed: F.filter(more, lambda a: ~F.exists(fixed, lambda b: (b["start"] < a["end"]) & (b["end"] > a["start"])))
+    return _let(own, lambda fixed: F.array_sort(F.array_distinct(F.concat(fixed, free(fixed)))))
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", model: dict | None = None) -> DataFrame:
-    """A row for each document: (row, key, spans), spans being array<struct<start, order, end, kind, base>> in order.
-
-    The candidates are written to the shared folder, as training and selection both read them.
-    """
-    found = common.written(candidates(docs, key, text))
-    model = model or learn(found)
-    named = kind(F.col("gen"))
-    by = W.partitionBy("row", "gen").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    c = [F.col(x) for x in ("gen", "match", "before", "after")]
-    placed = found.select("row", "key", "gen", "match", "before", "after", (F.sum(F.col("gap") + F.length("match")).over(by)).alias("end"), F.length("match").alias("size"))
-    values = {n: v.cast("int").alias(n) for n, v in features(*c).items()}
-    judged = placed.select("row", "key", "end", "size", named.alias("kind"), base(c[0], c[1]).alias("base"), sure(*c[:3]).alias("sure"), *[v if n != "gen" else F.col("gen") for n, v in values.items()])
-    kept = judged.withColumn("added", F.col("sure") | selected(model, F.col("gen"), {n: F.col(n) for n in NAMES})).filter("gen < 0 or base or added")
-    order = reduce(lambda out, i: F.when(F.col("kind") == KINDS[i], i).otherwise(out), range(len(KINDS)), F.lit(-1))
-    one = kept.select("row", "key", (F.col("end") - F.col("size")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", order.alias("order"), "base", (F.col("gen") < 0).alias("document"))
-    # An added span may overlap no base span: the furthest end before, and the nearest start after.
-    up = W.partitionBy("row").orderBy("document", "start", F.desc("base"), "end", "order").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy("row").orderBy(F.desc("document"), F.desc("start"), "base", F.desc("end"), F.desc("order")).rowsBetween(W.unboundedPreceding, 0)
-    free = one.select("*", F.max(F.when(F.col("base"), F.col("end"))).over(up).alias("before"), F.min(F.when(F.col("base"), F.col("start"))).over(down).alias("next"))
-    free = free.filter("document or base or (coalesce(before <= start, true) and coalesce(next >= end, true))")
-    span = F.when(~F.col("document"), F.struct("start", "order", "end", "kind", "base"))
-    return free.groupBy("row", F.col("key").alias(key)).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    """(key, spans) of every row, spans being array<struct<start, order, end, kind, base>> in order."""
+    model = model or learn(docs, text)
+    return docs.select(F.col(key).alias(key), found_spans(F.coalesce(F.col(text), F.lit("")), model).alias("spans"))
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -286,34 +307,16 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
-    """``docs`` with each span of a text column given way to ``[KIND]``; texts without spans stay as they are.
-
-    A text is gone through once for each generator, in an order that takes the longer formats first; nothing is shuffled.
-    """
-    if model is None:
-        rows = docs.withColumn("__key", F.lit(0))
-        found = candidates(rows, "__key", text)
-        model = learn(found)
-    out = docs
-    for g in (0, 1, 7, 3, 2, 4, 6, 5):
-        t, pattern = F.col(text), GENERATORS[g][1]
-        pieces = F.transform(F.transform(_matched(t, pattern), _valued(g)), _put(g, model))
-        out = out.withColumn(text, F.when(_likely(t, g), F.concat(F.array_join(pieces, ""), F.element_at(F.split(t, pattern, -1), -1))).otherwise(t))
-    return out
-
-
-def _valued(g: int):
-    def one(x):
-        before = F.right(x["before"], F.lit(CONTEXT))
-        values = features(F.lit(g), x["m"], before, F.left(x["after"], F.lit(1)))
-        return F.struct(x["before"].alias("before"), x["m"].alias("m"), (base(F.lit(g), x["m"]) | sure(F.lit(g), x["m"], before)).alias("sure"), *[v.cast("int").alias(n) for n, v in values.items()])
-
-    return one
-
-
-def _put(g: int, model: dict):
-    def one(x):
-        gone = x["sure"] | selected(model, F.lit(g), {n: x[n] for n in NAMES})
-        return F.concat(x["before"], F.when(gone, F.lit(f"[{GENERATORS[g][0].upper()}]")).otherwise(x["m"]))
-
-    return one
+    """``docs`` with each of its ``spans`` given way to ``[KIND]``; of spans that overlap the first gives the mark for all."""
+    model = model or learn(docs, text)
+    t = F.col(text)
+
+    def step(acc, s):
+        piece = F.substring(t, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+        marked = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
+        return F.when(s["start"] >= acc["at"], marked).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, acc["at"].cast("int") + 1, F.length(t)))), "")
+    cut = _let(found_spans(t, model), lambda found: F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(t))
+    return docs.withColumn(text, F.when(t.isNotNull(), cut))

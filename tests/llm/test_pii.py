@@ -67,16 +67,96 @@ def test_added_and_redacted(spark):
 
 
 def test_few_are_found_as_well_as_many(spark):
-    """Two of each kind are far too few to calibrate; a telling word is no feature where it alone is the label."""
+    """Two of each kind are far too few to calibrate."""
     texts = ["ssn 123-45-6789 x", "id 321-54-9876 y", "api_key = 0123456789abcdef0123456789abcdef01234567 x", "call (555) 123-4567 x", "ask ann [at] mail [dot] org x", "room 000-12-3456 x", "see (555) 123-4567 x", "0123456789abcdef0123456789abcdef01234567"]
     want = ["ssn [SSN] x", "id [SSN] y", "api_key = [TOKEN] x", "call [PHONE] x", "ask [EMAIL] x", *texts[5:]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == want
     found = {r.doc_id: r.spans for r in pii.digests(pii.spans(df)).collect()}
     assert [found[i].split(":")[0] for i in range(8)] == ["ssn", "ssn", "token", "phone", "email", "", "", ""]
-    rows = [(5, "(555) 123-4567", "call ", " "), (5, "(555) 123-4567", "seen ", " ")]
-    c = [pii.F.col(x) for x in ("gen", "match", "before", "after")]
-    assert len({r.cue for r in spark.createDataFrame(rows, "gen int, match string, before string, after string").select(pii.features(*c)["cue"].alias("cue")).collect()}) == 1
+
+
+def test_redaction_cuts_the_spans(spark):
+    """Text by text: what lies between the spans stays, each run of overlapping spans is one mark."""
+    data = [*rows(), *[(1000 + k, t) for k, t in learnable()]]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("n", pii.F.monotonically_increasing_id())
+    model = pii.learn(df)
+    found = {r.n: r.spans for r in pii.spans(df, "n", model=model).collect()}
+    texts = {r.n: r.text for r in df.collect()}
+    for r in pii.redact(df, model=model).collect():
+        t, at, out = texts[r.n], 0, ""
+        for s in found[r.n]:
+            if s.start >= at:
+                out += t[at : s.start] + f"[{s.kind.upper()}]"
+            at = max(at, s.end)
+            assert s.base or not any(b.base and b.start < s.end and b.end > s.start for b in found[r.n])
+        assert r.text == (None if t is None else out + t[at:])
+
+
+def test_same_model_however_the_table_is_split(spark):
+    df = spark.createDataFrame(learnable() + rows(), "doc_id long, text string")
+    models = [pii.learn(x) for x in (df.repartition(7), df.coalesce(1), df.unionByName(df.limit(0)))]
+    assert models[0] == models[1] == models[2] and models[0]["thresholds"]
+
+
+def test_no_tree_sees_its_own_label():
+    assert not set(pii.FORMAT) & set(pii.CONTEXT_VIEW) and pii.NAMES[4] == "cue"
+    rng = random.Random(3)
+    rows = [((g, rng.randrange(12), 0, 0, rng.randrange(3), 1, 1), f, p, 1 + rng.randrange(50)) for g in range(8) for f in (0, 1) for p in (0, 1) for _ in range(6)]
+    same = [((*x[:4], x[4], 1, 1), f, p, n) for x, f, p, n in rows]
+    other = [((*x[:4], x[4], 1, 1), f, 1 - p, n) for x, f, p, n in rows]
+    assert pii.fitted(same)["format"] == pii.fitted(other)["format"] and pii.fitted(same)["context"] != pii.fitted(other)["context"]
+
+
+def test_boosting_equals_one_row_a_candidate():
+    """Gradient boosting with depth-two trees on single rows, splits tried one by one in numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    counts = {(a, b): [int(n), int(rng.integers(0, n + 1))] for a in range(3) for b in range(4) for n in [rng.integers(1, 30)]}
+    x = np.array([k for k, (n, _) in counts.items() for _ in range(n)])
+    y = np.array([float(i < p) for n, p in counts.values() for i in range(n)])
+    z = np.zeros(len(x))
+
+    def leaf(rows, g, h):
+        return pii.RATE * g[rows].sum() / (h[rows].sum() + 1)
+
+    def value(rows, depth, g, h):
+        best = None
+        for i in range(2) if depth else ():
+            for v in np.unique(x[:, i]):
+                yes, no = rows & (x[:, i] == v), rows & (x[:, i] != v)
+                if yes.any() and no.any():
+                    gain = sum(g[r].sum() ** 2 / (h[r].sum() + 1) for r in (yes, no))
+                    if best is None or gain > best[0] + 1e-12:
+                        best = gain, yes, no
+        if best is None:
+            return np.where(rows, leaf(rows, g, h), 0)
+        return value(best[1], depth - 1, g, h) + value(best[2], depth - 1, g, h)
+
+    for _ in range(pii.TREES):
+        p = 1 / (1 + np.exp(-z))
+        z = z + value(np.ones(len(x), dtype=bool), 2, y - p, p * (1 - p))
+    trees = pii.boosted(counts)
+    got = [sum(pii.follow(t, k) for t in trees) for k in x.tolist()]
+    assert np.allclose(got, z)
+
+
+def test_trees_as_expressions(spark):
+    rng = random.Random(9)
+    rows = [((g, rng.randrange(12), rng.randrange(4), rng.randrange(4), rng.randrange(3), rng.randrange(4), rng.randrange(4)), f, p, 1 + rng.randrange(50)) for g in range(8) for f in (0, 1) for p in (0, 1) for _ in range(9)]
+    model = pii.fitted(rows)
+    df = spark.createDataFrame([x for x, *_ in rows if x[0] == 7], ", ".join(f"{n} int" for n in pii.NAMES))
+    for cut in (-1.0, 0.0, 1.0):
+        model["thresholds"][7] = cut
+        for r in df.withColumn("s", pii.selected(model, 7, {n: pii.F.col(n) for n in pii.NAMES})).collect():
+            assert r.s == (pii.logit(model, tuple(r)[:7]) >= cut - 1e-9)
+
+
+def test_threshold():
+    assert pii.threshold([]) is None and pii.threshold([(1.0, 5, 5)]) is None and pii.threshold([(1.0, 9, 9)]) == 1.0
+    assert pii.threshold([(3.0, 50, 50), (2.0, 10, 4), (1.0, 1000, 990)]) == 1.0 and pii.threshold([(3.0, 50, 50), (2.0, 10, 4)]) == 3.0
+    assert pii.threshold([(1.0, 9, 9), (1.0, 9, 0)]) is None
 
 
 def test_redaction_leaves_no_base_span(spark):
