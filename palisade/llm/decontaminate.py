@@ -5,13 +5,14 @@ Both sides are lower-cased (A-Z) and cut into words of digits, ASCII letters and
 any occurrence of a window is hit.
 
 The windows are a hash set of word-id tuples, broadcast to the tasks, which scan every whole text. The set's size
-is checked: a benchmark of more than ``block_chars`` characters is dealt into blocks of about that size by item
-and the documents are scanned once for each block, whose hits are written to the shared folder before the next block
-is built, so that one block is held at a time; what the blocks find in a document is merged by a shuffle of spans and
-items, no texts. Word ids stand for whole words, so that a hit in the set is an exact match.
-
-Nulls: a null text has no words; a null item id is an item all the same, listed as none. Empty tables give no rows
-or no hits. Repeated rows are each judged by themselves. Columns besides those named pass through ``remove``.
+is checked: a benchmark of more than ``block_chars`` characters is dealt into blocks of about that size by item. The documents
+are then numbered once, written with their numbers and scanned once for each block, whose hits are written to the shared folder before
+the next block is built, so that one block is held at a time; what the blocks find in a document is merged by a shuffle of the
+spans and items of documents with hits, no texts. Word ids stand for whole words, so that a hit in the set is an exact match.
+
+Nulls: a null text has no words; a null item id is an item all the same, listed as none. Empty texts have no words, very long
+ones are scanned whole. Empty tables give no rows or no hits. Repeated rows are each judged by themselves, and so are documents of
+one key; items of one id are one item. Columns besides those named pass through ``remove``, one of the name of its count excepted, which it replaces.
 """
 
 from __future__ import annotations
@@ -44,18 +45,17 @@ def words(text: str | bytes | None) -> list[bytes]:
 class Windows:
     """The windows of some items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
         self.ids: dict[bytes, int] = {}
-        self.items: dict[bytes, tuple] = {}
+        self.items: dict[bytes, list] = {}
         for item, text in items:
             own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
             if own:
                 flat, size = np.array(own, dtype=np.int32), min(n, len(own))
                 for i in range(len(own) - size + 1):
-                    key = flat[i : i + size].tobytes()
-                    had = self.items.get(key, ())
-                    if item not in had:
-                        self.items[key] = (*had, item)
+                    had = self.items.setdefault(flat[i : i + size].tobytes(), [])
+                    if not had or had[-1] != item:  # an item's windows come together
+                        had.append(item)
         self.sizes = sorted({len(k) // 4 for k in self.items})
 
     def hits(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -83,7 +83,7 @@ def block_count(benchmark: DataFrame, text: str, block_chars: int) -> int:
 
 def block(benchmark: DataFrame, i: int, k: int, n: int, item: str, text: str) -> Windows:
     """The windows of the i-th of k blocks of the benchmark."""
-    rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter(F.length("text") > 0)
     part = rows if k == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(k)) == i)
     return Windows([(r.item, r.text) for r in part.toLocalIterator()], n)
 
@@ -93,7 +93,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 def _scan(docs: DataFrame, shared, key: str, text: str) -> DataFrame:
     """key, n_words, spans, items of every row, by a broadcast block of windows."""
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches):
         w = shared.value
@@ -106,48 +106,53 @@ def _scan(docs: DataFrame, shared, key: str, text: str) -> DataFrame:
                     counts.append(len(own))
                     spans.append([{"start": a, "end": b} for a, b in s])
                     items.append(sorted(x for x in f if x is not None))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: its key, ``n_words``, merged ``spans`` of hit words and ``items`` (ids, ascending)."""
+    """One row per document: its key, ``n_words``, merged ``spans`` of hit words and ``items`` (ids as strings, in order)."""
     common.small_batches(docs.sparkSession)
     k = block_count(benchmark, item_text, block_chars)
     if k == 1:
         shared = docs.sparkSession.sparkContext.broadcast(block(benchmark, 0, 1, n, item, item_text))
         return _scan(docs, shared, key, text).withColumnRenamed("key", key)
-    marked = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("key"), F.col(text).alias("text"))
-    return _merged(marked, benchmark, k, n, item, item_text).select(F.col("key.key").alias(key), "n_words", "spans", "items")
+    rows = common.written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
+    hits, counts = _merged(rows, benchmark, k, n, item, item_text)
+    out = counts.join(hits, "row", "left").join(rows.select("row", "key"), "row")
+    return out.select(F.col("key").alias(key), "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _merged(marked: DataFrame, benchmark: DataFrame, k: int, n: int, item: str, item_text: str, every: bool = True) -> DataFrame:
-    """key, n_words, spans, items of rows (key, text), or of those with hits alone, from all blocks together."""
-    base = None
+def _merged(rows: DataFrame, benchmark: DataFrame, k: int, n: int, item: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(row, spans, items) of rows (row, text) with hits, from all blocks together, and (row, n_words) of all."""
+    base = counts = None
     for i in range(k):
-        shared = marked.sparkSession.sparkContext.broadcast(block(benchmark, i, k, n, item, item_text))
-        own = _scan(marked, shared, "key", "text")
-        own = common.written(own if every and i == 0 else own.filter(F.size("spans") > 0))
+        shared = rows.sparkSession.sparkContext.broadcast(block(benchmark, i, k, n, item, item_text))
+        own = _scan(rows, shared, "row", "text")
+        own = common.written(own if i == 0 else own.filter(F.size("spans") > 0))
         shared.destroy()
+        counts = own.select(F.col("key").alias("row"), "n_words") if i == 0 else counts
         base = own if base is None else base.unionByName(own)
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     last = lambda x: F.element_at(x, -1)
     merge = lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-    return (
-        base.groupBy("key")
-        .agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select("key", "n_words", F.aggregate("spans", F.array().cast(SPANS.simpleString()), merge).alias("spans"), "items")
+    hits = (
+        base.filter(F.size("spans") > 0)
+        .groupBy(F.col("key").alias("row"))
+        .agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        .select("row", F.aggregate("spans", F.array().cast(SPANS), merge).alias("spans"), "items")
     )
+    return hits, counts
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the hit words and what stands between them; a column ``n_removed`` counts the words that went.
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, removed: str = "n_removed") -> DataFrame:
+    """``docs`` without the hit words and what stands between them; a column ``removed`` counts the words that went.
 
     Cutting a span joins what stood around it, which can make a window anew: cutting goes on until none occurs. With
     more than one block a round takes the hits of all blocks, cuts their union once, and goes on with the texts that it cut.
     """
-    out = docs.withColumn("n_removed", F.lit(0).cast("long"))
+    out = docs.drop(removed).withColumn(removed, F.lit(0).cast("long"))
     at, schema = out.columns.index(text), out.schema
     common.small_batches(docs.sparkSession)
     k = block_count(benchmark, item_text, block_chars)
@@ -157,7 +162,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text
     rows = common.written(out.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("own")))
     now, rounds = rows.select("row", F.col(f"own.`{text}`").alias("text"), F.lit(0).cast("long").alias("gone")), []
     while True:
-        hits = _merged(now.select(F.col("row").alias("key"), "text"), benchmark, k, n, item, item_text, every=False).select(F.col("key").alias("row"), "spans")
+        hits = _merged(now, benchmark, k, n, item, item_text)[0].select("row", "spans")
         now = common.written(now.join(hits, "row").select("row", "text", "gone", "spans").mapInArrow(_cutter, "row long, text string, gone long"))
         if now.isEmpty():
             break
@@ -168,7 +173,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text
     for r in rounds[1:]:
         changed = changed.unionByName(r)
     changed = changed.groupBy("row").agg(F.max_by(F.struct("text", "gone"), "round").alias("new"))
-    new = {text: F.when(F.col("new").isNull(), F.col(f"own.`{text}`")).otherwise(F.col("new.text")), "n_removed": F.coalesce("new.gone", F.lit(0).cast("long"))}
+    new = {text: F.when(F.col("new").isNull(), F.col(f"own.`{text}`")).otherwise(F.col("new.text")), removed: F.coalesce("new.gone", F.lit(0).cast("long"))}
     return rows.join(changed, "row", "left").select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in out.columns])
 
 
@@ -220,7 +225,7 @@ def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
 

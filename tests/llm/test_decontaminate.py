@@ -70,6 +70,33 @@ def test_removal_does_not_depend_on_blocks(spark):
     assert (300, "a  b", 15) in dealt
 
 
+def test_nested_windows_of_two_blocks(spark):
+    """Cutting one item's window makes the other's anew, nine deep; every number of blocks cuts to the end."""
+    bench = [("x", "a b"), ("y", "c d")]
+    docs = [(1, "s c a c a c a b d b d b d t"), (2, "s " + "a c " * 9 + "d b " * 9 + "t"), (3, "q")]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")
+    got = [{r.doc_id: (r.text.split(), r.n_removed) for r in d.remove(df, b, block_chars=c).collect()} for c in (100, 3, 1)]
+    assert got[0] == got[1] == got[2] == {1: (["s", "t"], 12), 2: (["s", "t"], 36), 3: (["q"], 0)}
+    scanned = [sorted(tuple(r) for r in d.digests(d.scan(df, b, block_chars=c)).collect()) for c in (100, 3, 1)]
+    assert scanned[0] == scanned[1] == scanned[2] == sorted(brute(docs, bench))
+
+
+def test_rows_mean_the_same_whatever_the_split(spark, tmp_path, monkeypatch):
+    docs, bench = data()
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(9).write.parquet(str(tmp_path / "d"))
+    at, written = iter(range(1, 1000)), d.common.written
+
+    def otherwise(df):
+        spark.conf.set("spark.sql.files.minPartitionNum", next(at) % 7 + 1)
+        return written(df)
+
+    monkeypatch.setattr(d.common, "written", otherwise)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted((tuple(r) for r in d.digests(d.scan(spark.read.parquet(str(tmp_path / "d")), b, block_chars=100)).collect()), key=str)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == sorted(brute(docs, bench), key=str)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
