@@ -1,22 +1,27 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 Tokens are the words of a text, lower-cased (A-Z) and cut at ASCII white space, and one end. The most frequent
-words make classes of ``SLOTS`` words each; every other word belongs to one of ``TAILS`` tail classes by its
+``MODELLED`` words make classes of ``SLOTS`` words each; every other word belongs to one of ``TAILS`` tail classes by its
 last letters. p(word | context) = p(class | context) * p(word | class, context). Both are log-linear in the word before, the two
-words before (hashed) and, as skip features, the second and third word before; inside a tail class a word has its
-smoothed share (c + 0.5) / (N_k + 0.5 * (V_k + 1)), so that the model sums to one over known words and unknown ones.
+words before (hashed) and, as skip features, the second and third word before; context words are taken as themselves if modelled
+and by hash if not, so that every word of the corpus is evidence. Inside a tail class a word has its smoothed share
+(c + 0.5) / (N_k + 0.5 * (V_k + 1)), so that the model sums to one over known words and unknown ones.
 
-Corpus counts cover all training texts and stay a table. Training goes over all of them as well, in ``ROUNDS`` parts: in
+What is learnt grows with the corpus: counts cover all training texts and stay a table, the buckets of hashed pairs grow with the
+root of the training tokens (``buckets``), and training goes over all training texts, in ``ROUNDS`` parts: in
 a round each task starts from the broadcast weights, takes gradient steps over its texts and gives the change of
-the weights; the changes are averaged by Spark, weighted by tokens, and make the next round's weights. Of
-the counts the ``HEAD`` most frequent tokens are broadcast; tokens beyond these meet their counts in a join.
+the weights; the changes are averaged by Spark, weighted by tokens, in two levels, and make the next round's weights. Of
+the counts the ``HEAD`` most frequent tokens at most are broadcast, down to a count that a histogram gives; tokens beyond these meet
+their counts in a join.
 
-Null texts are as empty ones (their end is their one token). Without training texts all counts are zero and the
-model is the base. Repeated rows are each scored; other columns are not carried; an empty table gives no rows.
+Null texts are as empty ones (their end is their one token); very long ones are scored whole. Without training texts all counts are
+zero and the model is the base. Among tokens of one count the order is that of their bytes. Repeated rows and null keys are each scored;
+other columns are not carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from itertools import repeat
@@ -29,17 +34,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CLASSES, SLOTS, TAILS = 20, 32, 12
+CLASSES, SLOTS, TAILS = 32, 48, 12
 MODELLED = CLASSES * SLOTS
-START = MODELLED + TAILS
+#: Context words: modelled ones, hashed others, and the start of a text.
+OTHERS = 4096
+START = MODELLED + OTHERS
 SYMBOLS = START + 1
-PAIRS = 8192
+#: Least and most buckets of hashed pairs; their weights are broadcast.
+PAIRS = 8192, 32_768
 HEAD, ROUNDS, TASK_TOKENS = 200_000, 2, 6_000_000
 STEP, BATCH = 0.15, 32_768
 #: Weights in a row of a task's change.
 BLOCK = 16_384
 END = b""
-_SHAPE = (1 + 3 * SYMBOLS + PAIRS, CLASSES + TAILS), (CLASSES + 2 * PAIRS, SLOTS)
+
+
+def buckets(total: int) -> int:
+    """Buckets of hashed pairs for so many training tokens: a power of two, about twice their root."""
+    return min(max(1 << math.ceil(math.log2(2 * math.sqrt(max(total, 1)))), PAIRS[0]), PAIRS[1])
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -56,7 +68,9 @@ class Words:
     def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, tails: dict[int, tuple[int, int]]):
         self.rank = {w: i for i, (w, _) in enumerate(head)}
         self.count = np.array([c for _, c in head], dtype=np.float64)
-        self.tail = np.array([tail(w) for w, _ in head], dtype=np.int64)
+        own = np.arange(len(head))
+        self.target = np.where(own < MODELLED, own, MODELLED + np.array([tail(w) for w, _ in head], dtype=np.int64))
+        self.context = np.where(own < MODELLED, own, MODELLED + np.array([zlib.crc32(w) % OTHERS for w, _ in head], dtype=np.int64))
         self.total, self.distinct = total, distinct
         self.base = np.log10(total + 0.5 * (distinct + 1))
         self.inside = np.array([np.log10(n + 0.5 * (v + 1)) for n, v in (tails.get(k, (0, 0)) for k in range(TAILS))])
@@ -65,16 +79,18 @@ class Words:
     def ranks(self, own: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.rank.get, own, repeat(-1)), dtype=np.int64, count=len(own))
 
-    def symbols(self, own: list[bytes], rank: np.ndarray) -> np.ndarray:
-        out = np.where(rank < MODELLED, rank, MODELLED + self.tail[np.clip(rank, 0, None)] if len(self.tail) else 0)
+    def symbols(self, own: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token what it is as a target and as a context."""
+        target, context = (x[rank] if len(x) else np.zeros(len(rank), dtype=np.int64) for x in (self.target, self.context))
         for i in np.flatnonzero(rank < 0).tolist():
-            out[i] = MODELLED + tail(own[i])
-        return out
+            target[i], context[i] = MODELLED + tail(own[i]), MODELLED + zlib.crc32(own[i]) % OTHERS
+        return target, context
 
 
 def start(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Weights that give the unigram shares: the biases are logarithms of counts; slots without a word are shut."""
-    a, b = (np.zeros(s, dtype=np.float32) for s in _SHAPE)
+    pairs = buckets(w.total)
+    a, b = np.zeros((1 + 3 * SYMBOLS + pairs, CLASSES + TAILS), dtype=np.float32), np.zeros((CLASSES + 2 * pairs, SLOTS), dtype=np.float32)
     words = np.zeros(MODELLED)
     words[: min(MODELLED, len(w.count))] = w.count[:MODELLED]
     a[0, :CLASSES] = np.log(words.reshape(CLASSES, SLOTS).sum(axis=1) + 0.5)
@@ -83,49 +99,55 @@ def start(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of many texts in one array, each after three starts, and the places of the texts' own symbols."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.full(int(sizes.sum()) + 3 * len(texts), START, dtype=np.int64)
+def contexts(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Targets of many texts in one array, context words in another, each text after three starts, and the places of the texts' tokens."""
+    sizes = np.array([len(t) for t, _ in texts], dtype=np.int64)
+    target, context = (np.full(int(sizes.sum()) + 3 * len(texts), START, dtype=np.int64) for _ in range(2))
     place = np.arange(int(sizes.sum())) + 3 * np.repeat(np.arange(1, len(texts) + 1), sizes)
-    flat[place] = np.concatenate(texts) if texts else 0
-    return flat, place
+    if texts:
+        target[place], context[place] = (np.concatenate(x) for x in zip(*texts, strict=True))
+    return target, context, place
 
 
-def rows(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
+def rows(context: np.ndarray, place: np.ndarray, pairs: int) -> np.ndarray:
     """(5, n) rows of the class table: bias, one word before, skips over one and two, and the hashed pair."""
-    one, two, three = flat[place - 1], flat[place - 2], flat[place - 3]
-    pair = (one * 40_503 + two * 2_654_435_761) % PAIRS
+    one, two, three = context[place - 1], context[place - 2], context[place - 3]
+    pair = (one * 40_503 + two * 2_654_435_761) % pairs
     return np.stack([np.zeros_like(one), 1 + one, 1 + SYMBOLS + two, 1 + 2 * SYMBOLS + three, 1 + 3 * SYMBOLS + pair])
 
 
-def inner_rows(flat: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
+def inner_rows(context: np.ndarray, place: np.ndarray, group: np.ndarray, pairs: int) -> np.ndarray:
     """(3, n) rows of the word table: the class's bias, and class with the word before and with the one before that, hashed."""
-    one, two = flat[place - 1], flat[place - 2]
-    return np.stack([group, CLASSES + (one * CLASSES + group) * 40_503 % PAIRS, CLASSES + PAIRS + (two * CLASSES + group) * 40_503 % PAIRS])
+    one, two = context[place - 1], context[place - 2]
+    return np.stack([group, CLASSES + (one * CLASSES + group) * 40_503 % pairs, CLASSES + pairs + (two * CLASSES + group) * 40_503 % pairs])
 
 
 def log_softmax(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = table[at[0]]
-    for r in at[1:]:
-        z += table[r]
+    z = np.take(table, at[1], axis=0)
+    for r in at[2:]:
+        z += np.take(table, r, axis=0)
+    z += table[0] if not at[0].any() else np.take(table, at[0], axis=0)
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def scores(a: np.ndarray, b: np.ndarray, flat: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """ln p of each symbol: of its class and, for a modelled word, of the word in its class."""
-    out = np.zeros(len(place))
+def groups(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each target is modelled, and its class."""
+    known = target < MODELLED
+    return known, np.where(known, target // SLOTS, target - MODELLED + CLASSES)
+
+
+def scores(a: np.ndarray, b: np.ndarray, target: np.ndarray, context: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """ln p of each token: of its class and, for a modelled word, of the word in its class."""
+    out, pairs = np.zeros(len(place)), len(a) - 1 - 3 * SYMBOLS
     for at in range(0, len(place), BATCH):
         own = place[at : at + BATCH]
-        symbol = flat[own]
-        known = symbol < MODELLED
-        group = np.where(known, symbol // SLOTS, symbol - MODELLED + CLASSES)
-        out[at : at + BATCH] = log_softmax(a, rows(flat, own))[np.arange(len(own)), group]
+        known, group = groups(target[own])
+        out[at : at + BATCH] = log_softmax(a, rows(context, own, pairs))[np.arange(len(own)), group]
         if known.any():
             k = np.flatnonzero(known)
-            out[at + k] += log_softmax(b, inner_rows(flat, own[k], group[k]))[np.arange(len(k)), symbol[k] % SLOTS]
+            out[at + k] += log_softmax(b, inner_rows(context, own[k], group[k], pairs))[np.arange(len(k)), target[own[k]] % SLOTS]
     return out
 
 
@@ -135,25 +157,32 @@ class Steps:
     def __init__(self, a: np.ndarray, b: np.ndarray):
         self.tables = [a.copy(), b.copy()]
         self.squares = [np.full(x.shape, 1e-4, dtype=np.float32) for x in self.tables]
+        self.pairs = len(a) - 1 - 3 * SYMBOLS
 
     def step(self, which: int, at: np.ndarray, target: np.ndarray) -> None:
         table, squares, n = self.tables[which], self.squares[which], len(target)
         g = np.exp(log_softmax(table, at))
         g[np.arange(n), target] -= 1
-        flat, columns = at.ravel(), np.ascontiguousarray(g.T, dtype=np.float64)
-        total = np.stack([np.bincount(flat, np.tile(c, len(at)), len(table)) for c in columns], axis=1).astype(np.float32) / n
-        squares += total * total
-        table -= STEP * total / np.sqrt(squares)
-
-    def learn(self, flat: np.ndarray, place: np.ndarray) -> None:
+        # The rows that some token has, and the sum of the gradients of each.
+        here = np.zeros(len(table), dtype=bool)
+        here[at] = True
+        met = np.flatnonzero(here)
+        flat = (np.cumsum(here) - 1)[at]
+        total = np.zeros((len(met), g.shape[1]), dtype=np.float32)
+        for j, c in enumerate(np.ascontiguousarray(g.T, dtype=np.float64)):
+            total[:, j] = sum(np.bincount(r, c, len(met)) for r in flat) / n
+        seen = squares[met] + total * total
+        squares[met] = seen
+        table[met] -= STEP * total / np.sqrt(seen)
+
+    def learn(self, target: np.ndarray, context: np.ndarray, place: np.ndarray) -> None:
         for at in range(0, len(place), BATCH):
             own = place[at : at + BATCH]
-            symbol = flat[own]
-            known = symbol < MODELLED
-            group = np.where(known, symbol // SLOTS, symbol - MODELLED + CLASSES)
-            self.step(0, rows(flat, own), group)
+            known, group = groups(target[own])
+            self.step(0, rows(context, own, self.pairs), group)
             if known.any():
-                self.step(1, inner_rows(flat, own[known], group[known]), symbol[known] % SLOTS)
+                k = own[known]
+                self.step(1, inner_rows(context, k, group[known], self.pairs), target[k] % SLOTS)
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -178,8 +207,16 @@ def counted(texts: DataFrame) -> DataFrame:
 def known_words(counts: DataFrame, head: int = HEAD) -> Words:
     """The bounded part of the counts that tasks need: ``head`` tokens at most, and totals by tail class."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()
-    most = list(zip(top.column("token").to_pylist(), top.column("n").to_pylist(), strict=True))
+    # The least count whose tokens, with all of higher counts, are ``head`` at most: counts of one step are less than 5 % apart.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, room = None, head
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # some hundred steps
+        room -= r.v
+        if room < 0:
+            break
+        least = r.n
+    top = counts.filter(F.col("n") >= least).toArrow().to_pylist() if least is not None else []
+    most = sorted(((r["token"], r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
     # The tail classes hold all but the modelled words: all tokens by class, less those.
     last = F.expr("substring(token, greatest(length(token) - 1, 1), 2)")
     tails = {r.k: [r.n, r.v] for r in counts.groupBy(F.pmod(F.crc32(last), F.lit(TAILS)).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
@@ -220,8 +257,9 @@ def train(texts: DataFrame, words: Words, rounds: int = ROUNDS) -> tuple[np.ndar
                 parts = [change[i : i + BLOCK].tobytes() for i in range(0, len(change), BLOCK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "change"])
 
-        changes = own.mapInArrow(learn, "block int, n long, change binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(32)))
-        # Averages of averages, so that no group holds the changes of all tasks.
+        # Averages of averages, so that no group holds more changes than the root of the tasks.
+        some = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(-(-words.total // (rounds * TASK_TOKENS))) + 1))
+        changes = own.mapInArrow(learn, "block int, n long, change binary").withColumn("some", some)
         first = changes.groupBy("block", "some").applyInPandas(averaged, "block int, n long, change binary")
         got = first.groupBy("block").applyInPandas(averaged, "block int, n long, change binary").collect()  # the size of the weights
         flat = np.concatenate([np.frombuffer(x.change, dtype=np.float32) for x in sorted(got, key=lambda x: x.block)])
@@ -257,16 +295,16 @@ def score(docs: DataFrame, training=None, key: str = "doc_id", text: str = "text
                 for t in part.column(1).to_pylist():
                     t = tokens(t)
                     rank = w.ranks(t)
-                    symbol = w.symbols(t, rank)
-                    held.append(symbol)
+                    target, context = w.symbols(t, rank)
+                    held.append((target, context))
                     seen = rank[rank >= 0]
                     logs = log[seen]
                     loose = seen >= MODELLED
                     # What a token has in the base, and words of a tail class in the model, beside the joined counts.
-                    inner = logs[loose].sum() - np.bincount(symbol[symbol >= MODELLED] - MODELLED, minlength=TAILS) @ w.inside
+                    inner = logs[loose].sum() - np.bincount(target[target >= MODELLED] - MODELLED, minlength=TAILS) @ w.inside
                     facts.append((len(t), len(seen), logs.sum() - len(t) * w.base, inner))
                     rest.append(list(Counter(t[i] for i in np.flatnonzero(rank < 0).tolist()).items()))
-                model = np.add.reduceat(scores(a, b, *contexts(held)), np.r_[0, np.cumsum([len(h) for h in held])[:-1]]) / np.log(10)
+                model = np.add.reduceat(scores(a, b, *contexts(held)), np.r_[0, np.cumsum([len(h) for h, _ in held])[:-1]]) / np.log(10)
                 n, k, base, inner = (np.array(x) for x in zip(*facts, strict=True))
                 loose = pa.array([[{"token": x, "times": c} for x, c in r] for r in rest], pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(base.astype(float)), pa.array((model + inner).astype(float)), loose], names=["key", "n_tokens", "n_known", "base", "model", "rest"])

@@ -49,19 +49,49 @@ def test_model_sums_to_one(spark):
     words = lm.known_words(lm.counted(df))
     a, b = lm.train(df, words, rounds=1)
     rng = np.random.default_rng(0)
+    pairs, place = lm.buckets(words.total), np.array([3])
     for _ in range(5):
-        context = rng.integers(0, lm.SYMBOLS, 3)
-        total = 0.0
-        for s in range(lm.MODELLED + lm.TAILS):
-            total += math.exp(lm.scores(a, b, np.r_[context, s], np.array([3]))[0])
-        classes = np.exp(lm.log_softmax(a, lm.rows(np.r_[context, 0], np.array([3]))))[0]
-        inner = [np.exp(lm.log_softmax(b, lm.inner_rows(np.r_[context, 0], np.array([3]), np.array([g]))))[0].sum() for g in range(lm.CLASSES)]
+        context = np.r_[rng.integers(0, lm.SYMBOLS, 3), 0]
+        total = sum(math.exp(lm.scores(a, b, np.array([0, 0, 0, s]), context, place)[0]) for s in range(lm.MODELLED + lm.TAILS))
+        classes = np.exp(lm.log_softmax(a, lm.rows(context, place, pairs)))[0]
+        inner = [np.exp(lm.log_softmax(b, lm.inner_rows(context, place, np.array([g]), pairs)))[0].sum() for g in range(lm.CLASSES)]
         assert abs(classes.sum() - 1) < 1e-4 and np.allclose(inner, 1, atol=1e-4) and abs(total - 1) < 1e-3
     for k in range(lm.TAILS):
         rest = [c for w, c in zip(words.rank, words.count, strict=True) if words.rank[w] >= lm.MODELLED and lm.tail(w) == k]
         assert abs(10 ** words.inside[k] - (sum(rest) + 0.5 * (len(rest) + 1))) < 1e-6
 
 
+def test_step_equals_gradient_of_one_token_at_a_time():
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(40, 7)).astype(np.float32)
+    at, target = rng.integers(0, 40, (3, 50)), rng.integers(0, 7, 50)
+    at[0] = 0
+    steps = lm.Steps(np.zeros((2 + 3 * lm.SYMBOLS, 1)), np.zeros((1, 1)))
+    steps.tables[0], steps.squares[0] = table.copy(), np.full(table.shape, 1e-4, dtype=np.float32)
+    steps.step(0, at, target)
+    total = np.zeros(table.shape)
+    for i, t in enumerate(target):
+        z = table[at[:, i]].sum(axis=0)
+        g = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        g[t] -= 1
+        for r in at[:, i]:
+            total[r] += g / len(target)
+    assert np.allclose(steps.tables[0], table - lm.STEP * total / np.sqrt(1e-4 + total**2), atol=1e-4)
+
+
+def test_head_has_the_most_frequent_tokens(spark):
+    rows = [(f"w{i}".encode(), 1 + 3000 // (i + 1)) for i in range(500)]
+    counts = spark.createDataFrame(rows, "token binary, n long")
+    for head in (0, 1, 7, 60, 500, 1000):
+        w = lm.known_words(counts, head)
+        assert len(w.rank) <= head and (head < 500 or len(w.rank) == 500) and (head != 60 or len(w.rank) > 40)
+        assert list(w.rank) == [t for t, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[: len(w.rank)]]
+
+
+def test_buckets_grow():
+    assert [lm.buckets(n) for n in (0, 10**6, 10**8, 10**12)] == [8192, 8192, 32768, 32768]
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = lm.score(df, training=F.lit(False)).collect()
