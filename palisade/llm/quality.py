@@ -4,11 +4,13 @@ A logistic classifier over binned surface features (shares of signs, capitals, d
 gives each document's probability. Grouped aggregation sums the evidence of every path and host: a training row's label, else
 the classifier's probability. A host's posterior mean is shrunk toward the global mean, a path's toward its host's, each
 by a strength that the spread among hosts, or among paths around their hosts, gives by the method of moments; a sparse site stays close to what is above it.
-A document's score adds, in log-odds, its own evidence and its path's posterior against the global mean.
+A document's score adds, in log-odds, its own evidence and its path's posterior against the global mean; in that posterior, and
+in its host's, the document itself is left out, so that nothing counts twice and no label meets its own row.
 
 Training alone is bounded: the features of about ``LABELLED`` labelled rows, drawn by hash. All else covers all rows, and only
-sums are shuffled, with one row of numbers a document. Null texts are as empty ones; null hosts and paths are sites of their
-own; without both labels among the training rows the classifier gives the labels' share. Repeated rows are each scored.
+sums are shuffled, with one row of numbers a document. Null texts are as empty ones, very long ones are measured whole; null hosts and
+paths are sites of their own; a site's only row has the posterior of the level above; without both labels among the training rows
+the classifier gives the labels' share. Of several labels of a key the greatest counts. Repeated rows are each scored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,23 +107,31 @@ def _strength(mean, spread, weight):
     return F.when(spread > 0, F.greatest(F.least(mean * (1 - mean) * weight / spread - 1, F.lit(10_000.0)), F.lit(2.0))).otherwise(F.lit(10_000.0))
 
 
-def posteriors(evidence: DataFrame) -> DataFrame:
-    """(host, path, global, host_mean, path_mean) from (host, path, e), e being each row's evidence."""
+def posteriors(evidence: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Sums by site, (host, path, n, s, hn, hs), and the global mean and the strengths of host and path, from (host, path, e)."""
     paths = common.written(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    m = F.col("hs") / F.col("hn")
-    top = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.count("*").alias("hosts")).first()
+    top = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).first()
+    both = salted(paths.withColumn("row", F.xxhash64("host", "path")).withColumn("site", F.coalesce("host", F.lit("\u0000"))), hosts.select(F.coalesce("host", F.lit("\u0000")).alias("site"), "hn", "hs"), "site")
+    sums = both.select("host", "path", "n", "s", "hn", "hs")
     if not top.n:
-        return paths.select("host", "path", F.lit(0.5).alias("global"), F.lit(0.5).alias("host_mean"), F.lit(0.5).alias("path_mean"))
+        return sums, {"mean": 0.5, "host": 10_000.0, "path": 10_000.0}
     mean = min(max(top.s / top.n, 1e-3), 1 - 1e-3)
-    # The spread of host means around the global one, less what sampling alone gives, over hosts by their rows.
+    # The spread of means around those above, less what sampling alone gives, over sites by their rows.
     beyond = lambda a, b, n: F.sum(n * ((a - b) ** 2 - b * (1 - b) / n)) / F.sum(n)
-    host_strength = hosts.agg(_strength(F.lit(mean), beyond(m, F.lit(mean), F.col("hn")), F.lit(1.0))).first()[0]
-    host_mean = ((F.col("hs") + host_strength * mean) / (F.col("hn") + host_strength)).alias("host_mean")
-    both = salted(paths.withColumn("row", F.xxhash64("host", "path")).withColumn("site", F.coalesce("host", F.lit("\u0000"))), hosts.select(F.coalesce("host", F.lit("\u0000")).alias("site"), host_mean), "site")
-    c = F.least(F.greatest(F.col("host_mean"), F.lit(1e-3)), F.lit(1 - 1e-3))
-    path_strength = both.agg(_strength(F.lit(mean), beyond(F.col("s") / F.col("n"), c, F.col("n")), F.lit(1.0))).first()[0]
-    return both.select("host", "path", F.lit(mean).alias("global"), "host_mean", ((F.col("s") + path_strength * c) / (F.col("n") + path_strength)).alias("path_mean"))
+    host = hosts.agg(_strength(F.lit(mean), beyond(F.col("hs") / F.col("hn"), F.lit(mean), F.col("hn")), F.lit(1.0))).first()[0]
+    path = both.agg(_strength(F.lit(mean), beyond(F.col("s") / F.col("n"), _held((F.col("hs") + host * mean) / (F.col("hn") + host)), F.col("n")), F.lit(1.0))).first()[0]
+    return sums, {"mean": mean, "host": host, "path": path}
+
+
+def _held(share):
+    return F.least(F.greatest(share, F.lit(1e-3)), F.lit(1 - 1e-3))
+
+
+def shrunk(p: dict[str, float], own=0.0, rows: int = 0):
+    """Posterior means of host and path from columns n, s, hn, hs, without so many rows of so much evidence."""
+    host = (F.col("hs") - own + p["host"] * p["mean"]) / (F.col("hn") - rows + p["host"])
+    return host, (F.col("s") - own + p["path"] * _held(host)) / (F.col("n") - rows + p["path"])
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", training=None) -> DataFrame:
@@ -130,7 +140,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     common.small_batches(spark)
     training = F.lit(True) if training is None else training
     marks = labels.filter(training & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("double").alias("y"))
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).cast("binary").alias("text"))
+    row = F.monotonically_increasing_id().alias("row")  # deals a hot site over tasks; nothing is joined on it
+    own = docs.select(row, F.col(key).alias("key"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).cast("binary").alias("text"))
     shared = spark.sparkContext.broadcast(train(own.select("key", "text"), marks))
 
     def judge(batches):
@@ -142,10 +153,11 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kind = docs.schema[key].dataType.simpleString()
     judged = common.written(own.mapInArrow(judge, f"row long, key {kind}, host string, path string, z double"))
     p = 1 / (1 + F.exp(-F.col("z")))
-    sites = posteriors(judged.join(marks, "key", "left").select("host", "path", F.coalesce("y", p).alias("e")))
+    judged = common.written(judged.join(marks, "key", "left").select("row", "key", "host", "path", "z", F.coalesce("y", p).alias("e")))
+    sums, strengths = posteriors(judged)
     site = lambda: F.xxhash64(F.coalesce("host", F.lit("\u0000")), F.coalesce("path", F.lit("\u0000")))
-    whole = salted(judged.withColumn("site", site()), sites.withColumn("site", site()).drop("host", "path"), "site")
+    whole = salted(judged.withColumn("site", site()), sums.withColumn("site", site()).drop("host", "path"), "site")
+    host_mean, path_mean = shrunk(strengths, F.col("e"), 1)
     logit = lambda c: F.log(c / (1 - c))
-    held = F.least(F.greatest(F.col("path_mean"), F.lit(1e-3)), F.lit(1 - 1e-3))
-    z = F.col("z") + logit(held) - logit(F.col("global"))
-    return whole.select(F.col("key").alias(key), "host", "path", p.alias("document"), "host_mean", "path_mean", (1 / (1 + F.exp(-z))).alias("score"))
+    z = F.col("z") + logit(_held(path_mean)) - logit(F.lit(strengths["mean"]))
+    return whole.select(F.col("key").alias(key), "host", "path", p.alias("document"), host_mean.alias("host_mean"), path_mean.alias("path_mean"), (1 / (1 + F.exp(-z))).alias("score"))
