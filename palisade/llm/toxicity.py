@@ -15,7 +15,8 @@ weights are averaged. Bounds, all of them parameters of training alone: about ``
 ``UNLABELLED`` unlabelled texts, drawn by hash of the key, and ``FEATURES`` features. Scoring covers every row.
 
 Only training rows' labels are read. Null texts are as empty ones and get the bias's score; a null label is none;
-several labels of a key: the greatest counts. Without a toxic training row every score is 0. Repeated rows get
+several labels of a key: the greatest counts. Very long texts are scored whole; of features that stand out alike the first by name is
+chosen; an empty table gives no rows. Without a toxic training row every score is 0. Repeated rows get
 the same score, and other columns pass through ``score`` (new columns replace those of the same name).
 """
 
@@ -47,22 +48,44 @@ def features(text: str | None) -> set[str]:
     return own | {f"{n}{w[:n]}" for w in own for n in range(3, 9) if len(w) > n}
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Sample:
+    """Texts of both sides as numbers of features, for the risk of some weights."""
+
+    def __init__(self, p: list[list[int]], u: list[list[int]], size: int, prior: float):
+        self.sizes, self.size, self.prior = (len(p), len(u)), size, prior
+        self.rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (p, u)]
+        self.columns = [np.array([i for s in x for i in s], dtype=np.int64) for x in (p, u)]
+
+    def judged(self, w: np.ndarray, bias: float) -> list[np.ndarray]:
+        """The probability of toxic of each text, by side."""
+        return [_sigmoid(np.bincount(r, w[c], n) + bias) for r, c, n in zip(self.rows, self.columns, self.sizes, strict=True)]
+
+    def clean_risk(self, zp: np.ndarray, zu: np.ndarray) -> float:
+        """E_U[l(-1)] - p * E_P[l(-1)]"""
+        loss = lambda z: -np.log1p(-np.minimum(z, 1 - 1e-12)).mean()
+        return loss(zu) - self.prior * loss(zp)
+
+    def gradient(self, w: np.ndarray, bias: float) -> np.ndarray:
+        """Of the weights, then of the bias: of the whole risk, or against its second term where that is too far below zero."""
+        zp, zu = self.judged(w, bias)
+        wp, wu = self.prior / self.sizes[0], 1 / self.sizes[1]
+        if self.clean_risk(zp, zu) >= -self.prior:
+            g = [-wp * (1 - zp) - wp * zp, wu * zu]
+        else:
+            g = [wp * zp, -wu * zu]
+        return np.r_[sum(np.bincount(c, x[r], self.size) for c, x, r in zip(self.columns, g, self.rows, strict=True)), sum(x.sum() for x in g)]
+
+
 def weigh(p: list[list[int]], u: list[list[int]], size: int, prior: float) -> np.ndarray:
     """Weights of the features 0 to size - 1, then the bias, from texts given as numbers of features."""
-    w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
-    pr, ur = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (p, u))
-    pc, uc = (np.array([i for s in x for i in s], dtype=np.int64) for x in (p, u))
+    sample, w, bias = Sample(p, u, size, prior), np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: -np.log1p(-np.minimum(z, 1 - 1e-12))  # noqa: E731  of the label "clean"
-    wp, wu = np.full(len(p), 1 / len(p)), np.full(len(u), 1 / len(u))
     for t in range(1, 401):
-        zp, zu = sigmoid(np.bincount(pr, w[pc], len(p)) + bias), sigmoid(np.bincount(ur, w[uc], len(u)) + bias)
-        if (wu * loss(zu)).sum() - prior * (wp * loss(zp)).sum() >= -prior:
-            gp, gu = -prior * wp * (1 - zp) - prior * wp * zp, wu * zu
-        else:
-            gp, gu = prior * wp * zp, -wu * zu
-        g = np.r_[np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size) + 1e-4 * w, gp.sum() + gu.sum()]
+        g = sample.gradient(w, bias) + np.r_[1e-4 * w, 0.0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 / (1 + t / 100) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from palisade.llm import toxicity as t
@@ -57,3 +60,63 @@ def test_without_labels(spark):
     w = t.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert w is None and [r.score for r in t.score(df, w).collect()] == [0.0]
     assert t.score(df.limit(0), w).collect() == []
+
+
+def plain_features(text):
+    out = set()
+    for w in re.split(r"[\W_]+", (text or "").lower()):
+        if w:
+            out.add(w)
+            out |= {str(n) + w[:n] for n in (3, 4, 5, 6, 7, 8) if n < len(w)}
+    return out
+
+
+def test_features():
+    for text in (None, "", "A_b c1 été! ÉTÉ longerwordhere x", "\n\t", "it's " * 3):
+        assert t.features(text) == plain_features(text)
+
+
+def test_gradient_is_that_of_the_risk():
+    """By differences of the risk itself, computed text by text; above and below the bound."""
+    rng = random.Random(1)
+    p, u = ([[i for i in range(6) if rng.random() < 0.4] for _ in range(n)] for n in (9, 14))
+    prior = 0.3
+
+    def parts(x):
+        z = lambda s: 1 / (1 + math.exp(-(sum(x[i] for i in s) + x[-1])))
+        mean = lambda values: sum(values) / len(values)
+        toxic = prior * mean([-math.log(z(s)) for s in p])
+        clean = mean([-math.log(1 - z(s)) for s in u]) - prior * mean([-math.log(1 - z(s)) for s in p])
+        return toxic, clean
+
+    seen = set()
+    for scale in (0.1, 1, 6):
+        for k in range(12):
+            x = np.random.default_rng(k).normal(size=7) * scale
+            toxic, clean = parts(x)
+            seen.add(clean >= -prior)
+            risk = (lambda y: sum(parts(y))) if clean >= -prior else (lambda y: -parts(y)[1])
+            step = np.eye(7) * 1e-6
+            want = [(risk(x + d) - risk(x - d)) / 2e-6 for d in step]
+            assert np.allclose(t.Sample(p, u, 6, prior).gradient(x[:-1], x[-1]), want, atol=1e-4)
+    assert seen == {True, False}
+
+
+def test_chosen_features_and_scores_equal_brute_force(spark):
+    docs, labels = corpus(400)
+    docs += [(9000, None), (9001, "idiot " * 3), (9001, "scum")]
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    w = t.train(df, marks)
+    y = dict(labels)
+    prior = sum(y.values()) / len(y)
+    sides = [[plain_features(x) for k, x in docs], [plain_features(x) for k, x in docs if y.get(k) == 1]]
+    names = {}
+    for f in set().union(*sides[1]):
+        in_u, in_p = (sum(f in s for s in side) for side in sides)
+        a, b = (in_p + 0.5) / (len(sides[1]) + 1), (in_u + 0.5) / (len(sides[0]) + 1)
+        z = (a - b) / math.sqrt(a * (1 - a) / len(sides[1]) + b * (1 - b) / len(sides[0]))
+        if in_p >= 3 and z > t.STANDS_OUT and prior * a / b >= t.PURITY:
+            names[f] = z
+    assert set(w) == {*names, ""} and len(names) > 3
+    for r in t.score(df, w).collect():
+        assert abs(r.score - 1 / (1 + math.exp(-(w[""] + sum(w[f] for f in plain_features(r.text) & w.keys()))))) < 1e-9
