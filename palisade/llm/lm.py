@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CLASSES, SLOTS, TAILS = 32, 48, 12
+CLASSES, SLOTS, TAILS = 28, 36, 12
 MODELLED = CLASSES * SLOTS
 #: Context words: modelled ones, hashed others, and the start of a text.
-OTHERS = 4096
+OTHERS = 1024
 START = MODELLED + OTHERS
 SYMBOLS = START + 1
 #: Least and most buckets of hashed pairs; their weights are broadcast.
@@ -50,8 +50,8 @@ END = b""
 
 
 def buckets(total: int) -> int:
-    """Buckets of hashed pairs for so many training tokens: a power of two, about twice their root."""
-    return min(max(1 << math.ceil(math.log2(2 * math.sqrt(max(total, 1)))), PAIRS[0]), PAIRS[1])
+    """Buckets of hashed pairs for so many training tokens: a power of two, their root or more."""
+    return min(max(1 << math.ceil(math.log2(math.sqrt(max(total, 1)))), PAIRS[0]), PAIRS[1])
 
 
 def tokens(text: bytes | None) -> list[bytes]:

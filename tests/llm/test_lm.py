@@ -89,7 +89,7 @@ def test_head_has_the_most_frequent_tokens(spark):
 
 
 def test_buckets_grow():
-    assert [lm.buckets(n) for n in (0, 10**6, 10**8, 10**12)] == [8192, 8192, 32768, 32768]
+    assert [lm.buckets(n) for n in (0, 10**6, 10**8, 10**12)] == [8192, 8192, 16384, 32768]
 
 
 def test_nothing_to_learn_from(spark):
