@@ -54,7 +54,7 @@ def masked(content, lang, strings: bool = True) -> Column:
 
     def blank(token_regex: str, comment):
         hides = lambda t: comment(t) | t.rlike("^[\"'`]") if strings else comment(t)
-        return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(token_regex), F.lit(0)), lambda t: F.when(hides(t), F.regexp_replace(t, "[^\n]", " ")).otherwise(t)), "")
+        return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(token_regex), F.lit(0)), lambda t: F.when(hides(t), F.when(F.contains(t, F.lit("\n")), F.regexp_replace(t, "[^\n]", " ")).otherwise(F.repeat(F.lit(" "), F.length(t)))).otherwise(t)), "")
 
     python = blank(_PY_TOKEN, lambda t: F.startswith(t, F.lit("#")))
     script = blank(_JS_TOKEN, lambda t: t.rlike(r"^/[/*]"))
