@@ -1,6 +1,6 @@
 """License scans by diagonal voting, with DataFrame expressions alone.
 
-Texts are lower-cased and cut into words of digits, ASCII letters and non-ASCII characters. Every run of three words
+Texts are lower-cased (A-Z alone) and cut into words of digits, ASCII letters and non-ASCII characters. Every run of three words
 is hashed and joined with the positions of the same run in the templates (a fixed list, broadcast). A hit votes
 for its diagonal: the word at which the template would start. Diagonals at most ``DRIFT`` words apart, of one
 template and document, are merged, so that a word put in or left out costs a few votes alone.
@@ -9,12 +9,15 @@ A *base* phrase counts at each diagonal that has the votes of all its runs, whos
 there it stands word for word. Other templates count where the merged votes verify the span: ``SHARE`` of
 the template's runs are there, in a span about as long as the template.
 
-Null texts have no words. Repeated rows are each scanned; null keys are kept; other columns are not carried. An
-empty table gives no rows. Shuffled are hits and one row per document, never texts.
+Null texts have no words; very long ones are scanned whole, their words dealt as rows. Where several templates of one label
+verify, the label is given once. Repeated rows are each scanned; null keys are kept; other columns are not carried. An empty table
+gives no rows. Shuffled are hits and one row per document, never texts.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,7 +45,7 @@ NOTICES = [
 
 
 def _words(text):
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"), F.lit(0))
 
 
 def _grams(words):
@@ -121,7 +124,7 @@ def sql(base=BASE, notices=NOTICES) -> str:
     return f"""
 WITH runs AS (SELECT t, label, is_base, len(w) - 2 AS size, i - 1 AS place, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT t, label, is_base, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT t, label, is_base, string_split(said, ' ') AS w FROM (VALUES {rows}) AS v(t, label, is_base, said)))),
-d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 said AS (SELECT r, i - 1 AS spot, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 votes AS (SELECT r, t, label, is_base, size, spot - place AS diagonal, list(DISTINCT place) AS places FROM said JOIN runs USING (g) GROUP BY ALL),
 apart AS (SELECT *, sum(CASE WHEN is_base OR before IS NULL OR diagonal - before > {DRIFT} THEN 1 ELSE 0 END) OVER (PARTITION BY r, t ORDER BY diagonal) AS k

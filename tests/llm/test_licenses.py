@@ -18,6 +18,7 @@ ROWS = [
     (6, "É under the mitK license cc by cc by nc"), (7, "under the mit license " * 400), (7, "under the mit license " * 400),
     (8, "x " * 30000 + "CC-BY-NC"), (9, "so " + NOTICE["bsd"].replace("binary forms", "binary code forms").upper() + " end"),
     (10, "Licensed under the GNU General Public License v3"), (None, "apache license version 2"), (11, "gnu general public"), (12, "...!"),
+    (13, "under the m\u0130t license under the mit license \u212a cc by \u212a nc"),
 ]
 
 
