@@ -53,9 +53,9 @@ def closing(role: Column) -> Column:
 def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, formatted, loss): the text of each conversation, and the spans (code points, end exclusive) of it that
     the loss is taken over: the assistant's texts, without any mark."""
-    # Each turn's own piece is made before the rows are collected, so that the arrays hold each text once.
+    # Texts are escaped after the rows are collected, so that each is shuffled once.
     piece = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    piece = piece.select("conv", F.struct("turn", "role", "text", escaped(F.col("text")).alias("body")).alias("t"))
+    piece = piece.select("conv", F.struct("turn", "role", "text").alias("t"))
     rows = piece.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("t"))
     # The merge: a turn opens a block where the role before differs, and closes one where the role after does.
     before = lambda i: F.try_element_at("t", i)["role"]  # noqa: E731  places count from 1
@@ -65,7 +65,7 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         first = (i == 0) | ~before(F.when(i > 0, i).otherwise(1)).eqNullSafe(role_(t))
         last = ~before(i + 2).eqNullSafe(role_(t))
         head = F.when(first, opening(role_(t))).otherwise(F.lit(NEXT))
-        return F.struct(head.alias("head"), t["body"].alias("body"), F.when(last, closing(role_(t))).otherwise(F.lit("")).alias("tail"), (role_(t) == "assistant").alias("learn"))
+        return F.struct(head.alias("head"), escaped(t["text"]).alias("body"), F.when(last, closing(role_(t))).otherwise(F.lit("")).alias("tail"), (role_(t) == "assistant").alias("learn"))
 
     rows = rows.select("conv", F.transform("t", pieces).alias("p"))
     rows = rows.select("conv", "p", F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"))
