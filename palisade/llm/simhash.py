@@ -28,6 +28,8 @@ from .components import components
 
 SEED = 42
 SALTS = 16
+#: A class of more rows than LEAST_PART and than a PARTS-th of all rows is dealt in parts of as many.
+LEAST_PART, PARTS = 1024, 100_000
 
 
 def runs(text: bytes | None, k: int) -> list[bytes]:
@@ -145,14 +147,18 @@ def groups(docs: DataFrame, k: int = 3, most: int = 2, segments: int = 16, key:
     """(key, fp, component): each row's fingerprint, and the least key that links lead to from it."""
     common.small_batches(docs.sparkSession)
     marked = common.written(fingerprints(docs, k, key, text))
-    classes = common.written(marked.groupBy("fp").agg(F.min("key").alias("least")))
+    classes = common.written(marked.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     roots = components(links(classes, most, segments)).withColumnRenamed("node", "fp")
     linked = roots.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component"))
     named = classes.join(roots.join(linked, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    # Every class goes out SALTS times, so that a class of many copies is dealt over as many tasks.
-    salt = F.pmod(F.xxhash64("key", F.spark_partition_id()), F.lit(SALTS)).cast("int").alias("salt")
-    named = named.select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    return marked.select("*", salt).join(named, ["fp", "salt"]).select(F.col("key").alias(key), "fp", "component")
+    # A class of many copies goes out once for each part of its rows. There are PARTS such classes at most, so they are broadcast.
+    rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    part = max(LEAST_PART, -(-rows // PARTS))
+    hot = classes.filter(F.col("n") > part).select("fp", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    dealt = lambda df: df.join(F.broadcast(hot), "fp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    named = dealt(named).select("fp", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    salt = F.pmod(F.xxhash64("key", F.spark_partition_id()), F.col("parts")).cast("int").alias("salt")
+    return dealt(marked).select("key", "fp", salt).join(named, ["fp", "salt"]).select(F.col("key").alias(key), "fp", "component")
 
 
 def digests(grouped: DataFrame, key: str = "doc_id") -> DataFrame:

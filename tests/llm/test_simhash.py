@@ -86,3 +86,10 @@ def test_components(spark):
 
 def test_empty(spark):
     assert s.groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_parts_of_hot_classes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one text that many rows share word for word" if i % 3 else f"another text {i}") for i in range(300)] + [(7, "one text that many rows share word for word")] * 2 + [(None, None)] * 9, "doc_id long, text string")
+    whole = sorted(map(str, s.groups(docs).collect()))
+    monkeypatch.setattr(s, "LEAST_PART", 4)
+    assert sorted(map(str, s.groups(docs).collect())) == whole and len(whole) == docs.count()
