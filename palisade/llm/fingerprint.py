@@ -14,17 +14,21 @@ Null texts are as empty ones. Equal texts have equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
 
 K, L, BINS = 10, 2, 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 EMPTY = "-" * 8
+#: Bytes of text in a range of keys: some seconds of one core. There are MOST_RANGES at most, as the driver holds a bound for each.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,7 +109,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
 
 
 def in_order(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
-    """(range, after, key, text): ranges of keys in ascending order, each with the next range's first row behind it.
+    """(range, after, key, none, text): ranges of keys in ascending order, each with the next range's first row behind it.
 
     The keys alone are looked at for the ranges' bounds (as many numbers as ranges) and their first keys; the texts
     are dealt once. Behind the last range stands the first row of all. Rows of one key stay in one range, ordered
@@ -113,28 +117,31 @@ def in_order(docs: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
     """
     least = -(1 << 63)
     place = F.coalesce(F.col(key).cast("long"), F.lit(least))
-    bounds = docs.agg(F.percentile_approx(place, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("b")).first().b if ranges > 1 else []
+    bounds = docs.agg(F.percentile_approx(place, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b")).first().b if ranges > 1 else []
     bounds = sorted(set(bounds or []))
     keyed = docs.select(place.alias("key"), F.col(text).alias("text"), F.col(key).isNull().alias("none")).withColumn("range", _range_of(F.col("key"), bounds))
     firsts = keyed.groupBy("range").agg(F.min("key").alias("first")).orderBy("range").collect()  # a row for each range
     own, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
     for i, r in enumerate(firsts):
         own[r.range], before[r.range] = r.first, firsts[i - 1].range
-    own, before = (F.array(*[F.lit(v) for v in x]).cast(f"array<{kind}>") for x, kind in ((own, "bigint"), (before, "int")))
-    to = F.when(F.get(own, F.col("range")) == F.col("key"), F.get(before, F.col("range")))
+    to = F.when(F.get(_fixed(own, "bigint"), F.col("range")) == F.col("key"), F.get(_fixed(before, "int"), F.col("range")))
     here = F.struct(F.col("range").alias("range"), F.lit(0).alias("after"))
     there = F.when(to.isNotNull(), F.struct(to.alias("range"), F.lit(1).alias("after")))
     return keyed.select("key", "none", "text", F.explode(F.array_compact(F.array(here, there))).alias("r")).select("r.range", "r.after", "key", "none", "text")
 
 
+def _fixed(values: list, kind: str):
+    """A constant array, given to Spark as one literal whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _range_of(key, bounds: list[int]):
     """How many bounds lie at or below a key, in two steps over about the root of their number each."""
     if not bounds:
         return F.lit(0)
     step = int(len(bounds) ** 0.5) + 1
     chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(c[0]) for c in chunks])
-    nested = F.array(*[F.array(*[F.lit(x) for x in c]) for c in chunks])
+    heads, nested = _fixed([c[0] for c in chunks], "bigint"), _fixed(chunks, "array<bigint>")
     at = F.size(F.filter(heads, lambda h: h <= key))
     return F.when(at == 0, 0).otherwise((at - 1) * step + F.size(F.filter(F.get(nested, at - 1), lambda h: h <= key)))
 
@@ -143,13 +150,18 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int
     """A row for each document: fingerprints of its text and of its edited text, and their likeness.
 
     Edited: the last floor(n/4) code points give way to the first as many of the next document's text (or all of it),
-    by ascending key; the last document's next is the first. A single document is its own next.
+    by ascending key; the last document's next is the first. A single document is its own next. Keys are whole numbers of 64 bits
+    at most; others are refused, as ascending order of their texts would be another one.
+
+    A range of keys is one partition. Ranges grow with the bytes of text, and are no fewer than the session's shuffle partitions.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key}: keys have to be whole numbers")
     common.small_batches(docs.sparkSession)
-    ranges = ranges or max(1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    dealt = in_order(docs, key, text, ranges)
-    parts = max(1, ranges // 2)
-    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "after", "key", "text")
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), min(MOST_RANGES, -(-size // RANGE_BYTES)), 1)
+    ordered = in_order(docs, key, text, ranges).repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "after", "key", "text")
     kind = docs.schema[key].dataType.simpleString()
     names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from palisade.llm import fingerprint as f
 
@@ -77,3 +78,23 @@ def test_one_and_none(spark):
     assert [tuple(r)[:5] for r in f.edited(one).collect()] == want([(1, "abc def ghi jkl")])
     assert f.edited(one.limit(0)).collect() == []
     assert f.fingerprints(one).first().fingerprint == want([(1, "abc def ghi jkl")])[0][3]
+
+
+def test_keys_that_are_no_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        f.edited(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_ranges_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(f, "RANGE_BYTES", 1000)
+    rows = [(i, chr(97 + i % 7) * (i % 300)) for i in range(400)]
+    out = f.edited(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert out.rdd.getNumPartitions() == -(-sum(len(t) for _, t in rows) // 1000)
+    assert sorted((tuple(r)[:5] for r in out.collect()), key=str) == want(rows)
+    assert out.schema["doc_id"].dataType.simpleString() == "int"
+
+
+def test_negative_keys_and_the_least(spark):
+    rows = [(-(1 << 63), "the least key"), (None, "no key"), (-5, "minus five"), ((1 << 63) - 1, "the greatest key"), (0, "zero")]
+    got = f.edited(spark.createDataFrame(rows, "doc_id long, text string"), ranges=3).collect()
+    assert len(got) == 5 and {r.doc_id for r in got} == {k for k, _ in rows}
