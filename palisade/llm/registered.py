@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, licenses, lm, pii, quality, simhash, toxicity
+from . import bpe, byte_bpe, chat, decontaminate, fingerprint, licenses, lm, pii, quality, simhash, toxicity
 from .common import fold, table
 
 
@@ -18,6 +18,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
+    return out.select("doc_id", *bpe.digests(out))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -83,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
+        "op12_byte_bpe": op12_byte_bpe,
     }
 
 
