@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, chat, decontaminate, fingerprint, licenses, lm, pii, quality, simhash, toxicity
+from . import bpe, byte_bpe, chat, decontaminate, fingerprint, licenses, lm, negatives, pii, quality, simhash, toxicity
 from .common import fold, table
 
 
@@ -26,6 +26,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *bpe.digests(out))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + F.lit(1).cast("long")) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(vectors, anchor=F.col("vec_id") % 100 == 0)
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -92,8 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
         "op12_byte_bpe": op12_byte_bpe,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op5_licenses": licenses.sql(), "op9_decontaminate": decontaminate.SQL}
+    return {"op2_chat": chat.SQL, "op5_licenses": licenses.sql(), "op9_decontaminate": decontaminate.SQL, "op13_hard_negatives": negatives.SQL}
