@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, chat, decontaminate, fingerprint, licenses, lm, negatives, pii, quality, simhash, toxicity
+from . import bpe, byte_bpe, chat, decontaminate, fingerprint, licenses, lm, negatives, pii, quality, repair, simhash, toxicity
 from .common import fold, table
 
 
@@ -31,6 +31,11 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors, anchor=F.col("vec_id") % 100 == 0)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digests(turns, repair.Repair(repair.damaged(turns)))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
+        "op11_repair": op11_repair,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_hard_negatives": op13_hard_negatives,
     }
