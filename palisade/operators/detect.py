@@ -1,39 +1,26 @@
-"""Calls of provider kits in source files, by masking and patterns, all providers in one pass.
+"""Calls of provider kits in source files, all providers in one pass.
 
-A file's comments and strings are blanked sign by sign, so that places in the mask are places in the file. One fold over
-the brackets of the mask and the names before them finds where each call starts (with whatever object its name is taken from),
-and the bracket that closes it, at any depth; argument texts are cut from the file at the same places. Unclosed calls are
-not found. Files without any telling word are not masked at all.
+Files without any telling word are left to the JVM; the others go through one linear pass with a stack of modes
+(``functions.lexer``), which gives each call's head, places and argument table. Calls are found with whatever object their name is taken from and at
+any depth, in interpolations too, and not in comments, strings, regex literals or JSX text. Unclosed calls are not found. What a call
+is of whom, and whether it has a base address, is said by expressions over that table.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import registry
+from ..functions import lexer, registry
 from ..functions.text import col
 
 TELLING = "OpenAI|Anthropic|cohere|Cohere|InferenceClient|HfInference|Groq|genai|GoogleGenAI|boto3|BedrockRuntimeClient"
-_PY_TOKEN = r"""#[^\n]*+|\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}|"(?:[^"\\\n]|\\[\s\S])*+"?|'(?:[^'\\\n]|\\[\s\S])*+'?|[^#"']++"""
-_JS_TOKEN = r"""//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|"(?:[^"\\\n]|\\[\s\S])*+"?|'(?:[^'\\\n]|\\[\s\S])*+'?|`(?:[^`\\]|\\[\s\S])*+`?|[^/"'`]++|/"""
-
-
-def _nested(opens: str, closes: str, depth: int = 24) -> str:
-    """A pattern of a bracket and what it closes, for the insides of one call."""
-    out = rf"[^{opens}{closes}]"
-    body = f"(?:{out}++)*+"
-    for _ in range(depth):
-        body = f"(?:{out}++|{opens}{body}{closes})*+"
-    return f"{opens}{body}{closes}"
-
-
-ARGUMENTS = _nested(r"\(", r"\)")
-OBJECT = _nested(r"\{", r"\}")
-# What the fold goes over: names before a bracket (those of an object that ends in a bracket begin with a dot), and brackets.
-PY_TOKEN = r"(?<![\w.])(?<!class )(?<!def )[A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)*+\s*+(?=[(\[])|(?<=[)\]])\s*+(?:\.[A-Za-z_]\w*+)++\s*+(?=[(\[])|[()\[\]]"
-PY_CLASS = r"(?:^|\.)(?:(?:Async)?(?:OpenAI|Anthropic|Groq|InferenceClient)|Client(?:V2)?|client)$"
-TS_TOKEN = r"(?<![\w.$])new\s++(?:OpenAI|Anthropic|CohereClient|HfInference|GoogleGenAI|Groq|BedrockRuntimeClient)\s*+(?=\()|[()]"
+#: Last names of heads that may be a kit's, by language.
+WANTED = {
+    "python": sorted({c for p in registry.PROVIDERS for c in (p[2], p[4]) if c} | {"Client", "ClientV2", "client"}),
+    "typescript": sorted({p[5] for p in registry.PROVIDERS}),
+}
 
 
 def language(ext) -> Column:
@@ -48,21 +35,8 @@ def with_language(df: DataFrame) -> DataFrame:
     return df.withColumns({"language": language("ext"), "grammar": grammar("ext")})
 
 
-def masked(content, lang, strings: bool = True) -> Column:
-    """A text with its comments blanked, and its strings too; line ends stay."""
-    content, lang = col(content), col(lang)
-
-    def blank(token_regex: str, comment):
-        hides = lambda t: comment(t) | t.rlike("^[\"'`]") if strings else comment(t)
-        return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(token_regex), F.lit(0)), lambda t: F.when(hides(t), F.when(F.contains(t, F.lit("\n")), F.regexp_replace(t, "[^\n]", " ")).otherwise(F.repeat(F.lit(" "), F.length(t)))).otherwise(t)), "")
-
-    python = blank(_PY_TOKEN, lambda t: F.startswith(t, F.lit("#")))
-    script = blank(_JS_TOKEN, lambda t: t.rlike(r"^/[/*]"))
-    return F.when(lang == "python", python).otherwise(script)
-
-
-def _provider(head: Column, args: Column) -> Column:
-    """The provider of a call's head (names before the bracket) and argument text; null where it is none's."""
+def _provider(head: Column, args: Column, args_start: Column, table: Column) -> Column:
+    """The provider of a call's head (names before the bracket) and arguments; null where it is none's."""
     name = F.regexp_replace(head, r"\s", "")
     last = F.regexp_extract(name, r"([A-Za-z0-9_]+)$", 1)
     out = F.lit(None).cast("string")
@@ -70,7 +44,9 @@ def _provider(head: Column, args: Column) -> Column:
         if py and py != "Client":
             out = F.when(last.isin([x for x in (py, py_async) if x]) & ~F.startswith(head, F.lit("new")), F.lit(p)).otherwise(out)
         out = F.when(name == f"new{ts}", F.lit(p)).otherwise(out)
-    service = args.rlike(r"""^\(\s*+["']bedrock-runtime["']|[(,]\s*+service_name\s*+=\s*+["']bedrock-runtime["']""")
+    names_service = lambda a: (a["kind"] == "string") & F.contains(F.substring(args, a["start"] - args_start + 1, a["end"] - a["start"]), F.lit("bedrock-runtime"))
+    first = F.get(table, 0)
+    service = F.coalesce(first["name"].isNull() & names_service(first), F.lit(False)) | F.exists(table, lambda a: (a["name"] == "service_name") & names_service(a))
     out = F.when(name.isin("cohere.Client", "cohere.ClientV2"), F.lit("cohere")).otherwise(out)
     out = F.when(name.rlike(r"(^|\.)genai\.Client$"), F.lit("gemini")).otherwise(out)
     return F.when((name == "boto3.client") & service, F.lit("bedrock")).otherwise(out)
@@ -90,62 +66,25 @@ def ts_has_base_url(args, param) -> Column:
     return F.coalesce(own, F.lit(False)) | F.contains(args, F.lit("base_url:"))
 
 
-def calls(files: DataFrame, keep: tuple[str, ...] = ("repo", "path")) -> DataFrame:
-    """A row for each call of a kit: (…, language, provider, head, start, args_start, args, args_masked, line, column).
-
-    Places are in code points from 0; line and column count from 1, the column in bytes.
-    """
-    likely = files.withColumn("language", language("ext")).filter(F.col("language").isNotNull() & F.col("content").rlike(TELLING))
-    both = likely.select(*keep, "language", "content", masked("content", "language").alias("mask"))
-    found = F.when(F.col("language") == "python", _found("mask", PY_TOKEN)).otherwise(_found("mask", TS_TOKEN))
-    each = both.select(*keep, "language", F.explode(F.transform(found, _shown)).alias("c")).select(*keep, "language", "c.*")
-    return each.withColumn("provider", _provider(F.col("head"), F.col("args"))).filter("provider is not null").select(*keep, "language", "provider", "head", "start", "args_start", "args", "args_masked", "line", "column")
-
-
-def _shown(c: Column) -> Column:
-    """A call's texts, line and column from its places."""
-    before = F.substring(F.col("content"), F.lit(1), c["start"])
-    inside = lambda t: F.substring(F.col(t), c["args"] + 1, c["end"] - c["args"])
-    return F.struct(
-        F.rtrim(c["head"]).alias("head"),
-        c["start"].alias("start"),
-        c["args"].alias("args_start"),
-        inside("content").alias("args"),
-        inside("mask").alias("args_masked"),
-        (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"),
-        (F.octet_length(F.substring_index(before, "\n", -1)) + 1).alias("column"),
-    )
+@F.arrow_udf(lexer.CALLS)
+def _found(content: pa.Array, grammar: pa.Array) -> pa.Array:
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    found = [lexer.calls(t, g, WANTED) for t, g in zip(content.to_pylist(), grammar.to_pylist(), strict=True)]
+    return pa.array(found, to_arrow_type(lexer.CALLS))
 
-_STATE = "struct<at:int,head:string,begin:int,open:array<struct<head:string,begin:int,args:int>>,out:array<struct<head:string,start:int,args:int,end:int>>>"
 
+def calls(files: DataFrame, keep: tuple[str, ...] = ("repo", "path")) -> DataFrame:
+    """A row for each call of a kit: (…, language, provider, head, args, and the fields of ``lexer.CALLS``).
 
-def _found(mask: str, token: str) -> Column:
-    """array<struct<head, start, args, end>>: the calls of a mask, by a fold over its tokens.
-
-    The state: the place, the name that a bracket may follow, where the object that may go on began, the open brackets, the calls found.
+    Places are in code points from 0; line and column count from 1, the column in bytes.
     """
-    words, gaps = F.regexp_extract_all(F.col(mask), F.lit(token), F.lit(0)), F.split(F.col(mask), token, -1)
-    tokens = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda t, g: F.struct(t.alias("t"), F.length(g).alias("gap")))
-    none = F.struct(F.lit(0), F.lit(None).cast("string"), F.lit(-1), F.array(), F.array()).cast(_STATE)
-
-    def step(acc, x):
-        at, t = acc["at"] + x["gap"], x["t"]
-        after = at + F.length(t)
-        goes_on = (x["gap"] == 0) & (acc["begin"] >= 0)
-        begin = F.when(goes_on, acc["begin"]).otherwise(at)
-        top = F.element_at(acc["open"], -1)
-        ours = (t == ")") & F.coalesce(F.rtrim(top["head"]).rlike(PY_CLASS) | F.startswith(top["head"], F.lit("new")), F.lit(False))
-        state = lambda head, begin, opened, out: F.struct(after, head, begin, opened, out).cast(_STATE)
-        no_head = F.lit(None).cast("string")
-        opened = state(no_head, F.lit(-1), F.concat(acc["open"], F.array(F.struct(F.when(t == "(", acc["head"]).alias("head"), begin.alias("begin"), at.alias("args")))), acc["out"])
-        out = F.when(ours, F.concat(acc["out"], F.array(F.struct(top["head"].alias("head"), top["begin"].alias("start"), top["args"].alias("args"), after.alias("end"))))).otherwise(acc["out"])
-        closed = state(no_head, top["begin"], F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1), out)
-        name = state(t, F.when(F.ltrim(t).startswith("."), begin).otherwise(at), acc["open"], acc["out"])
-        stray = state(no_head, F.lit(-1), acc["open"], acc["out"])
-        return F.when(t.isin("(", "["), opened).when(t.isin(")", "]"), F.when(F.size(acc["open"]) > 0, closed).otherwise(stray)).otherwise(name)
-
-    return F.aggregate(tokens, none, step, lambda acc: F.array_sort(acc["out"], lambda a, b: a["start"] - b["start"]))
+    likely = files.withColumn("language", language("ext")).filter(F.col("language").isNotNull() & F.col("content").rlike(TELLING))
+    lexed = likely.select(*keep, "language", "content", _found("content", grammar("ext")).alias("found"))
+    args = lambda c: F.substring("content", c["args_start"] + 1, c["args_end"] - c["args_start"])
+    each = lexed.select(*keep, "language", F.explode(F.transform("found", lambda c: F.struct(c.alias("c"), args(c).alias("args")))).alias("e"))
+    rows = each.select(*keep, "language", "e.c.*", "e.args")
+    return rows.withColumn("provider", _provider(F.col("head"), F.col("args"), F.col("args_start"), F.col("arguments"))).filter("provider is not null")
 
 
 def detect_all(files: DataFrame, keep: tuple[str, ...] = ("repo", "path")) -> DataFrame:

@@ -1,14 +1,13 @@
 """Planning and applying edits that route the found calls through a gateway, over a whole corpus.
 
-``calls`` finds the calls, ``plan_rewrites`` says what becomes of each and gives the text that takes the place of its
-arguments, ``apply_rewrites`` splices a file's edits from the last to the first. Nothing is changed in place.
+``detect.calls`` finds the calls with their argument tables, ``plan_rewrites`` says what becomes of each and gives the splices before its
+first argument and behind its last, ``apply_rewrites`` puts a file's splices together. Nothing is changed in place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import dominant_eol, join_lines, lines, reencode_eol, trim
 from . import detect
@@ -16,88 +15,76 @@ from . import detect
 KEY = ("repo", "path")
 
 
-def _inside(args: Column) -> Column:
-    return F.substring(args, F.lit(2), F.length(args) - 2)
+def _cut(text: Column, base: Column, start: Column, end: Column) -> Column:
+    """What lies between two places of the file, of a text that begins at ``base``."""
+    return F.substring(text, start - base + 1, end - start)
 
 
-def _split_arguments(inside: Column, code: Column) -> tuple[Column, Column]:
-    """The arguments, and what follows the last one without its comma. code: the same text with comments blanked."""
-    size = F.length(F.regexp_replace(code, r"(?U)\s*,?\s*\z", ""))
-    tail = trim(F.substring(inside, size + 1, F.length(inside)))
-    return trim(F.substring(inside, F.lit(1), size)), trim(F.regexp_replace(tail, r"^,", ""))
+def _around(args: Column, base: Column, start: Column, end: Column, last: Column, opening: str, closing: Column, empty, some: Column) -> Column:
+    """Edits that put ``closing`` behind the last entry of a bracket; or ``empty`` of its comments where it has no entry.
+
+    Two splices, before the first entry and behind the last, so that the entries themselves stay open to edits of their own.
+    """
+    edit = lambda a, b, text: F.struct(a.alias("start"), b.alias("end"), text.alias("replacement"))
+    inside = _cut(args, base, start + 1, end - 1)
+    entry = start + 1 + F.length(inside) - F.length(F.regexp_replace(inside, r"(?U)^\s+", ""))
+    tail = trim(F.regexp_replace(trim(_cut(args, base, last, end - 1)), r"^,", ""))
+    behind = F.concat(F.lit(","), F.when(tail == "", "").otherwise(F.concat(F.lit("  "), tail)), F.lit("\n"), closing)
+    return F.when(some, F.array(edit(start, entry, F.lit(opening)), edit(last, end, behind))).otherwise(F.array(edit(start, end, empty(trim(inside)))))
+
+
+def _said(comments: Column, before: str) -> Column:
+    """Comments of an empty bracket, on a line of their own."""
+    return F.when(comments == "", "").otherwise(F.concat(F.lit(before), comments, F.lit("\n")))
 
 
-def python_edit(args: Column, code: Column, proxy_url: str, env_var: str) -> Column:
-    """Arguments with the base address behind the last one; with the key too where there are none. Comments stay."""
-    own, tail = _split_arguments(_inside(args), _inside(code))
-    comments = trim(_inside(args))
+def python_edits(proxy_url: str, env_var: str) -> Column:
+    """The base address behind the last argument; with the key too where there are none. Comments stay."""
     base = F.lit(f'    base_url="{proxy_url}"\n')
-    some = F.concat(F.lit("(\n    "), own, F.lit(","), F.when(tail == "", "").otherwise(F.concat(F.lit("  "), tail)), F.lit("\n"), base, F.lit(")"))
-    none = F.concat(F.lit(f'(\n    api_key=os.environ.get("{env_var}"),\n'), base, F.when(comments == "", "").otherwise(F.concat(F.lit("    "), comments, F.lit("\n"))), F.lit(")"))
-    return F.when(own == "", none).otherwise(some)
+    empty = lambda comments: F.concat(F.lit(f'(\n    api_key=os.environ.get("{env_var}"),\n'), base, _said(comments, "    "), F.lit(")"))
+    return _around(F.col("args"), F.col("args_start"), F.col("args_start"), F.col("args_end"), F.col("last"), "(\n    ", F.concat(base, F.lit(")")), empty, F.size("arguments") > 0)
 
 
-def _object_edit(text: Column, code: Column, base: Column, key: Column, proxy_url: str, env_var: str) -> Column:
-    own, tail = _split_arguments(_inside(text), _inside(code))
-    comments = trim(_inside(text))
-    last = F.concat(F.lit("  "), base, F.lit(f': "{proxy_url}"\n'))
-    some = F.concat(F.lit("{\n  "), own, F.lit(","), F.when(tail == "", "").otherwise(F.concat(F.lit("  "), tail)), F.lit("\n"), last, F.lit("}"))
-    none = F.concat(F.lit("{\n  "), key, F.lit(f": process.env.{env_var},\n"), last, F.when(comments == "", "").otherwise(F.concat(F.lit("  "), comments, F.lit("\n"))), F.lit("}"))
-    return F.when(own == "", none).otherwise(some)
+def script_edits(proxy_url: str, env_var: str) -> Column:
+    """The base address behind the last entry of the options; an object with the key too where there are none."""
+    base, key = (F.concat(F.lit("  "), F.col(c)) for c in ("ts_base_url_param", "ts_api_key_param"))
+    url = F.concat(base, F.lit(f': "{proxy_url}"\n'))
+    empty = lambda comments: F.concat(F.lit("{\n"), key, F.lit(f": process.env.{env_var},\n"), url, _said(comments, "  "), F.lit("}"))
+    args, at = F.col("args"), F.col("args_start")
+    own = _around(args, at, F.col("object"), F.col("object_end"), F.col("object_last"), "{\n  ", F.concat(url, F.lit("}")), empty, F.col("object_last") > F.col("object") + 1)
+    made = F.concat(F.lit("("), empty(trim(_cut(args, at, at + 1, F.col("args_end") - 1))), F.lit(")"))
+    return F.when(F.col("object").isNotNull(), own).otherwise(F.array(F.struct(at.alias("start"), F.col("args_end").alias("end"), made.alias("replacement"))))
 
 
 def plan_rewrites(files: DataFrame, proxy_url: str, env_var: str = "GATEWAY_API_KEY", keep: tuple[str, ...] = KEY) -> DataFrame:
-    """A row for each call: (…, provider, line, column, action, start, end, replacement).
+    """A row for each call: (…, language, provider, line, column, action, edits array<struct<start, end, replacement>>).
 
     action: rewrite, configured, manual (arguments that are not written out), detect_only (kits without such a
-    parameter), not_sdk_module (a class of that name in another module), nested (inside another call's arguments).
+    parameter), not_sdk_module (a class of that name in another module). Edits of a file never overlap: those of a call inside another call's
+    arguments lie between the other's.
     """
     found = detect.with_provider_info(detect.calls(files, keep))
-    a, code = F.col("args"), F.col("code")
-    found = found.withColumn("code", detect.masked("args", "language", strings=False))
     python = F.col("language") == "python"
-    name = F.regexp_replace("head", r"\s", "")
-    bare = F.regexp_extract(name, r"([A-Za-z0-9_]+)$", 1)
-    module = F.regexp_replace(F.regexp_extract(name, r"^(.*)\.[A-Za-z0-9_]+$", 1), r"^$", "")
-    own_module = (F.col("provider") == "cohere") | (module == F.col("py_module")) | (bare == name)
-    flat = _inside(F.col("args_masked"))
-    for inner in (detect.ARGUMENTS, detect.OBJECT, r"\[[^\[\]]*+\]"):
-        flat = F.regexp_replace(flat, inner, "x")
-    splat = flat.rlike(r"(?:^|,)\s*+\*")
-    first_object = rf"^(\((?:[^(){{}}]++|{detect.ARGUMENTS})*?)({detect.OBJECT})"
-    object_at = F.length(F.regexp_extract("args_masked", first_object, 1))
-    object_size = F.length(F.regexp_extract("args_masked", first_object, 2))
-    has_object = object_size > 0
-    found = found.withColumns({"object": F.when(has_object, F.substring(a, object_at + 1, object_size)), "object_code": F.when(has_object, F.substring(code, object_at + 1, object_size)), "object_at": object_at, "object_size": object_size})
-    empty = trim(_inside(code)) == ""
+    bare = F.regexp_extract("head", r"([A-Za-z0-9_]+)$", 1)
+    module = F.regexp_extract("head", r"^(.*)\.[A-Za-z0-9_]+$", 1)
+    own_module = (F.col("provider") == "cohere") | (module == F.col("py_module")) | (bare == F.col("head"))
+    object_text = _cut(F.col("args"), F.col("args_start"), F.col("object"), F.col("object_end"))
     py_action = (
         F.when(F.col("provider").isin("gemini", "bedrock"), "detect_only")
         .when(~own_module, "not_sdk_module")
         .when(detect.py_has_base_url("args"), "configured")
-        .when(splat, "manual")
+        .when(F.exists("arguments", lambda a: a["kind"] == "splat"), "manual")
         .otherwise("rewrite")
     )
     ts_action = (
         F.when(F.col("ts_base_url_param").isNull(), "detect_only")
-        .when(F.col("object").isNotNull(), F.when(detect.ts_has_base_url("object", "ts_base_url_param"), "configured").otherwise("rewrite"))
-        .when(empty, "rewrite")
+        .when(F.col("object").isNotNull(), F.when(detect.ts_has_base_url(object_text, "ts_base_url_param"), "configured").otherwise("rewrite"))
+        .when(F.size("arguments") == 0, "rewrite")
         .otherwise("manual")
     )
     found = found.withColumn("action", F.when(python, py_action).otherwise(ts_action))
-    base, key = F.col("ts_base_url_param"), F.col("ts_api_key_param")
-    made = F.concat(F.lit("({\n  "), key, F.lit(f": process.env.{env_var},\n  "), base, F.lit(f': "{proxy_url}"\n'), F.when(trim(_inside(a)) == "", "").otherwise(F.concat(F.lit("  "), trim(_inside(a)), F.lit("\n"))), F.lit("})"))
-    ts_text = F.when(F.col("object").isNotNull(), _object_edit(F.col("object"), F.col("object_code"), base, key, proxy_url, env_var)).otherwise(made)
-    text = F.when(F.col("action") == "rewrite", F.when(python, python_edit(a, code, proxy_url, env_var)).otherwise(ts_text))
-    in_object = ~python & F.col("object").isNotNull()
-    start = F.col("args_start") + F.when(in_object, F.col("object_at")).otherwise(0)
-    end = start + F.when(in_object, F.col("object_size")).otherwise(F.length(a))
-    out = found.withColumns({"start": start, "end": end, "replacement": text})
-    # Of calls inside one another the outermost alone is edited: how far the edits before reach.
-    before = W.partitionBy(*keep).orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
-    reach = F.max(F.when(F.col("action") == "rewrite", F.col("end"))).over(before)
-    nested = (F.col("action") == "rewrite") & F.coalesce(reach > F.col("start"), F.lit(False))
-    out = out.withColumn("nested", nested)
-    return out.select(*keep, "language", "provider", "line", "column", F.when(F.col("nested"), "nested").otherwise(F.col("action")).alias("action"), "start", "end", F.when(~F.col("nested"), F.col("replacement")).alias("replacement"))
+    edits = F.when(F.col("action") == "rewrite", F.when(python, python_edits(proxy_url, env_var)).otherwise(script_edits(proxy_url, env_var)))
+    return found.select(*keep, "language", "provider", "line", "column", "action", edits.alias("edits"))
 
 
 def has_os_import(content: Column) -> Column:
@@ -122,7 +109,7 @@ def insertion_line(all_lines: Column) -> Column:
             def after(q):
                 rest = F.slice(all_lines, i + 2, F.greatest(F.size(all_lines) - i - 1, F.lit(0)))
                 closing = F.array_position(F.transform(rest, lambda x: F.contains(x, F.lit(q))), True).cast("int")
-                return _let(closing, lambda c: F.when(F.contains(F.substring(line, 4, 1_000_000), F.lit(q)), i + 1).when(c > 0, i + 1 + c).otherwise(i))
+                return _let(closing, lambda c: F.when(F.contains(F.substring(line, F.lit(4), F.length(line)), F.lit(q)), i + 1).when(c > 0, i + 1 + c).otherwise(i))
 
             return F.when(F.startswith(line, F.lit('"""')), after('"""')).when(F.startswith(line, F.lit("'''")), after("'''")).otherwise(i)
 
@@ -153,9 +140,11 @@ def ensure_os_import(content: Column) -> Column:
 
 def apply_rewrites(files: DataFrame, plan: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """Files with new_content, modified and needs_manual. A file's edits meet in one row; its content joins them once."""
-    edit = F.when(F.col("action") == "rewrite", F.struct("start", "end", "replacement"))
-    edits = plan.groupBy(*keep).agg(F.sort_array(F.collect_list(edit), asc=False).alias("edits"), F.count_if(F.col("action").isin("manual", "nested")).cast("int").alias("needs_manual"))
-    spliced = F.aggregate("edits", F.col("content"), lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["replacement"], F.substring(t, e["end"] + 1, F.length(t))))
+    counted = F.count_if(F.col("action") == "manual").cast("int").alias("needs_manual")
+    edits = plan.groupBy(*keep).agg(F.sort_array(F.flatten(F.collect_list("edits"))).alias("edits"), counted)
+    reached = lambda i: F.when(i > 0, F.get("edits", i - 1)["end"]).otherwise(0)
+    pieces = F.transform("edits", lambda e, i: F.concat(F.substring("content", reached(i) + 1, e["start"] - reached(i)), e["replacement"]))
+    spliced = F.concat(F.array_join(pieces, ""), F.substring("content", F.element_at("edits", -1)["end"] + 1, F.length("content")))
     styled = reencode_eol(spliced, dominant_eol("content"))
     out = files.join(edits, list(keep), "left")
     modified = F.coalesce(F.size("edits") > 0, F.lit(False))
@@ -166,5 +155,5 @@ def apply_rewrites(files: DataFrame, plan: DataFrame, keep: tuple[str, ...] = KE
 
 def rewrite_summary(plan: DataFrame, keep: tuple[str, ...] = KEY) -> DataFrame:
     """One row for each provider: files modified, left as they are, and calls to route by hand; each file counts once a provider."""
-    each = plan.groupBy("provider", *keep).agg(F.bool_or(F.col("action") == "rewrite").alias("modified"), F.count_if(F.col("action").isin("manual", "nested")).alias("manual"))
+    each = plan.groupBy("provider", *keep).agg(F.bool_or(F.col("action") == "rewrite").alias("modified"), F.count_if(F.col("action") == "manual").alias("manual"))
     return each.groupBy("provider").agg(F.count_if("modified").alias("files_modified"), F.count_if(~F.col("modified")).alias("files_unchanged"), F.sum("manual").alias("calls_manual"))

@@ -34,6 +34,12 @@ CASES = [
     ("many.py", "".join(f"c{i} = Groq(k{i})\n" for i in range(40)), [("groq", i + 1, 6 if i < 10 else 7, False, "detect_only", "rewrite") for i in range(40)]),
     ("guard.py", "if __name__ == '__main__':\n    OpenAI(x=f)\n", [("openai", 2, 5, False, "runtime", "rewrite")]),
     ("noguard.py", "# if __name__ == '__main__'\nx = 1\n", []),
+    ("objects.py", '(client\n  .OpenAI())\nx = {}.OpenAI()\ny = "a".Groq(k)\nz = f"{Anthropic(k)} {{OpenAI()}}"\nclass  OpenAI(X): pass\ndef  OpenAI(): pass\nw = client . OpenAI(k)\n', [("openai", 1, 2, False, "runtime", "not_sdk_module"), ("openai", 3, 5, False, "runtime", "not_sdk_module"), ("groq", 4, 5, False, "detect_only", "not_sdk_module"), ("anthropic", 5, 8, False, "runtime", "rewrite"), ("openai", 8, 5, False, "runtime", "not_sdk_module")]),
+    ("rock.py", "a = boto3.client(\n    # which\n    'bedrock-runtime')\nb = boto3.client(r\"bedrock-runtime\")\nc = boto3.client('bedrock-runtime-x')\nd = boto3.client(f(), 'bedrock-runtime')\ne = boto3.client('s3', 'bedrock-runtime')\n", [("bedrock", 1, 5, False, "detect_only", "detect_only"), ("bedrock", 4, 5, False, "detect_only", "detect_only"), ("bedrock", 5, 5, False, "detect_only", "detect_only")]),
+    ("types.ts", 'const a = new OpenAI<T<U>>({});\nconst b = `${new OpenAI({ apiKey: k })} new Groq()`;\nconst c = s.replace(/"/g, "") + new Anthropic();\n', [("openai", 1, 11, False, "detect_only", "rewrite"), ("openai", 2, 14, False, "detect_only", "rewrite"), ("anthropic", 3, 33, False, "detect_only", "rewrite")]),
+    ("view.tsx", 'export const V = () => <p title="new OpenAI()">new OpenAI() isn\'t {new OpenAI(k)}</p>;\nconst w = new Groq({ a, ...b });\n', [("openai", 1, 68, False, "detect_only", "manual"), ("groq", 2, 11, False, "detect_only", "rewrite")]),
+    ("nest.py", "c = OpenAI(http=Anthropic(k), **{})\nd = OpenAI(http=Anthropic(k), n=1)  # both\n", [("openai", 1, 5, False, "runtime", "manual"), ("anthropic", 1, 17, False, "runtime", "rewrite"), ("openai", 2, 5, False, "runtime", "rewrite"), ("anthropic", 2, 17, False, "runtime", "rewrite")]),
+    ("depths.js", "const a = new OpenAI({ a: " + "{ b: " * 1000 + "1" + " }" * 1000 + " });\n", [("openai", 1, 11, False, "detect_only", "rewrite")]),
 ]
 # Texts after the edits of the cases above that are rewritten.
 REWRITTEN = {
@@ -47,6 +53,11 @@ REWRITTEN = {
     "deep.py": f"import os\na = f().OpenAI()\nb = a[0].Anthropic(k)\nc = x[i](1).y.Groq(" + "(" * 20 + "1" + ")" * 20 + f")\nd = OpenAI(\n    f(\")\")[g(')')], h,\n    base_url=\"{PROXY}\"\n)\ne = OpenAI((1)\n",
     "many.py": "import os\n" + "".join(f'c{i} = Groq(\n    k{i},\n    base_url="{PROXY}"\n)\n' for i in range(40)),
     "guard.py": f"import os\nif __name__ == '__main__':\n    OpenAI(\n    x=f,\n    base_url=\"{PROXY}\"\n)\n",
+    "objects.py": f'import os\n(client\n  .OpenAI())\nx = {{}}.OpenAI()\ny = "a".Groq(k)\nz = f"{{Anthropic(\n    k,\n    base_url="{PROXY}"\n)}} {{{{OpenAI()}}}}"\nclass  OpenAI(X): pass\ndef  OpenAI(): pass\nw = client . OpenAI(k)\n',
+    "types.ts": f'const a = new OpenAI<T<U>>({{\n  apiKey: process.env.GATEWAY_API_KEY,\n  baseURL: "{PROXY}"\n}});\nconst b = `${{new OpenAI({{\n  apiKey: k,\n  baseURL: "{PROXY}"\n}})}} new Groq()`;\nconst c = s.replace(/"/g, "") + new Anthropic({{\n  apiKey: process.env.GATEWAY_API_KEY,\n  baseURL: "{PROXY}"\n}});\n',
+    "view.tsx": f'export const V = () => <p title="new OpenAI()">new OpenAI() isn\'t {{new OpenAI(k)}}</p>;\nconst w = new Groq({{\n  a, ...b,\n  baseURL: "{PROXY}"\n}});\n',
+    "nest.py": f'import os\nc = OpenAI(http=Anthropic(\n    k,\n    base_url="{PROXY}"\n), **{{}})\nd = OpenAI(\n    http=Anthropic(\n    k,\n    base_url="{PROXY}"\n), n=1,\n    base_url="{PROXY}"\n)  # both\n',
+    "depths.js": "const a = new OpenAI({\n  a: " + "{ b: " * 1000 + "1" + " }" * 1000 + f',\n  baseURL: "{PROXY}"\n}});\n',
     "win.py": f'import os\r\nc = OpenAI(\r\n    api_key=k,\r\n    base_url="{PROXY}"\r\n)\r\n',
 }
 # name, content, definitions (line, name, value), uses (line, name)

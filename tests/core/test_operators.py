@@ -70,7 +70,7 @@ def test_python_rewrites_parse(spark):
         assert out[path].modified and out[path].new_content != before
     assert out["b.py"].new_content.split("\n")[7] == "import os"
     assert out["c.py"].needs_manual == 1 and out["c.py"].new_content.count("import os") == 1
-    assert out["d.py"].needs_manual == 1 and out["d.py"].new_content.count("base_url") == 1
+    assert out["d.py"].needs_manual == 0 and out["d.py"].new_content.count("base_url") == 2
     assert "# why" in out["a.py"].new_content and "# nothing" in out["b.py"].new_content
 
 
