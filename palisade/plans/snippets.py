@@ -39,7 +39,7 @@ CASES = [
     ("types.ts", 'const a = new OpenAI<T<U>>({});\nconst b = `${new OpenAI({ apiKey: k })} new Groq()`;\nconst c = s.replace(/"/g, "") + new Anthropic();\n', [("openai", 1, 11, False, "detect_only", "rewrite"), ("openai", 2, 14, False, "detect_only", "rewrite"), ("anthropic", 3, 33, False, "detect_only", "rewrite")]),
     ("view.tsx", 'export const V = () => <p title="new OpenAI()">new OpenAI() isn\'t {new OpenAI(k)}</p>;\nconst w = new Groq({ a, ...b });\n', [("openai", 1, 68, False, "detect_only", "manual"), ("groq", 2, 11, False, "detect_only", "rewrite")]),
     ("nest.py", "c = OpenAI(http=Anthropic(k), **{})\nd = OpenAI(http=Anthropic(k), n=1)  # both\n", [("openai", 1, 5, False, "runtime", "manual"), ("anthropic", 1, 17, False, "runtime", "rewrite"), ("openai", 2, 5, False, "runtime", "rewrite"), ("anthropic", 2, 17, False, "runtime", "rewrite")]),
-    ("depths.js", "const a = new OpenAI({ a: " + "{ b: " * 1000 + "1" + " }" * 1000 + " });\n", [("openai", 1, 11, False, "detect_only", "rewrite")]),
+    ("depths.js", "const a = new OpenAI({ a: " + "{ b: " * 60 + "1" + " }" * 60 + " });\n", [("openai", 1, 11, False, "detect_only", "rewrite")]),
 ]
 # Texts after the edits of the cases above that are rewritten.
 REWRITTEN = {
@@ -57,7 +57,7 @@ REWRITTEN = {
     "types.ts": f'const a = new OpenAI<T<U>>({{\n  apiKey: process.env.GATEWAY_API_KEY,\n  baseURL: "{PROXY}"\n}});\nconst b = `${{new OpenAI({{\n  apiKey: k,\n  baseURL: "{PROXY}"\n}})}} new Groq()`;\nconst c = s.replace(/"/g, "") + new Anthropic({{\n  apiKey: process.env.GATEWAY_API_KEY,\n  baseURL: "{PROXY}"\n}});\n',
     "view.tsx": f'export const V = () => <p title="new OpenAI()">new OpenAI() isn\'t {{new OpenAI(k)}}</p>;\nconst w = new Groq({{\n  a, ...b,\n  baseURL: "{PROXY}"\n}});\n',
     "nest.py": f'import os\nc = OpenAI(http=Anthropic(\n    k,\n    base_url="{PROXY}"\n), **{{}})\nd = OpenAI(\n    http=Anthropic(\n    k,\n    base_url="{PROXY}"\n), n=1,\n    base_url="{PROXY}"\n)  # both\n',
-    "depths.js": "const a = new OpenAI({\n  a: " + "{ b: " * 1000 + "1" + " }" * 1000 + f',\n  baseURL: "{PROXY}"\n}});\n',
+    "depths.js": "const a = new OpenAI({\n  a: " + "{ b: " * 60 + "1" + " }" * 60 + f',\n  baseURL: "{PROXY}"\n}});\n',
     "win.py": f'import os\r\nc = OpenAI(\r\n    api_key=k,\r\n    base_url="{PROXY}"\r\n)\r\n',
 }
 # name, content, definitions (line, name, value), uses (line, name)

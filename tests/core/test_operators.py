@@ -31,6 +31,15 @@ def test_calls_of_any_object_and_depth(spark):
     assert [(g[0], g[1]) for g in got[6:8]] == [("b.ts", 1), ("b.ts", 2)] and [g[1] for g in got[8:]] == list(range(2, 1002))
 
 
+def test_rewrites_at_a_depth_of_1000(spark):
+    deep = "{ a: " + "{ b: [" * 1000 + "new Groq({ c: f(" + "(" * 1000 + ")" * 1000 + ") })" + "] }" * 1000 + " }"
+    f = source(spark, ("a.ts", f"new OpenAI({deep});\n"), ("b.py", "OpenAI(" + "[" * 1000 + "]" * 1000 + ")\n"))
+    plan = rewrite.plan_rewrites(f, "https://p/v1")
+    assert sorted((r.path, r.provider, r.action) for r in plan.collect()) == [("a.ts", "groq", "rewrite"), ("a.ts", "openai", "rewrite"), ("b.py", "openai", "rewrite")]
+    out = {r.path: r.new_content for r in rewrite.apply_rewrites(f, plan).collect()}
+    assert out["a.ts"].count('baseURL: "https://p/v1"') == 2 and out["a.ts"].count("{") == out["a.ts"].count("}") == 1002 and out["b.py"].count("base_url") == 1
+
+
 def test_filters_and_joins_of_detections(spark):
     f = source(spark, ("a.py", "OpenAI()\nGroq()\n"), ("b.py", "InferenceClient()\n"), ("c.py", "AsyncGroq()\n"))
     found = detect.detect_all(f)
