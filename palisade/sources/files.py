@@ -1,93 +1,13 @@
-"""Trees of source repositories as a table, hidden files included, and the other inputs and outputs of the library."""
+"""Inputs and outputs of the library; those of source trees are in ``trees``."""
 
 from __future__ import annotations
 
-import datetime
-import os
 import re
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from ..operators.paths import SKIP_DIRS
-
-SOURCE_FILES = "repo string, path string, file_name string, ext string, depth int, mtime timestamp, is_symlink boolean, content string"
-
-
-class _Places(InputPartition):
-    """Directories to read: (repository, directory in it, whether what lies below belongs to it)."""
-
-    def __init__(self, places: list[tuple[str, str, bool]]):
-        self.places = places
-
-
-class RepoTree(DataSource):
-    """``spark.read.format("repo_tree").load(root)``: every file of every repository (a directory right below the root).
-
-    Spark's own file sources leave out names that start with a dot or an underscore, among them env and ignore files. The
-    root has to be mounted on the executors. Skipped directories are pruned on the way; a file whose bytes are no UTF-8 has a
-    null content, and so has a link, which may point outside; links to directories are not followed. Option ``partitions``: the
-    directories of all repositories, down to the second level, are dealt into so many, so that one large repository is read by many tasks.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "repo_tree"
-
-    def schema(self) -> str:
-        return SOURCE_FILES
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("partitions", "64")))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, root: str, partitions: int):
-        self.root, self.n = root, partitions
-
-    def partitions(self) -> list[InputPartition]:
-        def below(path: str) -> list[str]:
-            return sorted(e.name for e in os.scandir(path) if e.is_dir(follow_symlinks=False))
-
-        places = []
-        for repo in below(self.root):
-            places.append((repo, "", False))
-            for first in below(os.path.join(self.root, repo)):
-                if first not in SKIP_DIRS:
-                    places.append((repo, first, False))
-                    places += [(repo, f"{first}/{second}", True) for second in below(os.path.join(self.root, repo, first)) if second not in SKIP_DIRS]
-        return [_Places(places[i :: self.n]) for i in range(min(self.n, len(places)))] or [_Places([])]
-
-    def read(self, partition: _Places) -> Iterator[tuple]:
-        for repo, place, whole in partition.places:
-            top = os.path.join(self.root, repo)
-            for here, below, names in os.walk(os.path.join(top, place)):
-                below[:] = sorted(d for d in below if d not in SKIP_DIRS) if whole else []
-                for name in sorted(names):
-                    full = os.path.join(here, name)
-                    link = os.path.islink(full)
-                    if not os.path.isfile(full):
-                        continue
-                    path = os.path.relpath(full, top).replace(os.sep, "/")
-                    stem, dot, ext = name.rpartition(".")
-                    content = None
-                    if not link:
-                        with open(full, "rb") as f:
-                            raw = f.read()
-                        try:
-                            content = raw.decode()
-                        except UnicodeDecodeError:
-                            pass
-                    changed = datetime.datetime.fromtimestamp(os.stat(full).st_mtime, datetime.timezone.utc)
-                    yield repo, path, name, ext if dot and stem else None, path.count("/") + 1, changed, link, content
-
-
-def read_source_files(spark: SparkSession, root: str, partitions: int = 64) -> DataFrame:
-    spark.dataSource.register(RepoTree)
-    return spark.read.format("repo_tree").option("partitions", partitions).load(root)
 
+from .trees import SOURCE_FILES, read_source_files, stream_source_files  # noqa: F401
 
 SCAN_RESULT = "blocked boolean, decision string, confidence double, reason string, threatType string, eventId string, processingTimeMs double"
 REDACTION = "original string, redacted string, piiFound array<string>"
@@ -171,12 +91,13 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
             from yaml import YAMLError, safe_load
         except ImportError:
             YAMLError, safe_load = ValueError, _plain_yaml
+        bad = (YAMLError, ValueError, TypeError)  # keys that JSON does not have, among others
         for pdf in batches:
             out = []
             for v in pdf.value:
                 try:
-                    out.append(json.dumps(safe_load(v)))
-                except YAMLError:
+                    out.append(json.dumps(safe_load(v), default=str))  # dates as text
+                except bad:
                     out.append(None)
             yield pdf.assign(value=out)
 
