@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -51,6 +51,35 @@ def exclude_globs(df: DataFrame, patterns: list[str] | None = None) -> DataFrame
     return df.filter(~(F.col("path").rlike(regex) | F.col("file_name").rlike(regex)))
 
 
+def glob_pattern(glob: Column) -> Column:
+    """``glob_regex`` (without its ends) of globs that are data. A set with a range that runs backwards holds no sign."""
+    parts = F.regexp_extract_all(glob, F.lit(r"(?s)(?:^|(?<=/))\*\*/|\*\*|\[.[^\]]*\]|."), F.lit(0))
+
+    def sign_set(t):
+        inside = F.substring(t, F.lit(2), F.length(t) - 2)
+        other = inside.startswith("!")
+        signs = F.regexp_replace(F.when(other, F.substring(inside, F.lit(2), F.length(inside))).otherwise(inside), r"([\\\[&^])", r"\\$1")
+        backwards = F.exists(F.regexp_extract_all(inside, F.lit("(?s).-."), F.lit(0)), lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1))
+        return F.when(backwards, F.when(other, ".").otherwise("(?!)")).otherwise(F.concat(F.when(other, "[^").otherwise("["), signs, F.lit("]")))
+
+    return F.array_join(F.transform(parts, lambda t: F.when(t == "**/", "(?:.*/)?").when(t.isin("*", "**"), ".*").when(t == "?", ".").when(F.length(t) > 1, sign_set(t)).otherwise(F.regexp_replace(t, r"([\\.^$+{}()|\[\]])", r"\\$1"))), "")
+
+
+def exclude_by_repo(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """Without the files that their own repository's ``exclude_patterns`` fit; defaults hold where a repository has no list.
+
+    configs: (repo, exclude_patterns), one row a repository, as ``audit.parse_configs`` gives them; a list takes the place of the defaults, an empty
+    one leaves nothing out. Each distinct list becomes one pattern, whatever the number of repositories that share it.
+    """
+    named = configs.filter(F.col("exclude_patterns").isNotNull()).select("repo", F.filter("exclude_patterns", lambda g: g.isNotNull()).alias("globs"))
+    named = named.withColumn("list", F.sha2(F.to_json("globs"), 256))
+    body = F.array_join(F.transform("globs", glob_pattern), "|")
+    patterns = named.select("list", "globs").dropDuplicates(["list"]).select("list", F.when(F.size("globs") > 0, F.concat(F.lit("(?s)^(?:"), body, F.lit(")$"))).otherwise("(?!)").alias("__excluded"))
+    default = "(?s)^(?:" + "|".join(glob_regex(g) for g in [*EXCLUDES, *MORE_EXCLUDES]) + ")$"
+    own = files.join(named.select("repo", "list").join(patterns, "list").select("repo", "__excluded"), "repo", "left").withColumn("__excluded", F.coalesce("__excluded", F.lit(default)))
+    return own.filter(~(F.rlike("path", F.col("__excluded")) | F.rlike("file_name", F.col("__excluded")))).select(*[F.col(f"`{c}`") for c in files.columns])
+
+
 def with_user_excludes(user: list[str]) -> list[str]:
     """The default globs and those of a user, each once."""
     return list(dict.fromkeys([*EXCLUDES, *user]))
@@ -80,16 +109,25 @@ def backup_files(df: DataFrame, ext: str = ".bak") -> DataFrame:
     return df.filter(F.endswith("file_name", F.lit(ext)))
 
 
+#: Parts into which the top of a repository is dealt, as all its directories meet there.
+SALTS = 64
+
+
 def assign_repo_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Files with the nearest directory above them that ``roots(repo, root)`` has; null where there is none.
 
-    A file meets its own ancestors alone: an equi-join on exploded prefixes, in which contents take no part.
+    Distinct directories alone are closed under their parents and resolved there; a file, and its content, is joined once, on its directory. All directories
+    of a repository meet its top, which is therefore salted.
     """
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    found = files.select("repo", "path", F.explode(above).alias("root")).join(roots.select("repo", "root").distinct(), ["repo", "root"])
-    nearest = found.groupBy("repo", "path").agg(F.max_by("root", F.length("root")).alias("root"))
-    return files.join(nearest, ["repo", "path"], "left")
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    parts = F.filter(F.split("dir", "/"), lambda p: p != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    folders = files.select("repo", folder.alias("dir")).distinct().select("repo", "dir", F.explode(above).alias("root"))
+    folders = folders.withColumn("salt", F.when(F.col("root") == "", F.pmod(F.xxhash64("dir"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col("root") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = roots.select("repo", "root").distinct().withColumn("salt", F.explode(salts))
+    nearest = folders.join(known, ["repo", "root", "salt"]).groupBy("repo", "dir").agg(F.max_by("root", F.length("root")).alias("root"))
+    return files.withColumn("dir", folder).join(nearest, ["repo", "dir"], "left").select(*[F.col(f"`{c}`") for c in files.columns], "root")
 
 
 def top_files(detections: DataFrame, n: int = 10) -> DataFrame:

@@ -257,6 +257,15 @@ def repo_root(spark, sf_dir):
     return paths.assign_repo_root(files, roots).select("doc_id", "root")
 
 
+@query(f"""SELECT repo, path FROM ({_FILES}) WHERE NOT CASE doc_id % 4 WHEN 0 THEN file_name LIKE '%.tsx' OR file_name LIKE '%.md'
+  WHEN 1 THEN regexp_matches(path, '^src/d./') OR file_name LIKE 'many.%' OR regexp_matches(file_name, '^[^a-m].*[.]ts$') ELSE false END""")
+def excludes_by_repo(spark, sf_dir):
+    files = s.source_files(spark, sf_dir)
+    number = F.substring("repo", 5, 9).cast("int")
+    lists = F.when(number % 4 == 0, F.array(*[F.lit(g) for g in paths.with_user_excludes(["*.tsx", "**/README.*"])])).when(number % 4 == 1, F.array(*[F.lit(g) for g in ("src/d?/*", "**/many.*", "[!a-m]*.ts")])).when(number % 4 == 2, F.array().cast("array<string>"))
+    return paths.exclude_by_repo(files, files.select("repo").distinct().withColumn("exclude_patterns", lists)).select("repo", "path")
+
+
 @query("SELECT page_id, path FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE NOT regexp_matches(path, '(^|/)node_modules/|[.]pdf$|(^|/)a')")
 def exclude_globs(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))

@@ -1,4 +1,5 @@
 import ast
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,36 @@ def test_paths(spark):
     assert got["pkg/deep/x.js"] == "pkg" and got["src/a.ts"] == ""
 
 
+def test_roots_of_many_directories(spark):
+    files = [("r", f"{d}f{i}.py", "c") for d in ("", "a/", "a/b/", "a/b/c/d/", "ab/", "x//y/") for i in range(3)] + [("q", "a/f.py", "c"), (None, "a/f.py", None), ("r", None, None)]
+    roots = spark.createDataFrame([("r", "a"), ("r", "a/b"), ("r", "x/y"), ("q", ""), ("q", "z")], "repo string, root string")
+    df = spark.createDataFrame(files, "repo string, path string, dir string")
+    out = paths.assign_repo_root(df, roots)
+    assert out.columns == ["repo", "path", "dir", "root"] and out.count() == len(files)
+    got = {(r.repo, r.path.rpartition("/")[0]): r.root for r in out.filter("path is not null").collect()}
+    assert got == {("r", ""): None, ("r", "a"): "a", ("r", "a/b"): "a/b", ("r", "a/b/c/d"): "a/b", ("r", "ab"): None, ("r", "x//y"): "x/y", ("q", "a"): "", (None, "a"): None}
+
+
+GLOBS = ["**/*.test.js", "**/a/**", "a**/b", "*.ts", "[!s]*.py", "[]x]y", "[a-c]?.z", "x.(y)|{z}$", "**", "a\\b", "[&^]q", "[open", "src/?/*"]
+
+
+def test_globs_as_data(spark):
+    """One pattern a list, the same as the patterns that the driver makes of globs; lists by repository."""
+    names = ["a.test.js", "x/a.test.js", "a/b", "q/a/b/c", "ax/y/b", "k.ts", "sx.py", "tx.py", "]y", "xy", "bq.z", "dq.z", "x.(y)|{z}$", "a\\b", "&q", "^q", "[open", "src/d/x/y", "src/dd/x"]
+    made = spark.createDataFrame([(g,) for g in GLOBS], "g string").select("g", paths.glob_pattern(F.col("g")).alias("p")).collect()
+    for r in made:
+        want = [n for n in names if re.search(f"(?s)^(?:{paths.glob_regex(r.g)})$", n)]
+        got = spark.createDataFrame([(n,) for n in names], "n string").filter(F.col("n").rlike(f"(?s)^(?:{r.p})$")).collect()
+        assert [x.n for x in got] == want, r.g
+    f = source(spark, *[(n, "") for n in ("a.ts", "dist/a.ts", "k.py", "x/k.py")])
+    files = f.unionByName(f.withColumn("repo", F.lit("s"))).unionByName(f.withColumn("repo", F.lit("t"))).unionByName(f.withColumn("repo", F.lit("u")))
+    configs = spark.createDataFrame([("r", ["*.py", None]), ("s", []), ("t", ["[z-a]*", "[!z-a].py"]), ("u", None)], "repo string, exclude_patterns array<string>")
+    got = {}
+    for r in paths.exclude_by_repo(files, configs).collect():
+        got.setdefault(r.repo, set()).add(r.path)
+    assert got == {"r": {"a.ts", "dist/a.ts"}, "s": {"a.ts", "dist/a.ts", "k.py", "x/k.py"}, "t": {"a.ts", "dist/a.ts"}, "u": {"a.ts", "k.py", "x/k.py"}}
+
+
 def test_entry_points(spark):
     f = source(spark, ("main.py", ""), ("a/tool.PY", "if __name__ == '__main__':\n"), ("a/b/c/d.py", "if __name__ == '__main__':\n"), ("utils.py", "# if __name__ == '__main__'\n"), ("package.json", '{"main": "./lib/start.mjs", "scripts": {"start": "node dist/run.js --x"}}'), ("lib/start.mjs", ""), ("dist/run.js", ""), ("src/x/index.ts", ""), ("src/x/y/index.ts", ""))
     assert sorted(r.path for r in entry.python_entry_points(f).collect()) == ["a/tool.PY", "main.py"]
