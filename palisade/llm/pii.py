@@ -1,25 +1,24 @@
 """Personal data: candidate spans, boosted trees and calibrated thresholds, with DataFrame expressions alone.
 
 *Generators* propose spans by patterns of high recall; they may overlap. *Features* of a candidate are of its format
-(kind, digits, separators, letters) and of its context (whether the word before it tells its kind, the
-characters on both sides), each of a few values, so that all candidates of a corpus fall into a bounded number of
-patterns. No labels of personal data exist, so each view teaches the other: trees on the context learn whether a format
-passes its check (Luhn, octets, digits), trees on the format whether the word before tells the kind; no tree sees what its own
-label is made of. *Boosting*: Spark counts all candidates by pattern, fold and labels; regression trees of depth two are boosted under
-the logistic loss on that table of counts, which is exact for the whole corpus and whose size the features bound.
-A candidate's score is the sum of both. *Calibration*: for each generator the least score at which, among its candidates in the
-other fold that no base pattern has, the share of positives (one negative more assumed) is ``PRECISION``; a generator too
-rare for that takes the threshold of all together. The folds are by hash of match and context, so that the model is the same however
-the table is split.
-
-What passes the checks of the four base kinds always stays. The method adds, where they overlap none of those, candidates
-of the other patterns (``ADDED``): those with a positive label of their own, and of the rest those at or over the threshold. Matches
-of base patterns that fail their check are not added.
+(digits, separators, letters, case, its kind's check) and of its context (whether the word before tells its kind or another's, the
+characters on both sides), each of a few values. No labels of personal data exist, so that training makes its own: in places of the corpus' own texts it
+*plants* values of each added generator, made from hashes, and *masks* others: things of the same pattern that are nothing personal (long words and
+identifiers from the text around, groups of digits, numbers that no office gives out, "look [at] this. Then"). The label is which of both a candidate is; no feature holds it:
+words that tell a kind stand before both, only more often before planted values, and some formats (runs of digits alone) are made alike on both sides.
+*Boosting*: Spark counts these candidates by pattern of features, fold and label; regression trees of depth two are boosted under
+the logistic loss on fold 0 of that table of counts. *Calibration*: for each generator the least score at which, in fold 1, the share of planted values (one
+masked one more assumed) is ``PRECISION``. Folds are by hash of the place. A candidate of the corpus is added by its score alone.
+
+Training takes about ``PLANTED`` places: one in each of as many distinct texts drawn by hash; of smaller tables several in each. All else goes through all texts.
+
+What passes the checks of the four base kinds always stays. The method adds candidates of the other patterns (``ADDED``) where they overlap none of
+those. Matches of base patterns that fail their check are not added.
 
 A text's spans are one expression over that text: nothing is shuffled, and ``redact`` cuts the same spans. Spans are in code
 points from 0, end exclusive; of ties in the start the kind's order decides. Null texts have no spans (and stay null in
 ``redact``); very long texts are gone through whole; rows are kept one to one, repeated rows and null keys too; ``redact`` keeps
-other columns, ``spans`` does not carry them. Empty tables give no rows.
+other columns, ``spans`` does not carry them. Empty tables give no rows; where no text has words to plant values among, base spans alone are found.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "ssn", "token"]
-TREES, RATE, PRECISION = 24, 0.4, 0.9
+TREES, RATE, PRECISION = 40, 0.4, 0.95
 #: Code points of context that are looked at before a candidate.
 CONTEXT = 24
 
@@ -51,8 +50,10 @@ GENERATORS = [
 ]
 # The generators (from 0) whose matches are the base patterns' own.
 BASE_GENERATORS = {0: "email", 2: "ip", 3: "card", 4: "phone"}
-# The generators whose matches the method may add, and those whose format check can fail.
-ADDED, CHECKED = [1, 5, 6, 7], [2, 3, 4, 6]
+# The generators whose matches the method may add.
+ADDED = [1, 5, 6, 7]
+#: Places in which values of each generator are planted and masked for training.
+PLANTED = 8_000
 # Words before a candidate that tell its kind.
 CUES = {
     "email": ["mail", "email", "e-mail", "contact", "write"],
@@ -113,6 +114,7 @@ def checked(gen: Column, match: Column) -> Column:
         F.when(gen == 2, _octets(match))
         .when(gen == 3, _luhn(match))
         .when(gen == 4, n.between(9, 15))
+        .when(gen == 5, match.rlike("^[(]?[2-9]"))
         .when(gen == 6, ~match.rlike("^(000|666|9)|-00-|-0000$"))
         .otherwise(gen.isin(0, 1))
     )
@@ -132,54 +134,108 @@ def features(gen: Column, match: Column, before: Column, after: Column) -> dict[
     """Of a few values each: their product bounds the table that training collects."""
     n, size = F.length(_digits(match)), F.length(match)
     side = lambda c: F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[A-Za-z0-9]"), 2).otherwise(3)
+    lower, upper = match.rlike("[a-z]"), match.rlike("[A-Z]")
+    joints = F.length(F.regexp_replace(match, "[^_-]", ""))
+    told = cue(before)
     return {
         "gen": gen,
-        "digits": F.when(n <= 3, n).when(n <= 6, 4).when(n <= 8, 5).when(n <= 9, 6).when(n <= 11, 7).when(n <= 15, 8).when(n <= 16, 9).when(n <= 19, 10).otherwise(11),
-        "apart": F.when(match.rlike("[()]"), 3).when(match.rlike("[0-9][ -][0-9]"), 2).when(match.rlike(r"[0-9]\.[0-9]"), 1).otherwise(0),
+        "digits": F.when(n <= 3, n).when(n <= 6, 4).when(n <= 9, 5).when(n <= 11, 6).when(n <= 19, 7).otherwise(8),
+        "apart": F.when(match.rlike("[.] "), 4).when(match.rlike("[()]"), 3).when(match.rlike("[0-9][ -][0-9]"), 2).when(match.rlike(r"[0-9]\.[0-9]"), 1).otherwise(0),
         "letters": F.when(n == size, 0).when(n * 4 >= size, 1).when(n > 0, 2).otherwise(3),
-        "cue": F.when(cue(before) == "", 0).when(cue(before) == kind(gen), 1).otherwise(2),
+        "case": F.when(lower & upper, 3).when(upper, 2).when(lower, 1).otherwise(0),
+        "joints": F.least(joints, F.lit(3)),
+        "passes": checked(gen, match).cast("int"),
+        "cue": F.when(told == "", 0).when(told == kind(gen), 1).otherwise(2),
         "left": side(F.right(before, F.lit(1))),
         "right": side(after),
     }
 
 
-NAMES = ["gen", "digits", "apart", "letters", "cue", "left", "right"]
-#: The two views, as places in NAMES.
-FORMAT, CONTEXT_VIEW = [0, 1, 2, 3], [4, 5, 6]
-
-
-def sure(gen: Column, match: Column, before: Column) -> Column:
-    """Whether a candidate that is no base pattern's has a label of its own: a check that it passes, or a telling word."""
-    return gen.isin(ADDED) & (checked(gen, match) | (cue(before) == kind(gen)))
+NAMES = ["gen", "digits", "apart", "letters", "case", "joints", "passes", "cue", "left", "right"]
+
+
+def _drawn(of: list[str], number: Column) -> Column:
+    """One of a few texts, by a number."""
+    return F.element_at(F.array(*[F.lit(x) for x in of]), (F.pmod(number, F.lit(len(of))) + 1).cast("int"))
+
+
+def _values(n, words: Column) -> tuple[dict[int, Column], dict[int, Column]]:
+    """Planted and masked values by generator. n(k): the k-th number of a place, by hash; words: text around it."""
+    hexes = F.concat(F.md5(n(1).cast("string")), F.md5(n(2).cast("string")))
+    digits = F.rpad(F.concat(*[F.abs(n(k)).cast("string") for k in (3, 4)]), 40, "7")
+    part = lambda a, size: F.substring(digits, a, size)
+    name = F.substring(F.translate(hexes, "0123456789", "klmnorstuy"), F.lit(1), F.pmod(n(5), F.lit(6)).cast("int") + 3)
+    home = F.substring(F.translate(hexes, "0123456789", "aeioubdgpz"), 20, 7)
+    signs = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "-")
+    some = lambda of, k: reduce(lambda out, i: F.when(F.pmod(n(k), F.lit(len(of))) == i, of[i]).otherwise(out), range(1, len(of)), of[0])
+    at, dot = _drawn([" [at] ", "(at)", " (at) "], n(6)), _drawn([".", " [dot] ", "(dot)"], n(7))
+    area = F.concat((F.pmod(n(8), F.lit(6)) + 2).cast("string"), part(1, 2))
+    ssn = lambda head: F.concat(head, F.lit("-1"), part(5, 1), F.lit("-1"), part(7, 3))
+    number = part(4, 3), part(8, 4)
+    good = {
+        1: F.concat(name, at, home, dot, _drawn(["com", "org", "net", "de"], n(9))),
+        5: some([F.concat(F.lit("("), area, F.lit(") "), number[0], F.lit("-"), number[1]), F.concat_ws("-", area, *number), F.concat_ws(".", area, *number), F.concat_ws(" ", area, *number)], 10),
+        6: ssn(area),
+        7: some([F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), F.upper(F.substring(hexes, 1, 40)), F.substring(signs, 1, 36), F.concat(F.lit("sk_live_"), F.regexp_replace(F.substring(signs, 1, 24), "-", "x")), part(1, 32)], 11),
+    }
+    joined = lambda sep: F.substring(F.regexp_replace(words, "[^A-Za-z]+", sep), F.lit(1), F.pmod(n(12), F.lit(24)).cast("int") + 24)
+    three = F.regexp_extract(words, r"([A-Za-z]+)[^A-Za-z]+[A-Za-z]", 1), F.regexp_extract(words, r"[A-Za-z][^A-Za-z]+([A-Za-z]+)[^A-Za-z]", 1)
+    bad = {
+        1: F.concat(three[0], _drawn([" [at] ", " (at) "], n(6)), three[1], F.lit(". "), F.initcap(three[0])),
+        5: some([F.concat_ws(" ", part(1, 3), *number), F.concat_ws(".", part(1, 3), *number), F.concat_ws(" ", part(1, 3), *number), F.concat_ws("-", F.concat(F.lit("0"), part(1, 2)), *number)], 10),
+        6: some([ssn(F.lit("000")), ssn(F.lit("666")), ssn(F.concat(F.lit("9"), part(1, 2))), F.concat(area, F.lit("-00-"), part(5, 4)), F.concat(area, F.lit("-1"), part(5, 1), F.lit("-0000"))], 10),
+        7: some([joined(""), joined("-"), joined("_"), F.lower(joined("")), F.upper(joined("_")), F.repeat(_drawn(["-", "_"], n(13)), F.pmod(n(12), F.lit(40)).cast("int") + 24), joined(""), part(1, 32)], 11),
+    }
+    return good, bad
+
+
+def planted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(gen, match, before, after, label, fold): values planted (label 1) and masked (0), in about PLANTED places each."""
+    h = F.xxhash64(F.col(text))
+    texts = docs.filter(F.length(F.trim(text)) > 0)
+    count = max(1, texts.count())
+    share, places = min(1.0, PLANTED / count), -(-PLANTED // count)
+    own = texts.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).select(h.alias("h"), F.col(text).alias("t")).dropDuplicates(["h"])
+    own = own.select("h", "t", F.explode(F.sequence(F.lit(0), F.lit(2 * len(ADDED) * places - 1))).alias("v"))
+    n = lambda k: F.xxhash64("h", "v", F.lit(k))
+    gen, label = reduce(lambda out, i: F.when(F.pmod(F.floor(F.col("v") / 2), F.lit(len(ADDED))) == i, ADDED[i]).otherwise(out), range(len(ADDED)), F.lit(-1)), F.pmod(F.col("v"), F.lit(2)).cast("int")
+    words = F.substring(F.col("t"), F.pmod(n(20), F.length("t")).cast("int") + 1, F.lit(240))
+    good, bad = _values(n, words)
+    match = reduce(lambda out, g: F.when(gen == g, F.when(label == 1, good[g]).otherwise(bad[g])).otherwise(out), ADDED, F.lit(None).cast("string"))
+    kinds = list(CUES)
+    told = lambda k: F.concat(_drawn(CUES[k], n(21)), _drawn([": ", " = \"", "=", " ", " is ", " number: "], n(22)))
+    said = lambda of: reduce(lambda out, k: F.when(of == k, told(k)).otherwise(out), kinds, F.lit(""))
+    other = _drawn(kinds, n(23))
+    draw = F.pmod(n(24), F.lit(16))
+    # Of 16: planted 8 with a word that tells their kind, 1 with another's; masked 1 and 4.
+    lead = F.when(draw < F.when(label == 1, 8).otherwise(1), said(kind(gen))).when((draw < F.when(label == 1, 9).otherwise(5)) & (other != kind(gen)), said(other)).otherwise("")
+    lead = F.when(F.pmod(n(25), F.lit(4)) == 0, F.upper(lead)).otherwise(lead)
+    before = F.right(F.concat(F.regexp_extract(F.left(words, F.lit(60)), r"^[\s\S]*\s", 0), lead), F.lit(CONTEXT))
+    after = _drawn([" ", ".", ",", '"', "\n", ""], n(26))
+    made = own.select(gen.alias("gen"), match.alias("match"), before.alias("before"), after.alias("after"), label.alias("label"), F.pmod(n(27), F.lit(2)).cast("int").alias("fold"))
+    fits = reduce(lambda a, b: a | b, [(F.col("gen") == g) & F.col("match").rlike(f"^(?:{GENERATORS[g][1]})$") for g in ADDED])
+    return made.filter(fits)
 
 
 def learn(docs: DataFrame, text: str = "text") -> dict:
-    """Trees of both views and thresholds, from all candidates of a table."""
-    c = docs.select(F.explode(_found(F.coalesce(F.col(text), F.lit("")))).alias("c")).select("c.*")
+    """Trees and thresholds, from values planted and masked in the places of a table's texts."""
+    c = planted(docs, text)
     v = {n: x.cast("int") for n, x in features(*[F.col(x) for x in ("gen", "match", "before", "after")]).items()}
-    fold = F.pmod(F.xxhash64("match", "before", "after"), F.lit(2)).cast("int")
-    own = c.select(*[v[n].alias(n) for n in NAMES], fold.alias("fold"), checked(F.col("gen"), F.col("match")).cast("int").alias("passes"))
-    counted = own.groupBy(*NAMES, "fold", "passes").agg(F.count("*").alias("n"))
-    return fitted(sorted((tuple(r[n] for n in NAMES), r.fold, r.passes, r.n) for r in counted.collect()))  # bounded by the features' values
+    counted = c.select(*[v[n].alias(n) for n in NAMES], "fold", "label").groupBy(*NAMES, "fold", "label").agg(F.count("*").alias("n"))
+    return fitted(sorted((tuple(r[n] for n in NAMES), r.fold, r.label, r.n) for r in counted.collect()))  # bounded by the features' values
 
 
 def fitted(rows: list[tuple[tuple[int, ...], int, int, int]]) -> dict:
-    """The model of a table of counts: (features, fold, whether the check passes, candidates)."""
-    by_context, by_format = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    for x, fold, passes, n in rows:
+    """The model of a table of counts: (features, fold, label, candidates)."""
+    seen = defaultdict(lambda: [0, 0])
+    for x, fold, label, n in rows:
         if fold == 0:
-            if x[0] in CHECKED and (x[0] != 3 or x[1] >= 8):  # shorter runs of digits are no card's
-                seen = by_context[tuple(x[i] for i in CONTEXT_VIEW)]
-                seen[0], seen[1] = seen[0] + n, seen[1] + n * passes
-            seen = by_format[tuple(x[i] for i in FORMAT)]
-            seen[0], seen[1] = seen[0] + n, seen[1] + n * (x[4] == 1)
-    model = {"context": boosted(by_context), "format": boosted(by_format), "thresholds": {}}
-    held = [(logit(model, x), x[0], n, n * (x[4] == 1 or (passes and x[0] not in (5, 7)))) for x, fold, passes, n in rows if fold == 1 and x[0] in ADDED]
-    together = threshold([(z, n, y) for z, _, n, y in held])
+            seen[x] = [seen[x][0] + n, seen[x][1] + n * label]
+    model = {"trees": boosted(seen), "thresholds": {}}
     for g in ADDED:
-        own = threshold([(z, n, y) for z, k, n, y in held if k == g])
-        if own is not None or together is not None:
-            model["thresholds"][g] = together if own is None else own
+        own = threshold([(logit(model, x), n, n * label) for x, fold, label, n in rows if fold == 1 and x[0] == g])
+        if own is not None:
+            model["thresholds"][g] = own
     return model
 
 
@@ -234,19 +290,23 @@ def follow(tree, x) -> float:
 
 
 def logit(model: dict, x: tuple[int, ...]) -> float:
-    return sum(follow(t, [x[i] for i in view]) for name, view in (("context", CONTEXT_VIEW), ("format", FORMAT)) for t in model[name])
+    return sum(follow(t, x) for t in model["trees"])
 
 
 def selected(model: dict, g: int, values: dict[str, Column]) -> Column:
-    """Whether the trees' score of a generator's candidate reaches its threshold."""
+    """Whether the trees' score of a generator's candidate reaches its threshold. The generator is known, so that its splits are taken beforehand."""
     if g not in model["thresholds"]:
         return F.lit(False)
 
-    def grown(tree, view):
-        return F.when(values[NAMES[view[tree[0]]]] == tree[1], grown(tree[2], view)).otherwise(grown(tree[3], view)) if isinstance(tree, tuple) else F.lit(float(tree))
+    def grown(tree):
+        if not isinstance(tree, tuple):
+            return F.lit(float(tree))
+        name, value, yes, no = NAMES[tree[0]], tree[1], tree[2], tree[3]
+        if name == "gen":
+            return grown(yes if value == g else no)
+        return F.when(values[name] == value, grown(yes)).otherwise(grown(no))
 
-    trees = [grown(t, view) for name, view in (("context", CONTEXT_VIEW), ("format", FORMAT)) for t in model[name]]
-    return reduce(lambda a, b: a + b, trees, F.lit(0.0)) >= F.lit(model["thresholds"][g] - 1e-9)
+    return reduce(lambda a, b: a + b, [grown(t) for t in model["trees"]], F.lit(0.0)) >= F.lit(model["thresholds"][g] - 1e-9)
 
 
 def base(gen: Column, match: Column) -> Column:
@@ -267,7 +327,9 @@ def _kept(text: Column, g: int, model: dict) -> Column:
         if g in BASE_GENERATORS:
             keep = base(gen, x["m"])
         else:
-            keep = sure(gen, x["m"], before) | selected(model, g, features(gen, x["m"], before, F.left(x["after"], F.lit(1))))
+            named = features(gen, x["m"], before, F.left(x["after"], F.lit(1)))
+            packed = F.struct(*[named[n].cast("int").alias(n) for n in NAMES])
+            keep = _let(packed, lambda v: selected(model, g, {n: v[n] for n in NAMES}))
         span = F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(k)).alias("order"), end.cast("long").alias("end"), F.lit(k).alias("kind"), F.lit(g in BASE_GENERATORS).alias("base"))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
