@@ -199,7 +199,9 @@ def planted(docs: DataFrame, text: str = "text") -> DataFrame:
     own = own.select("h", "t", F.explode(F.sequence(F.lit(0), F.lit(2 * len(ADDED) * places - 1))).alias("v"))
     n = lambda k: F.xxhash64("h", "v", F.lit(k))
     gen, label = reduce(lambda out, i: F.when(F.pmod(F.floor(F.col("v") / 2), F.lit(len(ADDED))) == i, ADDED[i]).otherwise(out), range(len(ADDED)), F.lit(-1)), F.pmod(F.col("v"), F.lit(2)).cast("int")
-    words = F.substring(F.col("t"), F.pmod(n(20), F.length("t")).cast("int") + 1, F.lit(240))
+    # Of a text that may be very long, its places alone are carried on.
+    own = own.select("h", "v", F.explode(F.array(F.substring("t", F.pmod(n(20), F.length("t")).cast("int") + 1, F.lit(240)))).alias("words"))
+    words = F.col("words")
     good, bad = _values(n, words)
     match = reduce(lambda out, g: F.when(gen == g, F.when(label == 1, good[g]).otherwise(bad[g])).otherwise(out), ADDED, F.lit(None).cast("string"))
     kinds = list(CUES)
@@ -212,7 +214,10 @@ def planted(docs: DataFrame, text: str = "text") -> DataFrame:
     lead = F.when(F.pmod(n(25), F.lit(4)) == 0, F.upper(lead)).otherwise(lead)
     before = F.right(F.concat(F.regexp_extract(F.left(words, F.lit(60)), r"^[\s\S]*\s", 0), lead), F.lit(CONTEXT))
     after = _drawn([" ", ".", ",", '"', "\n", ""], n(26))
-    made = own.select(gen.alias("gen"), match.alias("match"), before.alias("before"), after.alias("after"), label.alias("label"), F.pmod(n(27), F.lit(2)).cast("int").alias("fold"))
+    fold = F.pmod(n(27), F.lit(2)).cast("int")
+    place = F.struct(*[c.alias(name) for name, c in (("gen", gen), ("match", match), ("before", before), ("after", after), ("label", label), ("fold", fold))])
+    # A generator keeps the optimizer from putting these long expressions in place of each use of their columns.
+    made = own.select(F.explode(F.array(place)).alias("c")).select("c.*")
     fits = reduce(lambda a, b: a | b, [(F.col("gen") == g) & F.col("match").rlike(f"^(?:{GENERATORS[g][1]})$") for g in ADDED])
     return made.filter(fits)
 
@@ -267,19 +272,23 @@ def boosted(counts: dict[tuple[int, ...], list[int]]) -> list:
 def _grown(part: list, depth: int, splits: list, g: dict, h: dict):
     """A tree of the part's patterns: the split of most gain at each node, the first of equals; leaves by a Newton step."""
 
-    def gain(group):
-        return sum(g[x] for x in group) ** 2 / (sum(h[x] for x in group) + 1.0)
-
+    sums: dict[tuple[int, int], list] = {}
+    for x in part:
+        for split in enumerate(x):
+            own = sums.setdefault(split, [0.0, 0.0, 0])
+            own[0], own[1], own[2] = own[0] + g[x], own[1] + h[x], own[2] + 1
+    whole_g, whole_h = sum(g[x] for x in part), sum(h[x] for x in part)
     best = None
     for i, v in splits if depth else ():
-        yes, no = [x for x in part if x[i] == v], [x for x in part if x[i] != v]
-        if yes and no:
-            s = gain(yes) + gain(no)
+        yes_g, yes_h, count = sums.get((i, v), (0.0, 0.0, 0))
+        if 0 < count < len(part):
+            s = yes_g**2 / (yes_h + 1.0) + (whole_g - yes_g) ** 2 / (whole_h - yes_h + 1.0)
             if best is None or s > best[0] + 1e-12:
-                best = (s, i, v, yes, no)
+                best = (s, i, v)
     if best is None:
-        return RATE * sum(g[x] for x in part) / (sum(h[x] for x in part) + 1.0)
-    _, i, v, yes, no = best
+        return RATE * whole_g / (whole_h + 1.0)
+    _, i, v = best
+    yes, no = [x for x in part if x[i] == v], [x for x in part if x[i] != v]
     return i, v, _grown(yes, depth - 1, splits, g, h), _grown(no, depth - 1, splits, g, h)
 
 
