@@ -43,7 +43,7 @@ SYMBOLS = START + 1
 #: Least and most buckets of hashed pairs; their weights are broadcast.
 PAIRS = 8192, 32_768
 HEAD, ROUNDS, TASK_TOKENS = 200_000, 2, 6_000_000
-STEP, BATCH = 0.15, 32_768
+STEP, BATCH = 0.15, 4_096
 #: Weights in a row of a task's change.
 BLOCK = 16_384
 END = b""
