@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 from . import common
 
 #: Distinct chunks of text of a generation that a worker keeps encoded (results do not depend on it).
-CACHED = 200_000
+CACHED = 100_000
 #: Bytes of text that are encoded at a time; their chunks are many small objects.
-STEP = 2 << 20
-NO_RANK = np.int64(1) << 40
+STEP = 1 << 20
+NO_RANK = np.int32(1 << 30)
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 
 
@@ -78,12 +78,12 @@ class Vocabulary:
         for token, i in self.special.items():
             self.tokens[i] = token
         signs = byte_symbols()
-        self.inner = np.array([ids[s] for s in signs], dtype=np.int64)
-        self.final = np.array([ids[s + suffix] for s in signs], dtype=np.int64)
+        self.inner = np.array([ids[s] for s in signs], dtype=np.int32)
+        self.final = np.array([ids[s + suffix] for s in signs], dtype=np.int32)
         left, right, made = (np.array(x, dtype=np.int64) for x in zip(*((ids[a], ids[b], ids[a + b]) for a, b in model["merges"]), strict=True))
         key = left * self.size + right
         order = np.argsort(key, kind="stable")
-        self.keys, self.ranks, self.made = key[order], order.astype(np.int64), made[order]
+        self.keys, self.ranks, self.made = key[order], order.astype(np.int32), made[order].astype(np.int32)
         born = np.full(self.size, -1, dtype=np.int64)
         np.maximum.at(born, made, np.arange(len(made)))
         #: No merge uses a token before a merge makes it; so equal pairs of a word can be merged in one round.
@@ -107,18 +107,18 @@ def merged(words: list[bytes], v: Vocabulary) -> list[bytes]:
     last = np.cumsum(sizes) - 1
     symbol = v.inner[raw]
     symbol[last] = v.final[raw[last]]
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     ended: list[tuple[np.ndarray, np.ndarray]] = []  # words without a pair left: (word, symbol) of each symbol
 
     def found(left, right):
         """Rank of each pair, and what it is merged to."""
-        pair = symbol[left] * v.size + symbol[right]
+        pair = symbol[left].astype(np.int64) * v.size + symbol[right]
         at = np.minimum(np.searchsorted(v.keys, pair), len(v.keys) - 1)
         return np.where((v.keys[at] == pair) & (word[left] == word[right]), v.ranks[at], NO_RANK), v.made[at]
 
     # rank[i], into[i]: of the pair of symbols i and i + 1; the last of a word has none.
     place = np.arange(len(symbol))
-    rank, into = np.full(len(symbol), NO_RANK), np.zeros(len(symbol), dtype=np.int64)
+    rank, into = np.full(len(symbol), NO_RANK), np.zeros(len(symbol), dtype=np.int32)
     if len(symbol):
         rank[:-1], into[:-1] = found(place[:-1], place[1:])
     while len(symbol):
@@ -152,7 +152,7 @@ def merged(words: list[bytes], v: Vocabulary) -> list[bytes]:
         new = new[new < last]
         rank[new], into[new] = found(new, new + 1)
     word, symbol = (np.concatenate(x) for x in zip(*ended, strict=True)) if ended else (word, symbol)
-    flat = symbol[np.argsort(word, kind="stable")].astype(np.int32).tobytes()
+    flat = symbol[np.argsort(word, kind="stable")].tobytes()
     ends = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
