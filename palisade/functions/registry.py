@@ -51,6 +51,17 @@ PII_RULES = [
 # Texts of which a rule's finding has one: without them its pattern is not tried. Rules that are not named here are always tried.
 NEEDED = {"api_key": ['token = "', "pg_"], "email": ["@"], "ssn": ["-"], "phone": ["+1 ("], "ipv4": ["."]}
 
+# Keys of no known format: a run of signs is judged by the first alphabet that it fits. Own choice; patterns stay within what both Java and RE2 know.
+KEY_RUN = "[A-Za-z0-9+/_-]{20,}={0,2}"
+KEY_SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
+# alphabet, pattern of a whole run, its size, fewest signs, least share of the entropy that a run of this length can have
+KEY_ALPHABETS = [
+    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 16, 32, 0.8),
+    ("base36", "^([0-9a-z]+|[0-9A-Z]+)$", 36, 28, 0.8),
+    ("base62", "^[0-9A-Za-z]+$", 62, 20, 0.8),
+    ("base64", "^[0-9A-Za-z+/_-]+={0,2}$", 64, 20, 0.8),
+]
+
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from rows, as an inline relation."""

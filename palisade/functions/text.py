@@ -119,6 +119,21 @@ def mask_key(c) -> Column:
     return F.when(F.length(t) <= F.length(prefix) + 4, F.repeat(F.lit("*"), F.length(t))).otherwise(F.concat(prefix, F.lit("…"), F.right(t, F.lit(4))))
 
 
+def entropy(c, alphabet: str) -> Column:
+    """Shannon entropy in bits a character over the characters of an alphabet, others left out of the sum; 0 for the empty text.
+
+    One count a character of the alphabet, so that memory does not grow with the text.
+    """
+    t = col(c)
+    n = F.length(t).cast("double")
+
+    def more(acc, sign):
+        share = (n - F.length(F.replace(t, sign, F.lit("")))) / n
+        return acc - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
+
+    return F.when(n == 0, 0.0).when(n > 0, F.aggregate(F.array(*map(F.lit, alphabet)), F.lit(0.0), more))
+
+
 def url_scheme(c) -> Column:
     return F.lower(F.try_parse_url(col(c), F.lit("PROTOCOL")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..functions.text import col, mask_key
+from ..functions.text import col, entropy, mask_key
 
 MODES = ("redact", "mask", "block")
 # The least confidence that blocks at each level.
@@ -125,6 +125,43 @@ def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return df.select(*keep, F.posexplode(F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))).alias("place", "secret")).select(*keep, "place", mask_key("secret").alias("masked"))
 
 
+def key_candidates(c: str | Column, alphabets=None) -> Column:
+    """array<struct<secret, alphabet, bits>>: the runs of a text that look drawn at random, in its order; a null text has none.
+
+    A run's alphabet is the first that it fits. It is a secret if it has the alphabet's fewest signs, letters, digits in two places at least (names
+    end in a number, keys have digits throughout), and the least share of log2(the lesser of its length and the alphabet's size)
+    as bits a sign. Runs of several parts (paths, slugs, times) need a part of 12 signs with small and capital letters and digits.
+    """
+    alphabets = registry.KEY_ALPHABETS if alphabets is None else alphabets
+
+    def judged_by(run):
+        def fits(size, least, share):
+            return (F.length(run) >= least) & (bits(run) >= share * F.log2(F.least(F.length(run), F.lit(size)).cast("double")))
+
+        name = good = None
+        for kind, pattern, size, least, share in alphabets:
+            own = run.rlike(pattern)
+            name = F.when(own, kind) if name is None else name.when(own, kind)
+            good = F.when(own, fits(size, least, share)) if good is None else good.when(own, fits(size, least, share))
+        part = F.exists(F.split(run, "[+/_=-]"), lambda p: (F.length(p) >= 12) & p.rlike("[0-9]") & p.rlike("[a-z]") & p.rlike("[A-Z]"))
+        drawn = run.rlike("[0-9][^0-9]+[0-9]") & run.rlike("[A-Za-z]") & (~run.rlike("[+/_=-]") | part)
+        return F.when(drawn & good, F.struct(run.alias("secret"), name.alias("alphabet"), F.round(bits(run), 4).alias("bits")))
+
+    def bits(run):
+        return entropy(run, registry.KEY_SIGNS)
+
+    return F.coalesce(F.filter(F.transform(F.regexp_extract_all(col(c), F.lit(registry.KEY_RUN), F.lit(0)), judged_by), lambda x: x.isNotNull()), F.array())
+
+
+def find_unknown_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), alphabets=None) -> DataFrame:
+    """A row for each secret of no known format: its place among them, alphabet, bits a sign and masked value (see ``key_candidates``).
+
+    A projection and an explode, no shuffle. Equal rows are each judged by themselves; texts without a secret, empty and null ones give no row.
+    """
+    each = df.select(*keep, F.posexplode(key_candidates(text, alphabets)).alias("place", "found"))
+    return each.select(*keep, "place", "found.alphabet", "found.bits", mask_key("found.secret").alias("masked"))
+
+
 def guard(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row for each conversation: the turns' decisions rolled up, and its redacted messages by turn."""
     judged = scan_text(messages, text).withColumn("redacted", redacted(text))

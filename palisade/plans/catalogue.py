@@ -79,6 +79,25 @@ def secrets_masked(spark, sf_dir):
     return security.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def _unknown_secrets_sql() -> str:
+    """The runs' judgement in plain SQL: one row a run, its signs counted by a join of their own."""
+    fits = " ".join(f"WHEN regexp_matches(run, '{p}') THEN '{k}'" for k, p, *_ in registry.KEY_ALPHABETS)
+    good = " ".join(f"WHEN alphabet = '{k}' THEN n >= {least} AND bits >= {share} * log2(least(n, {size}))" for k, _, size, least, share in registry.KEY_ALPHABETS)
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{registry.KEY_RUN}') AS l FROM documents),
+  r AS (SELECT doc_id, i, l[i] AS run, length(l[i]) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t)),
+  c AS (SELECT doc_id, i, run, n, sign, count(*) / n AS share FROM (SELECT *, unnest(string_split(run, '')) AS sign FROM r) GROUP BY doc_id, i, run, n, sign),
+  e AS (SELECT doc_id, i, run, n, -sum(share * log2(share)) AS bits, CASE {fits} END AS alphabet FROM c GROUP BY doc_id, i, run, n),
+  f AS (SELECT *, CASE {good} END AS good FROM e WHERE regexp_matches(run, '[0-9][^0-9]+[0-9]') AND regexp_matches(run, '[A-Za-z]')
+    AND (NOT regexp_matches(run, '[+/_=-]') OR len(list_filter(regexp_split_to_array(run, '[+/_=-]'), lambda p: length(p) >= 12 AND regexp_matches(p, '[0-9]') AND regexp_matches(p, '[a-z]') AND regexp_matches(p, '[A-Z]'))) > 0))
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS place, alphabet, round(bits, 4) AS bits,
+  CASE WHEN starts_with(run, 'pg_live_') THEN 'pg_live_' WHEN starts_with(run, 'pg_') THEN 'pg_' ELSE '' END || '…' || right(run, 4) AS masked FROM f WHERE good"""
+
+
+@query(_unknown_secrets_sql())
+def secrets_unknown(spark, sf_dir):
+    return security.find_unknown_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("""SELECT doc_id, count(*) AS cards, CAST(sum(CASE WHEN total % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM (
     SELECT doc_id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (CASE WHEN 2 * CAST(c[i] AS INTEGER) > 9 THEN 2 * CAST(c[i] AS INTEGER) - 9 ELSE 2 * CAST(c[i] AS INTEGER) END) ELSE CAST(c[i] AS INTEGER) END)) AS total
     FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{16}')) AS c FROM documents)) GROUP BY doc_id""")
