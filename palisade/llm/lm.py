@@ -44,6 +44,8 @@ SYMBOLS = START + 1
 PAIRS = 8192, 32_768
 HEAD, ROUNDS, TASK_TOKENS = 200_000, 2, 6_000_000
 STEP, BATCH = 0.15, 4_096
+#: Rows that are added up as one piece, and logarithms whose exponentials, and sums of some dozens of these, float32 holds.
+PIECE, IN_RANGE = 16, 60
 #: Weights in a row of a task's change.
 BLOCK = 16_384
 END = b""
@@ -122,16 +124,83 @@ def inner_rows(context: np.ndarray, place: np.ndarray, group: np.ndarray, pairs:
     return np.stack([group, CLASSES + (one * CLASSES + group) * 40_503 % pairs, CLASSES + pairs + (two * CLASSES + group) * 40_503 % pairs])
 
 
-def log_softmax(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+def logits(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows that each column of ``at`` names, less something for each that keeps their exponentials and the sums of these in range."""
     z = np.take(table, at[1], axis=0)
+    more = np.empty_like(z)
     for r in at[2:]:
-        z += np.take(table, r, axis=0)
-    z += table[0] if not at[0].any() else np.take(table, at[0], axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += np.take(table, r, axis=0, out=more, mode="clip")
+    z += table[0] if not at[0].any() else np.take(table, at[0], axis=0, out=more, mode="clip")
+    # Highest values by token take long; mostly all are below and all means above what is in range.
+    if len(z) and not (z.max() <= IN_RANGE and row_sums(z).min() >= -IN_RANGE * z.shape[1]):
+        z -= z.max(axis=1, keepdims=True)
     return z
 
 
+def row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], dtype=z.dtype)
+
+
+def log_softmax(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z = logits(table, at)
+    z -= np.log(row_sums(np.exp(z)))[:, None]
+    return z
+
+
+def log_shares(table: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """What ``log_softmax`` has for each token's target alone."""
+    z = logits(table, at)
+    own = z[np.arange(len(z)), target]
+    return own - np.log(row_sums(np.exp(z, out=z)))
+
+
+def summed(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers of ``rows``, sum of the values of each); rows: (k, n) numbers for n values.
+
+    The k * n pairs are sorted by number. Runs of a number are added up place by place, long runs in pieces first, so that each addition is of many rows at once.
+    """
+    n = len(values)
+    flat = rows.ravel()
+    order = np.argsort(flat.astype(np.uint16) if flat.max() < 1 << 16 else flat, kind="stable")
+    own, value = flat[order], order % n
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    size = np.diff(first, append=len(own))
+    by = np.argsort(-size, kind="stable")
+    first, size = first[by], size[by]
+    total = np.empty((len(first), values.shape[1]), dtype=values.dtype)
+    many = int(np.count_nonzero(size > PIECE))
+    if many:
+        pieces = -(-size[:many] // PIECE)
+        start = np.cumsum(pieces) - pieces
+        run = np.repeat(np.arange(many), pieces)
+        begin = first[run] + PIECE * (np.arange(len(run)) - start[run])
+        left = first[run] + size[run] - begin
+        longest = np.argsort(-np.minimum(left, PIECE), kind="stable")
+        back = np.empty_like(longest)
+        back[longest] = np.arange(len(longest))
+        part = np.empty((len(run), values.shape[1]), dtype=values.dtype)
+        layers(values, value, begin[longest], np.minimum(left, PIECE)[longest], part)
+        np.add.reduceat(np.take(part, back, axis=0), start, axis=0, out=total[:many])
+    layers(values, value, first[many:], size[many:], total[many:])
+    return own[first], total
+
+
+def layers(values: np.ndarray, value: np.ndarray, begin: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+    """Puts into ``out`` the sums of values by runs of ``value`` from these places on, the longest runs first."""
+    if not len(begin):
+        return
+    np.take(values, value[begin], axis=0, out=out, mode="clip")
+    for j in range(1, int(size[0])):
+        m = int(np.count_nonzero(size > j))
+        out[:m] += np.take(values, value[begin[:m] + j], axis=0)
+
+
+def put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``table[at] = rows``, each row as one item, which takes half the time."""
+    item = np.dtype((np.void, table.dtype.itemsize * table.shape[1]))
+    np.put(table.view(item), at, rows.view(item))
+
+
 def groups(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each target is modelled, and its class."""
     known = target < MODELLED
@@ -144,10 +213,10 @@ def scores(a: np.ndarray, b: np.ndarray, target: np.ndarray, context: np.ndarray
     for at in range(0, len(place), BATCH):
         own = place[at : at + BATCH]
         known, group = groups(target[own])
-        out[at : at + BATCH] = log_softmax(a, rows(context, own, pairs))[np.arange(len(own)), group]
+        out[at : at + BATCH] = log_shares(a, rows(context, own, pairs), group)
         if known.any():
             k = np.flatnonzero(known)
-            out[at + k] += log_softmax(b, inner_rows(context, own[k], group[k], pairs))[np.arange(len(k)), target[own[k]] % SLOTS]
+            out[at + k] += log_shares(b, inner_rows(context, own[k], group[k], pairs), target[own[k]] % SLOTS)
     return out
 
 
@@ -161,19 +230,24 @@ class Steps:
 
     def step(self, which: int, at: np.ndarray, target: np.ndarray) -> None:
         table, squares, n = self.tables[which], self.squares[which], len(target)
-        g = np.exp(log_softmax(table, at))
-        g[np.arange(n), target] -= 1
-        # The rows that some token has, and the sum of the gradients of each.
-        here = np.zeros(len(table), dtype=bool)
-        here[at] = True
-        met = np.flatnonzero(here)
-        flat = (np.cumsum(here) - 1)[at]
-        total = np.zeros((len(met), g.shape[1]), dtype=np.float32)
-        for j, c in enumerate(np.ascontiguousarray(g.T, dtype=np.float64)):
-            total[:, j] = sum(np.bincount(r, c, len(met)) for r in flat) / n
-        seen = squares[met] + total * total
-        squares[met] = seen
-        table[met] -= STEP * total / np.sqrt(seen)
+        g = logits(table, at)
+        np.exp(g, out=g)
+        g *= (1 / (n * row_sums(g)))[:, None]
+        g[np.arange(n), target] -= 1 / n
+        # The rows that some token has, and the sum of the gradients of each. A bias that all tokens have needs no sorting.
+        if at[0].any():
+            met, total = summed(g, at)
+        else:
+            met, total = summed(g, at[1:])
+            if met.all():
+                met, total = np.r_[met, 0], np.concatenate([total, np.zeros((1, g.shape[1]), dtype=g.dtype)])
+            total[met == 0] += g.sum(axis=0)
+        seen = np.take(squares, met, axis=0)
+        seen += total * total
+        put(squares, met, seen)
+        total /= np.sqrt(seen, out=seen)
+        total *= STEP
+        put(table, met, np.subtract(np.take(table, met, axis=0), total, out=total))
 
     def learn(self, target: np.ndarray, context: np.ndarray, place: np.ndarray) -> None:
         for at in range(0, len(place), BATCH):

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -79,6 +80,52 @@ def test_step_equals_gradient_of_one_token_at_a_time():
     assert np.allclose(steps.tables[0], table - lm.STEP * total / np.sqrt(1e-4 + total**2), atol=1e-4)
 
 
+def test_rows_are_summed_by_number():
+    rng = np.random.default_rng(5)
+    for n, high in ((1, 1), (7, 2), (500, 3), (900, 400), (900, 100_000), (2 * lm.PIECE, 1)):
+        values, rows = rng.normal(size=(n, 6)).astype(np.float32), np.minimum(rng.integers(0, high, (3, n)), rng.integers(0, high, (3, n)))
+        want = np.zeros((high, 6))
+        for r in rows:
+            np.add.at(want, r, values)
+        met, total = lm.summed(values, rows)
+        assert sorted(met.tolist()) == np.unique(rows).tolist() and np.allclose(total, want[met], atol=1e-3)
+
+
+def test_shares_beyond_the_range_of_float32():
+    rng = np.random.default_rng(6)
+    table, at, target = rng.normal(size=(60, 9)).astype(np.float32), rng.integers(0, 60, (3, 80)), rng.integers(0, 9, 80)
+    table[::7] += 300
+    table[::11] -= 300
+    table[::13, 0] -= 500
+    z = table[at].sum(axis=0).astype(np.float64)
+    z -= z.max(axis=1, keepdims=True)
+    want = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.allclose(lm.log_softmax(table, at), want, atol=1e-3)
+    assert np.allclose(lm.log_shares(table, at, target), want[np.arange(80), target], atol=1e-3)
+
+
+def test_step_takes_less_time_than_sums_by_column():
+    rng = np.random.default_rng(7)
+    steps = lm.Steps(np.zeros((1 + 3 * lm.SYMBOLS + lm.PAIRS[0], 40), dtype=np.float32), np.zeros((1, 1), dtype=np.float32))
+    at = np.minimum(rng.zipf(1.3, (5, lm.BATCH)), 2000) + 2000 * np.arange(5)[:, None]
+    at[0] = 0
+    target, g = rng.integers(0, 40, lm.BATCH), rng.normal(size=(40, lm.BATCH))
+
+    def by_column():
+        for c in g:
+            sum(np.bincount(r, c, len(steps.tables[0])) for r in at)
+
+    def least(f):
+        times = []
+        for _ in range(7):
+            begun = time.process_time()
+            f()
+            times.append(time.process_time() - begun)
+        return min(times)
+
+    assert least(lambda: steps.step(0, at, target)) < least(by_column)
+
+
 def test_head_has_the_most_frequent_tokens(spark):
     rows = [(f"w{i}".encode(), 1 + 3000 // (i + 1)) for i in range(500)]
     counts = spark.createDataFrame(rows, "token binary, n long")
