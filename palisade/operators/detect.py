@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexer, registry
 from ..functions.text import col
+from ..sources.shared import small_batches
 
 #: A file without any of these has no call.
 TELLING = ["OpenAI", "Anthropic", "cohere", "Cohere", "InferenceClient", "HfInference", "Groq", "genai", "GoogleGenAI", "boto3", "BedrockRuntimeClient"]
+#: Text whose calls are held as Python objects at a time, in code points.
+PIECE = 1 << 18
 #: Last names of heads that may be a kit's, by language.
 WANTED = {
     "python": sorted({c for p in registry.PROVIDERS for c in (p[2], p[4]) if c} | {"Client", "ClientV2", "client"}),
@@ -74,8 +77,17 @@ def ts_has_base_url(args, param) -> Column:
 def _found(content: pa.Array, grammar: pa.Array) -> pa.Array:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    found = [lexer.calls(t, g, WANTED) for t, g in zip(content.to_pylist(), grammar.to_pylist(), strict=True)]
-    return pa.array(found, to_arrow_type(lexer.CALLS))
+    kind, done, held, size = to_arrow_type(lexer.CALLS), [], [], 0
+    for t, g in zip(content, grammar, strict=True):
+        text = t.as_py()
+        held.append(lexer.calls(text, g.as_py(), WANTED))
+        size += len(text or "")
+        if size >= PIECE:
+            done.append(pa.array(held, kind))
+            held, size = [], 0
+    out = pa.concat_arrays([*done, pa.array(held, kind)])
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def _telling(content: Column) -> Column:
@@ -88,6 +100,7 @@ def calls(files: DataFrame, keep: tuple[str, ...] = ("repo", "path")) -> DataFra
 
     Places are in code points from 0; line and column count from 1, the column in bytes.
     """
+    small_batches(files.sparkSession)
     likely = files.withColumn("language", language("ext")).filter(F.col("language").isNotNull() & _telling(F.col("content")))
     lexed = likely.select(*keep, "language", "content", _found("content", grammar("ext")).alias("found"))
     args = lambda c: F.substring("content", c["args_start"] + 1, c["args_end"] - c["args_start"])

@@ -1,4 +1,4 @@
-"""Tables of one job in the folder that driver and executors share."""
+"""What jobs share: tables in the folder that driver and executors have in common, and how much Spark sends Python at a time."""
 
 from __future__ import annotations
 
@@ -25,3 +25,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send Python at most 4 MB at a time, where a session has no setting of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key, None) is None:
+        spark.conf.set(key, 4 << 20)

@@ -1,6 +1,8 @@
 import ast
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,32 @@ def test_rewrites_at_a_depth_of_1000(spark):
     assert out["a.ts"].count('baseURL: "https://p/v1"') == 2 and out["a.ts"].count("{") == out["a.ts"].count("}") == 1002 and out["b.py"].count("base_url") == 1
 
 
+def test_what_python_holds_of_files_with_calls(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 64 << 20)
+    try:
+        # Spark sends texts of 2 MB in batches of 4 MB, which hold three at most.
+        files = spark.range(0, 12, 1, 1).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("path"), F.lit("py").alias("ext"), F.concat(F.lit("OpenAI()\n"), F.repeat(F.lit("#"), 2 << 20)).alias("content"))
+        assert detect.calls(files).count() == 12
+        seen = F.arrow_udf(lambda c: pa.array([len(c)] * len(c), pa.int64()), "long")
+        assert files.select(seen("content").alias("n")).agg(F.max("n")).first()[0] <= 3
+    finally:
+        spark.conf.set(key, before)
+
+    def peak(n):
+        texts = pa.array(["c = Groq(k)\n" * 1000] * n + [None, ""])
+        tracemalloc.start()
+        found = detect._found.func(texts, pa.array(["python"] * len(texts)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [len(x) for x in found] == [1000] * n + [0, 0] and found[n - 1][999]["line"].as_py() == 1000
+        return most
+
+    some = detect.PIECE // 12_000 + 1
+    assert peak(4 * some) < 1.5 * peak(some)
+
+
 def test_filters_and_joins_of_detections(spark):
     f = source(spark, ("a.py", "OpenAI()\nGroq()\n"), ("b.py", "InferenceClient()\n"), ("c.py", "AsyncGroq()\n"))
     found = detect.detect_all(f)
