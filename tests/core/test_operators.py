@@ -69,6 +69,18 @@ def test_what_python_holds_of_files_with_calls(spark):
     assert peak(4 * some) < 1.5 * peak(some)
 
 
+@pytest.mark.parametrize("query", [lambda f: detect.unprotected(detect.detect_all(f)), lambda f: detect.coverage(detect.detect_all(f)), lambda f: rewrite.plan_rewrites(f, "https://p/v1")])
+def test_small_batches_wherever_calls_are_found(spark, query):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 64 << 20)
+    try:
+        assert query(source(spark, ("a.py", "OpenAI()\n"), ("b.ts", "new Groq({});\n"))).count() == 2
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_filters_and_joins_of_detections(spark):
     f = source(spark, ("a.py", "OpenAI()\nGroq()\n"), ("b.py", "InferenceClient()\n"), ("c.py", "AsyncGroq()\n"))
     found = detect.detect_all(f)
