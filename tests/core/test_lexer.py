@@ -3,6 +3,7 @@
 import ast
 import random
 import time
+import tracemalloc
 
 import pytest
 
@@ -79,6 +80,27 @@ def test_any_depth_in_linear_time():
         assert len(lexer.calls("x = " + opening * 3000 + "new OpenAI()" + closing * 3000, "tsx", WANTED)) == 1
 
 
+@pytest.mark.parametrize(("text", "grammar"), [("# é\n" * 200_000 + "f(OpenAI())\n", "python"), ("x = [" + "1, " * 100_000 + "OpenAI(a, k=1)]\n", "python"), ("x = [" + "{ a: 1 }, " * 50_000 + "new OpenAI({ a, b: 1 }, c)]\n", "tsx")])
+def test_what_a_long_file_takes(text, grammar):
+    tracemalloc.start()
+    call = lexer.calls(text, grammar, WANTED)[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    before = text[: call[1]]
+    assert call[4] == before.count("\n") + 1 and call[5] == len(before.split("\n")[-1].encode()) + 1
+    assert len(call[10]) == (0 if "f(" in text else 2) and most < 2.5 * len(text.encode())
+
+
+def test_a_long_line_of_calls_in_linear_time():
+    took = []
+    for n in (5_000, 40_000):
+        text = "é = OpenAI(); " * n
+        began = time.process_time()
+        assert [c[4:6] for c in lexer.calls(text, "python", WANTED)] == [(1, 15 * i + 6) for i in range(n)]
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.2
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_python_as_its_own_parser(seed):
     """Random expressions: calls, places and argument counts as in the syntax tree."""
